@@ -35,6 +35,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_ngram_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_bloom
+    from .langid import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_bloom.fit(docs.filter(~held_out(F.col("doc_id"), 10)))
+    out = ngram_bloom.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -50,5 +60,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op9_language_id, op10_warc)}
 SQL: dict[str, str] = {}
