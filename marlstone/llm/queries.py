@@ -45,6 +45,12 @@ def op4_ngram_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -60,5 +66,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op5_minhash, op9_language_id, op10_warc)}
 SQL: dict[str, str] = {}
