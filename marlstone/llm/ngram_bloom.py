@@ -154,7 +154,7 @@ class LanguageModel:
         return (c + ALPHA) / (self.tokens + ALPHA * (self.vocabulary + 1))
 
 
-def fit(docs: DataFrame, *, head: int = 2_000_000, max_bits: int = 1 << 29, bits_per_item: int = 12, tokens_per_segment: int = 1 << 20, text_col: str = "text") -> LanguageModel:
+def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits_per_item: int = 12, tokens_per_segment: int = 1 << 20, text_col: str = "text") -> LanguageModel:
     """Counts all of docs.  To the driver come: sums, one histogram of levels a segment, at most ``head`` words, at most max_bits bits."""
     spark = docs.sparkSession
     slim = docs.select(F.col(text_col).alias("text"))
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, *, head: int = 2_000_000, max_bits: int = 1 << 29, bits
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(0))
-            for i, j in C.blocks(offs, 6 * C.BLOCK):
+            for i, j in C.blocks(offs, 2 * C.BLOCK):
                 tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pairs, _ = bigrams(tokens, before)
                 rows = _dealt(*summed(tokens), 0, seg_bits) + _dealt(*summed(pairs), 1, seg_bits)
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
         bloom, task, serial = LogFrequencyBloom(data, seg_bits, bits), TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
-            for i, j in C.blocks(offs, 4 * C.BLOCK):
+            for i, j in C.blocks(offs, 2 * C.BLOCK):
                 tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pairs, _ = bigrams(tokens, before)
                 # the END that opens each document has the count of END
