@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Each benchmark item of m shingles is compared with all windows of m successive shingles of each document.  Shingles are five words;
+Each benchmark item of m shingles is compared with all windows of m successive shingles of each document.  Shingles are five words (in lower case,
+ASCII punctuation as space);
 a shingle weighs ln(1 + items / items that hold it).  Windows without any shingle of the benchmark have similarity 0 and are passed
 over; all others get a 128-bit SimHash.  The index holds, for each of 8 blocks of 16 bits, every value within 3 bits of an item's
 block: two fingerprints within 31 bits agree to 3 bits in some block, so every item within that radius is found.  Exact weighted
@@ -26,6 +27,20 @@ _MASKS = np.array([0] + [sum(1 << b for b in c) for n in (1, 2, 3) for c in comb
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 32
+
+
+def folded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in lower case, ASCII punctuation as space: case and punctuation hide no item."""
+    if (raw >= 128).any():
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace").lower().encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+    return _PLAIN[raw], offsets
+
+
 def _signs(h: np.ndarray) -> np.ndarray:
     """[shingles, BITS] of -1 and 1."""
     both = np.stack([C.mix(h), C.mix(h ^ np.uint64(0xA0761D6478BD642F))], 1)
@@ -122,7 +137,7 @@ def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
-            words, before = C.words_of(raw, offs)
+            words, before = C.words_of(*folded(raw, offs))
             yield pa.RecordBatch.from_arrays([batch.column(0), C.packed(C.doc_shingles(words, before, shingle))], ["id", "items"])
 
     slim = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
@@ -139,7 +154,7 @@ def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col
 
 def _found(bench: Benchmark, raw: np.ndarray, offsets: np.ndarray, shingle: int, least: float) -> Iterator[tuple[int, tuple]]:
     for i, j in C.blocks(offsets):
-        words, before = C.words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        words, before = C.words_of(*folded(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
         whole = C.shingle_hashes(words, shingle)
         upto = np.concatenate([[0], np.cumsum(bench.hits(whole))])
         n = np.diff(before)
