@@ -1,10 +1,51 @@
-"""Corpus cleaning and packing: five stages, each on all that the one before kept."""
+"""Corpus cleaning and packing: five stages, each on all that the one before kept.
+
+1. language: documents without letters, or without a language of at least 0.3 mean probability, go.
+2. near_duplicates: of each group of near copies (five-word shingles, similarity of 0.8 or more) the one of least id stays.
+3. repeats: bytes of strings of 100 bytes that start earlier in the corpus go; a document of which nothing is left goes.
+4. benchmark: documents that hold a benchmark item (five-word shingles, weighted similarity of 0.8 or more) go.
+5. packing: sequences of at most 4096 tokens; one row a piece.
+
+Null ids are kept as they are; rows that repeat an id share its fate in stage 2.  All stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import common, decontaminate, langid, minhash, packing, queries, suffix
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs, shingle=5, num=80, den=100).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(docs, length=100, texts=True)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("packing", pack)]
+#: Language ID, suffix sorting, SimHash and packing are not for SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = common.store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

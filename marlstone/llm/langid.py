@@ -257,48 +257,49 @@ class Pooler:
 _pooler: dict[str, Pooler] = {}
 
 
-def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def answers(model: Model | None, batch: pa.RecordBatch, col: int) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    n = batch.num_rows
+    if model is None or not n:
+        return [UND] * n, np.zeros(n)
+    if model.key not in _pooler:
+        _pooler.clear()
+        _pooler[model.key] = Pooler(model)
+    raw, offs = C.text_buffer(batch.column(col))
+    sums = _pooler[model.key].pool(raw, offs)
+    best = sums[:, :-1].argmax(1)
+    score = np.where(sums[:, -1] > 0, sums[np.arange(n), best] / np.maximum(sums[:, -1], 1), 0)
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[65:91] = ascii_letter[97:123] = True
+    upto = np.concatenate([[0], np.cumsum(ascii_letter[raw])])
+    sure = upto[offs[1:]] > upto[offs[:-1]]
+    for i in np.flatnonzero(~sure):
+        sure[i] = bool(_LETTER.search(raw[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
+    return [model.languages[b] if s else UND for b, s in zip(best.tolist(), sure.tolist(), strict=True)], np.clip(np.where(sure, score, 0), 0, 1)
+
+
+def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (mean probability of lang_pred over letter positions).
 
     ``und`` with score 0 for a null text, one without any letter, or when there is no model.  Equal probabilities: the first language in
-    order.  Repeated rows give repeated rows, null ids stay null.  keep: all input columns are returned, with lang_pred and score added.
+    order.  Repeated rows give repeated rows, null ids stay null, an empty table gives no rows; other columns are not read.
     """
-    names = [] if model is None else model.languages
-    key = "" if model is None else model.key
-
-    def answer(batch: pa.RecordBatch, col: int) -> tuple[list[str], np.ndarray]:
-        n = batch.num_rows
-        if model is None or not n:
-            return [UND] * n, np.zeros(n)
-        if key not in _pooler:
-            _pooler.clear()
-            _pooler[key] = Pooler(model)
-        raw, offs = C.text_buffer(batch.column(col))
-        sums = _pooler[key].pool(raw, offs)
-        best = sums[:, :-1].argmax(1)
-        score = np.where(sums[:, -1] > 0, sums[np.arange(n), best] / np.maximum(sums[:, -1], 1), 0)
-        ascii_letter = np.zeros(256, bool)
-        ascii_letter[65:91] = ascii_letter[97:123] = True
-        upto = np.concatenate([[0], np.cumsum(ascii_letter[raw])])
-        sure = upto[offs[1:]] > upto[offs[:-1]]
-        for i in np.flatnonzero(~sure):
-            sure[i] = bool(_LETTER.search(raw[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
-        return [names[b] if s else UND for b, s in zip(best.tolist(), sure.tolist(), strict=True)], np.clip(np.where(sure, score, 0), 0, 1)
-
-    if keep:
-        at = docs.columns.index(text_col)
-
-        def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lang, score = answer(batch, at)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
-
-        schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
-        return docs.mapInArrow(widen, schema)
-
-    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = answer(batch, 1)
+            lang, score = answers(model, batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(slim, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is not ``und`` and has at least the given score."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = answers(model, batch, at)
+            yield batch.filter(pa.array([x != UND and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

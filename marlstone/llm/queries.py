@@ -59,6 +59,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quotes import link
 
@@ -80,5 +86,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op5_minhash, op6_decontamination, op8_quotes, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op5_minhash, op6_decontamination, op7_suffix_array, op8_quotes, op9_language_id, op10_warc)}
 SQL: dict[str, str] = {"op8_quotes": quotes.SQL}
