@@ -7,6 +7,7 @@ subpackage.  Hashes are 64 bit: a polynomial over random byte values modulo 2**6
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -61,6 +62,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a scratch folder, usable by the driver and by tasks."""
     if "://" not in uri and not uri.startswith("file:"):

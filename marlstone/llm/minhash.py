@@ -6,12 +6,12 @@ least id as representative, so exact copies cost one aggregation.  Between repre
 1.  *Inverted lists.*  Of each sketch only the rarest retained values are indexed, rarest first, as many as a pair above the threshold
     cannot all differ in (exactly so where the sketch is the whole set; else with five standard deviations to spare).  Values that one
     document alone retains use up places but need no list, so most documents have none.
-2.  *Overlaps.*  A short list gives its pairs.  A long one gives each member's pairs with its hubs (the member of least id and one chosen
-    by hash): lists of one group of copies share their hubs, and work is linear in the group.
+2.  *Overlaps.*  A short list gives its pairs.  A long one gives each member's pairs with its hubs (the member of least id, one chosen by
+    hash and the most typical one): lists of one group of copies share their hubs, and work is linear in the group.
 3.  *Union-sketch estimation* drops pairs whose estimated Jaccard index lies far below the threshold.
 4.  *Exact Jaccard* on the full sets, made anew from the texts of documents in candidate pairs alone, confirms links.
 5.  In long lists whose members are not all in one component yet, those outside the largest component are compared with all members of
-    other components: first with new hubs, at last one by one, so no link between components is lost.
+    other components, so no link between components is lost.
 
 Components are found by star contraction; nothing but a few sums comes to the driver.
 """
@@ -129,10 +129,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     An empty table gives no rows; other columns are not read.
     """
     spark, least = docs.sparkSession, num / den
-    rows, _ = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
+    rows, rows_path = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
     sound = rows.filter("n > 0 and doc_id is not null")
     reps, _ = C.store(sound.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch")), "classes")
 
+    rows, _ = C.store(rows.drop("sketch"), "rows")
+    C.discard(spark, rows_path)
+
     # values that two representatives retain, by rarity; values of one representative alone use up places
     sample = math.ceil(k * (1 - least)) + math.ceil(5 * math.sqrt(k * least * (1 - least))) + 1
     places = F.when(F.col("n") <= k, F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1).otherwise(F.lit(sample))
@@ -140,18 +143,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     mine = values.join(shared, "value").groupBy("rep", "n", "places", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))  # at most k values a document
     left = F.greatest(F.lit(0), F.col("places") - (F.col("size") - F.size("own")))
-    index = mine.select("rep", "n", F.explode(F.slice("own", 1, left)).alias("x")).select("rep", "n", F.col("x.value").alias("value"))
+    index = mine.select("rep", "n", (F.size("own") / F.col("size")).alias("central"), F.explode(F.slice("own", 1, left)).alias("x")).select("rep", "n", "central", F.col("x.value").alias("value"))
     index, _ = C.store(index, "index")
-    lists = index.groupBy("value").agg(F.count("*").alias("c"), F.min("rep").alias("hub1"), F.min_by("rep", F.xxhash64("rep")).alias("hub2")).filter("c > 1")
-    lists, _ = C.store(lists, "lists")
+    # hubs of a list: its least id, one chosen by hash, and the one with the largest share of retained values that others retain too
+    hubs = (F.min("rep").alias("hub1"), F.min_by("rep", F.xxhash64("rep")).alias("hub2"), F.max_by("rep", F.struct("central", "rep")).alias("hub3"))
+    lists, _ = C.store(index.groupBy("value").agg(F.count("*").alias("c"), *hubs).filter("c > 1"), "lists")
+    C.release(spark)
 
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     short = index.join(lists.filter(F.col("c") <= SHORT).select("value"), "value")
-    members = index.join(lists.filter(F.col("c") > SHORT).select("value", "hub1", "hub2"), "value")
+    members = index.join(lists.filter(F.col("c") > SHORT).select("value", "hub1", "hub2", "hub3"), "value")
     in_list = short.groupBy("value").agg(F.collect_list(F.struct("rep", "n")).alias("m"))  # at most SHORT
     pairs = in_list.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).filter("p.rep < q.rep").select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).filter(near).select("a", "b")
-    hubs = members.select(F.col("rep").alias("x"), F.explode(F.array("hub1", "hub2")).alias("y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    hubs = members.select(F.col("rep").alias("x"), F.explode(F.array_distinct(F.array("hub1", "hub2", "hub3"))).alias("y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # overlap: the number of lists in which a pair meets; each one is looked at once
     found, _ = C.store(pairs.union(hubs).groupBy("a", "b").agg(F.count("*").alias("overlap")), "pairs")
 
@@ -161,30 +166,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     links = confirm(found)
     labels, _ = C.store(graph.components(links), "labels")
-    members, _ = C.store(members.select("value", "rep", "n").distinct(), "members")
-    for turn in range(4):
-        # long lists with members of several components
-        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        sizes = named.groupBy("value", "component").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("value").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("all")).filter("kinds > 1").select("value", F.col("top.main").alias("main"), (F.col("all") - F.col("top.c")).alias("rest"), "all")
-        main, _ = C.store(main, "main")
-        todo = main.agg(F.sum("rest"), F.sum(F.col("rest") * F.col("all")), F.sum("all")).first()
-        if not todo[0]:
-            break
-        named = named.join(main, "value")
-        rest = named.filter("component <> main")
-        last = turn == 3 or todo[1] <= 50 * todo[2]
-        if not last:  # one new hub for each list, out of the rest: again linear
-            rest = rest.groupBy("value").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("h")).select("value", "h.*")
-        p = rest.select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(named.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "value").filter("ca <> cb").filter(near).select(*ordered).distinct()
-        p, _ = C.store(p.join(found, ["a", "b"], "left_anti"), "more")
-        found, _ = C.store(found.select("a", "b").union(p), "pairs")
+    C.release(spark)
+    # long lists with members of several components: those outside the largest one meet all members of other components, pair by pair
+    named = members.select("value", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named, named_path = C.store(named, "named")
+    sizes = named.groupBy("value", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
+    open_lists, _ = C.store(named.join(main.select("value", "main"), "value"), "open")
+    rest = open_lists.filter("component <> main").select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    others = open_lists.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    p = rest.join(others, (rest["value"] == others["value"]) & (rest["ca"] != others["cb"]) & near).select(*ordered).distinct()
+    p, _ = C.store(p.join(found, ["a", "b"], "left_anti"), "more")
+    if not p.isEmpty():
         more = confirm(p)
         if not more.isEmpty():
-            links = links.union(more)
-            labels, _ = C.store(graph.components(links), "labels")
-        if last:
-            break
+            labels, _ = C.store(graph.components(links.union(more)), "labels")
+    C.discard(spark, named_path)
+    C.release(spark)
     classes = reps.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
