@@ -7,6 +7,7 @@ subpackage.  Hashes are 64 bit: a polynomial over random byte values modulo 2**6
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -68,6 +69,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: large arrays otherwise stay with a long-lived worker."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a scratch folder, usable by the driver and by tasks."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -164,7 +164,8 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(0))
-            for i, j in C.blocks(offs, 2 * C.BLOCK):
+            C.trim()
+            for i, j in C.blocks(offs, C.BLOCK // 2):
                 tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pairs, _ = bigrams(tokens, before)
                 rows = _dealt(*summed(tokens), 0, seg_bits) + _dealt(*summed(pairs), 1, seg_bits)
@@ -174,6 +175,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
                 yield pa.RecordBatch.from_arrays([pa.array([(s << 1) | k for k, s, *_ in rows], pa.int64()), keys, small, over], ["slot", "keys", "small", "over"])
 
     def add(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         kind, all_keys, all_counts = key[0].as_py() & 1, [], []
         for batch in group:
             for _, k, small, over in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -215,6 +217,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
                 yield pa.RecordBatch.from_arrays([C.packed([keys[own]]), C.packed([counts[own]])], ["keys", "counts"])
 
     def fill(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         all_keys, all_levels = [], []
         for batch in group:
             for slot, k, c in zip(*(x.to_pylist() for x in batch.columns[:3]), strict=True):
@@ -252,7 +255,8 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
         bloom, task, serial = LogFrequencyBloom(data, seg_bits, bits), TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
-            for i, j in C.blocks(offs, 2 * C.BLOCK):
+            C.trim()
+            for i, j in C.blocks(offs, C.BLOCK // 2):
                 tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pairs, _ = bigrams(tokens, before)
                 # the END that opens each document has the count of END
