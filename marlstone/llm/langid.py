@@ -217,7 +217,7 @@ class Pooler:
             self._clear()
         sums, size = np.zeros((len(keys), self.n + 1), np.float32), ends - starts
         order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 2048):
+        for at in range(0, len(order), 1024):
             own = order[at : at + 2048]
             t_max = int(size[own].max())
             place = starts[own] + np.arange(t_max)[:, None]
@@ -267,6 +267,7 @@ def answers(model: Model | None, batch: pa.RecordBatch, col: int) -> tuple[list[
         _pooler[model.key] = Pooler(model)
     raw, offs = C.text_buffer(batch.column(col))
     sums = _pooler[model.key].pool(raw, offs)
+    C.trim()
     best = sums[:, :-1].argmax(1)
     score = np.where(sums[:, -1] > 0, sums[np.arange(n), best] / np.maximum(sums[:, -1], 1), 0)
     ascii_letter = np.zeros(256, bool)

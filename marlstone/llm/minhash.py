@@ -47,6 +47,7 @@ def sketches(docs: DataFrame, shingle: int, k: int, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            C.trim()
             raw, offs = C.text_buffer(batch.column(1))
             n, h, sk = [], [], []
             for _, s in shingle_sets(raw, offs, shingle):

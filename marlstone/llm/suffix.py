@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 GRAM, HOT = 32, 2048
-BUCKET = 2 << 20  # bytes of contexts that a bucket is meant to hold
+BUCKET = 1 << 19  # bytes of contexts that a bucket is meant to hold
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -129,7 +129,7 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return x, h[x], sound[edge], sound[last]
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK // 2) -> tuple[np.ndarray, ...]:
     """Anchors of documents: (place, hash, first window, last window, context hash), in order of first window.
 
     Documents are taken in blocks, and long ones in stretches that begin with the first window of an anchor.
@@ -186,6 +186,15 @@ def _runs(windows: np.ndarray) -> np.ndarray:
     return np.stack([windows[first], np.diff(np.append(first, len(windows)))], 1)
 
 
+def _covered(windows: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes under windows, given as (first, number) pairs."""
+    both = np.concatenate([*windows, np.zeros((2, 0), np.int64)], 1)
+    both = both[:, np.argsort(both[0], kind="stable")]
+    ends = np.maximum.accumulate(both[0] + both[1] + length - 1) if both.shape[1] else both[0]
+    fresh = np.concatenate([[True], both[0][1:] > ends[:-1]]) if len(ends) else np.zeros(0, bool)
+    return both[0][fresh], ends[np.concatenate([fresh[1:], [True]])] if len(ends) else ends
+
+
 def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
@@ -257,6 +266,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     listed = spark.createDataFrame([f[:2] for f in files], "part long, path string").repartition(len(files), "part")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         for batch in batches:
             for part, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, raw, offs = _read(path, text_name)
@@ -279,6 +289,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), C.packed([low[cut[s] : cut[s + 1]].ravel() for s in some]), C.packed([c[cut[s] : cut[s + 1]] for s in some])], ["seg", "part", "grams", "contexts"])
 
     def judge(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         rows = sorted(((p, g, c) for b in group for _, p, g, c in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[0])
         n = [len(c) // 8 for _, _, c in rows]
         wide = np.zeros((sum(n), 8), np.uint8)
@@ -319,6 +330,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         return lo, k, x, out
 
     def contexts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         part = key[0].as_py()
         rows = {s: f for b in group for s, f in zip(b.column("seg").to_pylist(), b.column("flags").to_pylist(), strict=True)}
         lo, k, x, flag = load(paths[part], rows)
@@ -353,6 +365,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), *(C.packed([r[i] for r in out]) for i in (2, 3, 4))], schema)
 
     def repeats(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         rows = [r for b in group for r in zip(*(x.to_pylist() for x in b.columns), strict=True)]
         where = np.concatenate([np.frombuffer(p, "<u4").astype(np.int64) | part << 32 for _, part, p, *_ in rows])
         if key[0].as_py() < 0:
@@ -377,6 +390,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     columns, fields = list(slim.columns), slim.schema
 
     def finish(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         part = key[0].as_py()
         rows, windows = {}, []
         for b in group:
@@ -386,24 +400,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 elif s >= 0:
                     rows[s] = f
         table, raw, offs = _read(paths[part], text_name)
-        step = np.zeros(len(raw) + 1, np.int32)
         if rows:
             lo, k, _, flag = load(paths[part], rows)
             windows.append(np.stack([lo[flag == 1], k[flag == 1]]))
-        for first, n in windows:
-            np.add.at(step, first, 1)
-            np.add.at(step, first + n + length - 1, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        upto = np.concatenate([[0], np.cumsum(gone)])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inner = offs[:-1][offs[:-1] < len(raw)]
-        opens[inner] = gone[inner]
-        starts = np.concatenate([[0], np.cumsum(opens)])
-        kept, n_docs = [], len(offs) - 1
-        for i in range(n_docs):
-            a, b = offs[i], offs[i + 1]
-            kept.append((raw[a:b][~gone[a:b]] if upto[b] > upto[a] else raw[a:b]).tobytes())
+        first, last = _covered(windows, length)
+        a, b = np.searchsorted(last, offs[:-1], "right"), np.searchsorted(first, offs[1:], "left")  # runs that a document meets
+        kept, removed, data = [], np.zeros(len(offs) - 1, np.int64), memoryview(raw)
+        for i, (at, end) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+            if b[i] <= a[i] or at == end:
+                kept.append(bytes(data[at:end]))
+                continue
+            own, place = [], at
+            for x, y in zip(first[a[i] : b[i]].tolist(), last[a[i] : b[i]].tolist(), strict=True):
+                x, y = max(x, at), min(y, end)  # runs of two documents may touch
+                own.append(data[place:x])
+                removed[i] += y - x
+                place = y
+            kept.append(b"".join([*own, data[place:end]]))
+        spans = np.where(np.diff(offs) > 0, np.maximum(b - a, 0), 0)
         if texts:
             null = table.column(text_name).is_null().to_pylist()
             new = pa.array([None if z else t.decode("utf-8", "ignore") for t, z in zip(kept, null, strict=True)], table.schema.field(text_at).type)
@@ -412,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
             yield from table.filter(pa.array(~emptied)).combine_chunks().to_batches(max_chunksize=5000)
             return
         yield pa.RecordBatch.from_arrays(
-            [table.column(id_at).combine_chunks(), pa.array(np.diff(offs)), pa.array(np.diff(upto[offs])), pa.array(np.diff(starts[offs])), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
+            [table.column(id_at).combine_chunks(), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
