@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .primitives import field_text, found, groups, trim_covered
+from .primitives import bind, field_text, found, groups, trim_covered
 
 # States, those whose code is also a country's, countries and their other names, markers and empty phrases.
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
@@ -68,18 +68,23 @@ def _doubtful(x: Column) -> Column:
 
 def classify_location(x: Column) -> Column:
     """struct(city, state, country, postal_code), each struct(value, provenance)."""
-    text, parts = field_text(x), None
-    for form, (pattern, names) in FORMS.items():
-        order = ("before", *names, "after")
-        got = groups(text, pattern, len(order))
-        cells = [F.lit(form).alias("form")] + [(F.get(got, F.lit(order.index(n))) if n in order else F.lit("")).alias(n) for n in _NAMES]
-        this = F.when(got.isNotNull(), F.struct(*cells))
-        parts = this if parts is None else F.coalesce(parts, this)
+    def read(text: Column) -> Column:
+        parts = None
+        for form, (pattern, names) in FORMS.items():
+            order = ("before", *names, "after")
+            got = groups(text, pattern, len(order))
+            cells = [F.lit(form).alias("form")] + [(F.get(got, F.lit(order.index(n))) if n in order else F.lit("")).alias(n) for n in _NAMES]
+            this = F.when(got.isNotNull(), F.struct(*cells))
+            parts = this if parts is None else F.coalesce(parts, this)
+        return parts
+
+    def known(p: Column) -> Column:
+        return F.struct(*[p[n].alias(n) for n in ("form", "before", "after", "geo", "zip")], p["region"].alias("region_text"), _state(p["state"]).alias("state"), _country(p["country"]).alias("country"), _state(p["region"]).alias("region"))
 
     def decide(p: Column) -> Column:
-        form, state, country, region = p["form"], _state(p["state"]), _country(p["country"]), _state(p["region"])
+        form, state, country, region = p["form"], p["state"], p["country"], p["region"]
         us = country == "United States"
-        sound = ~((p["before"] != "") & (p["after"] != "")) & ~((p["geo"] != "") & _doubtful(p["geo"])) & ~((p["region"] != "") & region.isNull() & _doubtful(p["region"]))
+        sound = ~((p["before"] != "") & (p["after"] != "")) & ~((p["geo"] != "") & _doubtful(p["geo"])) & ~((p["region_text"] != "") & region.isNull() & _doubtful(p["region_text"]))
         sound = sound & ~((form == "state") & state.isin(*COLLIDING)) & ~((form == "region_country") & (us != region.isNotNull()))
         inferred = form.isin("state", "zip")
         use = lambda c: F.when(sound, c)
@@ -92,4 +97,4 @@ def classify_location(x: Column) -> Column:
 
     nothing = found(F.lit(None).cast("string"), "unavailable")
     empty = F.struct(*[nothing.alias(n) for n in ("city", "state", "country", "postal_code")])
-    return F.coalesce(F.get(F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), decide(p))), F.lit(0)), empty)
+    return F.coalesce(bind(field_text(x), lambda t: bind(read(t), lambda p: F.when(p.isNotNull(), bind(known(p), decide)))), empty)

@@ -119,6 +119,11 @@ def field_text(x: Column) -> Column:
     return F.when(t.rlike(r"\.\z") & ~t.rlike(r"\.\.\z"), trim_covered(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
 
 
+def bind(x: Column, fn) -> Column:
+    """fn(x) with x worked out once, however often fn names it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def found(value: Column, provenance: str | Column) -> Column:
     """(value, provenance): a null value is always ``unavailable``."""
     p = F.lit(provenance) if isinstance(provenance, str) else provenance

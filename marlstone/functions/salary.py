@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .primitives import field_text, found, groups
+from .primitives import bind, field_text, found, groups
 
 # Labels, currencies and what period words mean; periods that are known but not supported void the amounts.
 LABELS = ("salary", "base salary", "base pay", "pay rate", "pay")
@@ -64,34 +64,41 @@ def _amount(num: Column, sign: Column) -> Column:
 def classify_salary(x: Column) -> Column:
     """struct(minimum, maximum, currency, period), each struct(value, provenance)."""
 
+    def read(p: Column) -> Column:
+        """The numbers and codes of the parts, each once."""
+        shared = p["num2"].rlike(r"(?i)k\z") & ~p["num"].rlike(r"(?i)k\z")
+        code, code2 = F.upper(p["code"]), F.upper(p["code2"])
+        return F.struct(
+            p["form"].alias("form"),
+            p["plus"].alias("plus"),
+            ((p["label"] != "") | (p["code"] != "") | (p["code2"] != "") | (p["sym"] != "") | (p["sym2"] != "")).alias("anchored"),
+            bind(_amount(p["num"], p["sign"]).cast("long") * F.when(shared, 1000).otherwise(1), lambda n: F.when(n <= LARGEST, n.cast("int"))).alias("first"),
+            _amount(p["num2"], p["sign2"]).alias("second"),
+            (p["num2"] != "").alias("ranged"),
+            F.lower(F.regexp_replace(F.concat(p["slash"], p["word"]), f"{_S}+", " ")).alias("word"),
+            F.when(code == "", code2).otherwise(code).alias("code"),
+            F.when(p["sym"] == "", p["sym2"]).otherwise(p["sym"]).alias("sym"),
+            (((code != "") & (code2 != "") & (code != code2)) | ((p["sym"] != "") & (p["sym2"] != "") & (p["sym"] != p["sym2"]))).alias("clash"),
+        )
+
     def decide(p: Column) -> Column:
-        anchored = (p["label"] != "") | (p["code"] != "") | (p["code2"] != "") | (p["sym"] != "") | (p["sym2"] != "")
-        ranged = p["num2"] != ""
-        first, second = _amount(p["num"], p["sign"]), _amount(p["num2"], p["sign2"])
-        shared = ranged & p["num2"].rlike(r"(?i)k\z") & ~p["num"].rlike(r"(?i)k\z")
-        scaled = first.cast("long") * 1000
-        first = F.when(shared, F.when(scaled <= LARGEST, scaled.cast("int"))).otherwise(first)
+        first, second, ranged, word, one_code, one_sym, clash = (p[n] for n in ("first", "second", "ranged", "word", "code", "sym", "clash"))
         sound = first.isNotNull() & second.isNotNull() & (first <= second)
         none = F.lit(None).cast("int")
         low = F.when(ranged, F.when(sound, first)).when(p["form"] == "upper", none).otherwise(first)
         high = F.when(ranged, F.when(sound, second)).when(p["plus"] != "", none).otherwise(first)
-        word = F.lower(F.regexp_replace(F.concat(p["slash"], p["word"]), f"{_S}+", " "))
         period = None
         for name, words in PERIODS.items():
             period = F.when(word.isin(*words), name) if period is None else period.when(word.isin(*words), name)
         void = (word != "") & period.isNull()
-        code, code2 = F.upper(p["code"]), F.upper(p["code2"])
-        one_code = F.when(code == "", code2).otherwise(code)
-        one_sym = F.when(p["sym"] == "", p["sym2"]).otherwise(p["sym"])
         fits = F.lit(False)
         alone = F.lit(None).cast("string")
         for sym, codes in SYMBOL_CODES.items():
             fits = fits | ((one_sym == sym) & one_code.isin(*codes))
             if len(codes) == 1:
                 alone = F.when(one_sym == sym, codes[0]).otherwise(alone)
-        clash = ((code != "") & (code2 != "") & (code != code2)) | ((p["sym"] != "") & (p["sym2"] != "") & (p["sym"] != p["sym2"]))
         currency = F.when(~clash, F.when(one_code == "", alone).when((one_sym == "") | fits, one_code))
-        use = lambda c: F.when(anchored, c)
+        use = lambda c: F.when(p["anchored"], c)
         return F.struct(
             found(use(F.when(~void, low)), "parsed_description").alias("minimum"),
             found(use(F.when(~void, high)), "parsed_description").alias("maximum"),
@@ -101,5 +108,4 @@ def classify_salary(x: Column) -> Column:
 
     nothing = lambda kind: found(F.lit(None).cast(kind), "unavailable")
     empty = F.struct(nothing("int").alias("minimum"), nothing("int").alias("maximum"), nothing("string").alias("currency"), nothing("string").alias("period"))
-    # a lambda binds the parts once
-    return F.coalesce(F.get(F.transform(F.array(_parts(field_text(x))), lambda p: F.when(p.isNotNull(), decide(p))), F.lit(0)), empty)
+    return F.coalesce(bind(field_text(x), lambda t: bind(_parts(t), lambda p: F.when(p.isNotNull(), bind(read(p), decide)))), empty)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .primitives import COVERED, trim_covered
+from .primitives import COVERED, bind, trim_covered
 
 # Default ports, and query parameters that are dropped besides those that begin with utm_.
 PORTS = {"http": 80, "https": 443}
@@ -72,7 +72,13 @@ def normalize_url(x: Column) -> Column:
     """Scheme and host in lower case, default port and fragment dropped, no final slashes, tracking parameters dropped, others sorted."""
     t = trim_covered(x)
     plain = t.rlike(_PLAIN)
-    g = lambda i: F.regexp_extract(t, _PLAIN, i)
+    parts = F.split(F.regexp_replace(t, _PLAIN, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", -1)  # one match a row
+    native = bind(F.when(plain, parts), _canonical)
+    return F.when(plain, native).otherwise(_url_in_python(F.when(~plain, x)))
+
+
+def _canonical(parts: Column) -> Column:
+    g = lambda i: F.get(parts, F.lit(i - 1))
     scheme = F.lower(g(1))
     port = F.regexp_replace(g(3), "^:0*(?=[0-9])", ":")
     port = F.when((port == "") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
@@ -80,8 +86,7 @@ def normalize_url(x: Column) -> Column:
     pairs = F.transform(F.filter(F.split(F.substring(g(5), 2, 1 << 20), "&"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.substring_index(p, "=", -1)).otherwise("").alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda p: ~(F.startswith(F.lower(p["k"]), F.lit("utm_")) | F.lower(p["k"]).isin(*DROPPED))))
     query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    native = F.concat(scheme, F.lit("://"), F.lower(g(2)), port, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(plain, native).otherwise(_url_in_python(F.when(~plain, x)))
+    return F.concat(scheme, F.lit("://"), F.lower(g(2)), port, bind(path, lambda v: F.when(v == "", "/").otherwise(v)), bind(query, lambda v: F.when(v == "", "").otherwise(F.concat(F.lit("?"), v))))
 
 
 def url_host(x: Column) -> Column:

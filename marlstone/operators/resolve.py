@@ -51,7 +51,7 @@ def resolve(postings: DataFrame, occurrences: DataFrame, run_id: str) -> DataFra
     postings: seq (unique), provider, source, source_tenant_id, source_job_id, requisition_id, source_url, canonical_url, observed_at.
     """
     c = F.col
-    rows = keyed(postings)
+    rows = cut(keyed(postings))
     new_job, new_occurrence = derived_id(F.lit(run_id), c("seq"), F.lit("job")), derived_id(F.lit(run_id), c("seq"), F.lit("occurrence"))
     good = rows.filter("key_id is not null")
     first = good.groupBy("key_id").agg(F.min(F.struct("seq", "url")).alias("f")).select("key_id", c("f.seq").alias("first_seq"), c("f.url").alias("first_url"))
