@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quotes
+from . import oracles, quotes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,4 +87,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_packing, op4_ngram_bloom, op5_minhash, op6_decontamination, op7_suffix_array, op8_quotes, op9_language_id, op10_warc)}
-SQL: dict[str, str] = {"op8_quotes": quotes.SQL}
+SQL: dict[str, str] = {"op5_minhash": oracles.MINHASH, "op8_quotes": quotes.SQL, "op10_warc": oracles.WARC}
