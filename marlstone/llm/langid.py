@@ -212,9 +212,12 @@ class Pooler:
     def _clear(self) -> None:
         self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, self.n + 1), np.float32)
 
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(keys))
+        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
+
     def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.LIMIT:
-            self._clear()
         sums, size = np.zeros((len(keys), self.n + 1), np.float32), ends - starts
         order = np.argsort(size, kind="stable")
         for at in range(0, len(order), 1024):
@@ -241,12 +244,13 @@ class Pooler:
                 if not len(starts):
                     continue
                 keys, first, back = np.unique(C.span_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                while True:
-                    where = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-                    new = np.flatnonzero(self.keys[where] != keys) if len(self.keys) else np.arange(len(keys))
-                    if not len(new):
-                        break
+                new = self._missing(keys)
+                if len(self.keys) + len(new) > self.LIMIT:
+                    self._clear()
+                    new = self._missing(keys)
+                if len(new):
                     self._learn(keys[new], part, starts[first[new]], ends[first[new]])
+                where = np.searchsorted(self.keys, keys)
                 sums = self.sums[where]
                 for c in range(self.n + 1):
                     upto = np.concatenate([[0.0], np.cumsum(sums[back, c], dtype=np.float64)])

@@ -54,8 +54,6 @@ class MemoEncoder:
         return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(hashes) > self.LIMIT:
-            self._clear()
         got = self._library(texts)
         n = np.fromiter(map(len, got), np.int32, len(got))
         at = self.used + np.concatenate([[0], np.cumsum(n[:-1], dtype=np.int64)])
@@ -116,7 +114,11 @@ class MemoEncoder:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             return np.flatnonzero(self.keys[at] != keys)
 
-        while len(new := missing()):  # more than once only when the memory was cleared
+        new = missing()
+        if len(self.keys) + len(new) > self.LIMIT:
+            self._clear()
+            new = missing()  # all of the block, which always fits for a while
+        if len(new):
             self._learn(keys[new], [text[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         at = np.searchsorted(self.keys, keys)
         n, src = self.n[at][back].astype(np.int64), self.at[at][back]
