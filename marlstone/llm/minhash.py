@@ -10,8 +10,11 @@ least id as representative, so exact copies cost one aggregation.  Between repre
     hash and the most typical one): lists of one group of copies share their hubs, and work is linear in the group.
 3.  *Union-sketch estimation* drops pairs whose estimated Jaccard index lies far below the threshold.
 4.  *Exact Jaccard* on the full sets, made anew from the texts of documents in candidate pairs alone, confirms links.
-5.  In long lists whose members are not all in one component yet, those outside the largest component are compared with all members of
-    other components, so no link between components is lost.
+5.  Long lists of one hub whose members are not all in one component yet form a group.  Each member is written as its difference to the
+    group's centre (the values that more than half of the members hold).  |a ^ b| = |da ^ db|, so members whose differences are small
+    enough together are linked for certain and meet the one with the least; all others must share values of their differences, which
+    are rare.  Inverted lists of those, rarest first with a bound by position, give the pairs that are left; no link between components
+    is lost, and a group of copies with edits of their own costs about its size.
 
 Components are found by star contraction; nothing but a few sums comes to the driver.
 """
@@ -94,18 +97,71 @@ def _estimate(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFr
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b): pairs with den * intersection >= num * union on the full sets."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi")
+def _sets(need: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, items): the full set, as packed ascending hashes, of each row whose id is in need."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            C.trim()
             raw, offs = C.text_buffer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), C.packed([s for _, s in shingle_sets(raw, offs, shingle)])], ["id", "items"])
 
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi").mapInArrow(run, "id long, items binary")
+
+
+def _unpacked(items: DataFrame) -> DataFrame:
+    """(rep, key, items): sets as arrays; key tells apart rows that repeat an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in col])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*col, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rep", "key", "items"])
+
+    return items.select("id", F.xxhash64("items"), "items").mapInArrow(run, "rep long, key long, items array<long>")
+
+
+def _between(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one group and different components that may be linked; enough of them to join components.
+
+    groups: g, m (members of the group), rep, n, component, away (outside the group's largest component); sets: rep, key, items.
+    With s = (den + num) * |difference| - (den - num) * n, a and b are linked where s_a + s_b <= 2 * (den + num) * |shared differences|.
+    """
+    share = F.ceil(F.col("m") / 64).cast("int")  # a large group is dealt to many tasks; what belongs to the group goes to each
+    salted = F.pmod(F.xxhash64("rep"), share.cast("long")).alias("salt")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), share.cast("long") - 1)).alias("salt")
+    members, _ = C.store(groups.join(sets, "rep").filter("size(items) = n"), "members")
+    held = members.select("g", "m", F.explode("items").alias("value")).groupBy("g", "m", "value").agg(F.count("*").alias("c")).filter("2 * c > m")
+    centre = held.groupBy("g", "m").agg(F.collect_list("value").alias("centre"))  # at most twice the mean set of the group
+    centre = centre.select("g", "centre", everywhere)
+    core = F.coalesce("centre", F.array().cast("array<long>"))
+    delta = members.select("*", salted).join(centre, ["g", "salt"], "left").select("g", "m", "salt", "rep", "key", "n", "component", "away", F.concat(F.array_except("items", core), F.array_except(core, "items")).alias("d"))
+    delta, _ = C.store(delta.withColumn("s", (den + num) * F.size("d").cast("long") - (den - num) * F.col("n")), "delta")
+    least = delta.groupBy("g", "m").agg(F.min(F.struct("s", "rep", "component")).alias("least")).select("g", "least", everywhere)
+    delta = delta.join(least, ["g", "salt"])
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    certain = delta.filter((F.col("s") + F.col("least.s") <= 0) & (F.col("component") != F.col("least.component"))).select(F.col("rep").alias("a"), F.col("least.rep").alias("b")).select(*ordered)
+
+    who = ("g", "rep", "key", "n", "component", "away", "s")
+    flat = delta.select(*who, F.col("least.s").alias("least"), F.explode("d").alias("value"))
+    shared = flat.groupBy("g", "value").agg(F.count("*").alias("df"), F.max("away").alias("any")).filter("df > 1 and any").select("g", "value", "df")
+    own = flat.join(shared, ["g", "value"]).groupBy(*who, "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    # of the values from here on, `rest` are left: no pair that first meets here can share more
+    index = own.select(*who, "least", F.size("own").alias("size"), F.posexplode("own").alias("at", "x")).select(*who, "least", F.col("x.value").alias("value"), (F.col("size") - F.col("at")).alias("rest"))
+    index, _ = C.store(index.filter(2 * (den + num) * F.col("rest") >= F.col("s") + F.col("least")).drop("key", "least"), "differences")
+    a = index.filter("away").select("g", "value", *(F.col(x).alias(x + "_a") for x in ("rep", "n", "component", "s", "rest")))
+    b = index.select("g", "value", *(F.col(x).alias(x + "_b") for x in ("rep", "n", "component", "s", "rest")))
+    need = F.col("s_a") + F.col("s_b")
+    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    may = (a["g"] == b["g"]) & (a["value"] == b["value"]) & (F.col("component_a") != F.col("component_b")) & (need > 0) & (2 * (den + num) * F.least("rest_a", "rest_b") >= need) & sizes
+    return certain.union(a.join(b, may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).select(*ordered)).distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b): pairs with den * intersection >= num * union on the full sets."""
     # ids are those of classes; if an id is repeated, the class of the pair is one of its rows: any row of the id may confirm
-    items, path = C.store(texts.mapInArrow(sets, "id long, items binary"), "sets")
+    items, _ = C.store(_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, shingle, id_col, text_col), "sets")
     joined = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +208,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     C.release(spark)
 
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     short = index.join(lists.filter(F.col("c") <= SHORT).select("value"), "value")
     members = index.join(lists.filter(F.col("c") > SHORT).select("value", "hub1", "hub2", "hub3"), "value")
     in_list = short.groupBy("value").agg(F.collect_list(F.struct("rep", "n")).alias("m"))  # at most SHORT
@@ -168,15 +223,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     links = confirm(found)
     labels, _ = C.store(graph.components(links), "labels")
     C.release(spark)
-    # long lists with members of several components: those outside the largest one meet all members of other components, pair by pair
-    named = members.select("value", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # long lists of one hub with members of several components
+    named = members.select(F.col("hub1").alias("g"), "rep", "n").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named, named_path = C.store(named, "named")
-    sizes = named.groupBy("value", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_lists, _ = C.store(named.join(main.select("value", "main"), "value"), "open")
-    rest = open_lists.filter("component <> main").select("value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    others = open_lists.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    p = rest.join(others, (rest["value"] == others["value"]) & (rest["ca"] != others["cb"]) & near).select(*ordered).distinct()
+    sizes = named.groupBy("g", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("g").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("kinds")).filter("kinds > 1")
+    groups, _ = C.store(named.join(main.select("g", "main", "m"), "g").select("g", "m", "rep", "n", "component", (F.col("component") != F.col("main")).alias("away")), "open")
+    sets, _ = C.store(_sets(groups.select(F.col("rep").alias("id")).distinct(), docs, shingle, id_col, text_col), "sets")
+    p = _between(groups, _unpacked(sets), num, den)
     p, _ = C.store(p.join(found, ["a", "b"], "left_anti"), "more")
     if not p.isEmpty():
         more = confirm(p)
