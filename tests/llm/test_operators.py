@@ -238,6 +238,25 @@ def test_near_duplicates(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_links_between_members_far_from_every_hub(spark, monkeypatch):
+    """Windows over one long text link with the next window alone: long lists whose hubs reach few members."""
+    rnd = random.Random(8)
+    text = ["t%d" % i for i in range(600)]
+    ids = rnd.sample(range(1, 1000), 90)
+    rows = [(i, " ".join(text[5 * k : 5 * k + 120])) for k, i in enumerate(ids)]
+    for i in range(40):  # copies with edits of their own: each is below the threshold to the others
+        w = ["c%d" % j for j in range(150)]
+        for j in rnd.sample(range(150), 1 if i < 12 else 7):
+            w[j] = "e%d" % rnd.randrange(10**6)
+        rows.append((2000 + i, " ".join(w)))
+    between, seen = minhash._between, []
+    monkeypatch.setattr(minhash, "_between", lambda *a: seen.append(between(*a)) or seen[0])
+    got = minhash.near_duplicates(frame(spark, rows), shingle=3, num=85).collect()
+    want = brute_links(rows, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert seen[0].count() > 0
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
