@@ -1,15 +1,15 @@
 """N-gram language model whose counts lie in a log-frequency Bloom filter.
 
 Counts of unigrams and bigrams are quantised to ``1 + floor(log2 c)``; an n-gram with level q is entered as (n-gram, 1) .. (n-gram, q), and its
-level is read back by probing for 1, 2, ... until a probe fails.  The filter has at most ``max_bits`` bits and is broadcast; if all
-bigrams do not fit at ``bits_per_item``, those below the least count that makes them fit are left to the back-off (``LanguageModel.cutoff``
-tells it).  Unigrams in the ``head`` table, a bounded broadcast of the most frequent words, have exact counts.
+level is read back by probing for 1, 2, ... until a probe fails.  The filter holds every bigram, and every word outside the ``head``
+table, a bounded broadcast of the most frequent words, which have exact counts.  It is a table of segments, each as large as its own
+entries need at ``bits_per_item``; their number grows with the text, and no segment leaves its task.
 
     P1(w)   = (c(w) + 0.1) / (N + 0.1 (V + 1))
     P(w|v)  = (c(v, w) + mu P1(w)) / (c(v) + mu)
 
-The base score asks for exact counts of all words.  Those outside the head are joined: occurrences are dealt by word hash to the
-segments of the count table, looked up there, and summed by document.  No word is dropped and no vocabulary is collected.
+To score, the distinct bigrams and rare words of a block of documents are dealt to their segments; levels (and exact counts of words, for
+the base score) come back in the order asked for.  No n-gram is dropped and neither the filter nor the vocabulary is collected.
 
 Counting shuffles packed arrays: a task sorts and sums the n-grams of a block of documents, so a very frequent one is one entry a block.
 """
@@ -75,12 +75,12 @@ def _salt(level: int) -> np.uint64:
 
 
 def _probes(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Places in a segment; each mix gives three places of up to 21 bits."""
+    """Places in a segment; each mix gives two places of up to 32 bits."""
     h = C.mix(keys + _salt(level))
     for i in range(HASHES):
-        if i and i % 3 == 0:
+        if i and i % 2 == 0:
             h = C.mix(h + _LEVEL)
-        yield (h >> np.uint64(21 * (i % 3)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        yield (h >> np.uint64(32 * (i % 2)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -98,11 +98,11 @@ class LogFrequencyBloom:
         alive, level = np.flatnonzero(most > 0), 1
         while len(alive):
             for place in range(HASHES):
-                if place % 3 == 0:
+                if place % 2 == 0:
                     h = C.mix(keys[alive] + _salt(level))
                     if place:
                         h = C.mix(h + _LEVEL)
-                at = base[alive] + (h >> np.uint64(21 * (place % 3)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+                at = base[alive] + (h >> np.uint64(32 * (place % 2)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
                 hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 alive, h = alive[hit], h[hit]
             out[alive] = level
@@ -142,12 +142,10 @@ def _widen(data: bytes) -> np.ndarray:
 class LanguageModel:
     tokens: int  # N
     vocabulary: int  # V
-    cutoff: int  # bigrams of lower counts are not in the filter
     head_keys: np.ndarray
     head_counts: np.ndarray
-    bloom: LogFrequencyBloom
     seg_bits: int
-    tail: DataFrame  # kind 0 rows of the count table: exact counts of all words by segment
+    segments: DataFrame  # seg, bits of the filter, keys and exact counts of the words outside the head
     tail_words: int
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
@@ -155,11 +153,15 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits_per_item: int = 12, tokens_per_segment: int = 1 << 20, text_col: str = "text") -> LanguageModel:
-    """Counts all of docs.  To the driver come: sums, one histogram of levels a segment, at most ``head`` words, at most max_bits bits."""
+    """Counts all of docs.  To the driver come: sums, one histogram of levels a segment, at most ``head`` words.
+
+    Segments are made so many that one needs about ``max_bits`` bits or ``tokens_per_segment`` tokens at most.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    seg_bits = max(0, min(20, int(size / 6 / tokens_per_segment).bit_length()))
+    # a token brings one bigram and seldom more than two entries
+    seg_bits = max(0, min(20, int(size / 6 / max(1, min(tokens_per_segment, max_bits // (2 * bits_per_item)))).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,26 +190,16 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([keys]), C.packed([counts.astype("<i8")]), C.packed([levels_n]), pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())], ["slot", "keys", "counts", "levels", "total", "n"])
 
     dealt = slim.mapInArrow(count, "slot long, keys binary, small binary, over binary")
-    table, _ = C.store(dealt.groupBy("slot").applyInArrow(add, "slot long, keys binary, counts binary, levels binary, total long, n long"), "counts")
+    table, table_path = C.store(dealt.groupBy("slot").applyInArrow(add, "slot long, keys binary, counts binary, levels binary, total long, n long"), "counts")
     tokens = vocabulary = 0
-    shares = np.zeros((2, 64), np.int64)
-    for r in table.select("slot", "levels", "total", "n").toLocalIterator():
-        shares[r.slot & 1] += np.frombuffer(bytes(r.levels), "<i8")
-        if r.slot & 1 == 0:
-            tokens, vocabulary = tokens + r.total, vocabulary + r.n
+    shares = np.zeros(64, np.int64)
+    for r in table.filter("slot % 2 = 0").select("levels", "total", "n").toLocalIterator():
+        shares += np.frombuffer(bytes(r.levels), "<i8")
+        tokens, vocabulary = tokens + r.total, vocabulary + r.n
+    C.release(spark)
     # the head: all words of at least 2**(least - 1) occurrences, as many as fit
-    upto = np.cumsum(shares[0][::-1])[::-1]
+    upto = np.cumsum(shares[::-1])[::-1]
     least = next(q for q in range(1, 65) if q == 64 or upto[q] <= head)
-    # the filter: words outside the head, and bigrams of at least 2**(low - 1) occurrences
-    need = [int((shares[1][q:] * np.arange(q, 64)).sum()) for q in range(1, 64)]
-    per = max_bits // bits_per_item
-    low_word = next(q for q in range(1, 65) if q >= least or int((shares[0][q:least] * np.arange(q, least)).sum()) <= per // 2)
-    words = int((shares[0][low_word:least] * np.arange(low_word, least)).sum())
-    low = next((q for q, n in enumerate(need, 1) if n + words <= per), 63)
-    items = need[low - 1] + words
-    bits = max(6, min(21, (max(1, items * bits_per_item) >> seg_bits).bit_length()))
-    while bits > 6 and (1 << bits + seg_bits) > max_bits:
-        bits -= 1
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,25 +210,30 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
 
     def fill(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.trim()
-        all_keys, all_levels = [], []
+        none = np.zeros(0, np.uint64)
+        entries, entry_levels, words, counts = [none], [none.astype(np.int64)], none, none.astype("<i8")
         for batch in group:
             for slot, k, c in zip(*(x.to_pylist() for x in batch.columns[:3]), strict=True):
-                keys, q = np.frombuffer(k, "<u8"), levels(np.frombuffer(c, "<i8"))
-                own = q >= low if slot & 1 else (q < least) & (q >= low_word)
-                all_keys.append(keys[own] if slot & 1 else keys[own] ^ np.uint64(1))
-                all_levels.append(q[own])
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([segment_bits(np.concatenate(all_keys), np.concatenate(all_levels), bits)])], ["seg", "bits"])
+                keys, n = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
+                q = levels(n)
+                if slot & 1 == 0:
+                    own = q < least
+                    words, counts, keys, q = keys[own], n[own], keys[own] ^ np.uint64(1), q[own]
+                entries.append(keys)
+                entry_levels.append(q)
+        keys, q = np.concatenate(entries), np.concatenate(entry_levels)
+        bits = max(6, min(32, (int(q.sum()) * bits_per_item).bit_length()))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([segment_bits(keys, q, bits)]), C.packed([words]), C.packed([counts])], ["seg", "bits", "keys", "counts"])
 
     heads = table.filter("slot % 2 = 0").select("keys", "counts").mapInArrow(top, "keys binary, counts binary").collect()
     keys = np.concatenate([*(np.frombuffer(bytes(r.keys), "<u8") for r in heads), np.zeros(0, np.uint64)])
     counts = np.concatenate([*(np.frombuffer(bytes(r.counts), "<i8") for r in heads), np.zeros(0, np.int64)])
     order = np.argsort(keys)
-    data = np.zeros((1 << seg_bits, (1 << bits) // 8), np.uint8)
-    segs = table.select("slot", "keys", "counts").withColumn("seg", F.shiftrightunsigned("slot", 1)).groupBy("seg").applyInArrow(fill, "seg long, bits binary")
-    for r in segs.toLocalIterator():
-        data[r.seg] = np.frombuffer(bytes(r.bits), np.uint8)
-    bloom = LogFrequencyBloom(data.ravel(), seg_bits, bits)
-    return LanguageModel(tokens, vocabulary, 1 << low - 1, keys[order], counts[order], bloom, seg_bits, table.filter("slot % 2 = 0").select("slot", "keys", "counts"), int(vocabulary - len(keys)))
+    segs = table.select("slot", "keys", "counts").withColumn("seg", F.shiftrightunsigned("slot", 1)).groupBy("seg").applyInArrow(fill, "seg long, bits binary, keys binary, counts binary")
+    segments, _ = C.store(segs, "segments")
+    C.discard(spark, table_path)
+    C.release(spark)
+    return LanguageModel(tokens, vocabulary, keys[order], counts[order], seg_bits, segments, int(vocabulary - len(keys)))
 
 
 def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,88 +243,102 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
     0, N is 0 and V is 0.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.head_keys, model.head_counts, model.bloom.data))
-    n, v, seg_bits, bits, has_tail = model.tokens, model.vocabulary, model.seg_bits, model.bloom.bits, model.tail_words > 0
+    shared = spark.sparkContext.broadcast((model.head_keys, model.head_counts))
+    n, v, seg_bits, has_tail = model.tokens, model.vocabulary, model.seg_bits, model.tail_words > 0
     below = n + ALPHA * (v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts, data = shared.value
-        bloom, task, serial = LogFrequencyBloom(data, seg_bits, bits), TaskContext.get().partitionId() << 40, 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
-            C.trim()
+            ids, null = C.long_column(batch.column(0))
             for i, j in C.blocks(offs, C.BLOCK // 2):
-                tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                pairs, _ = bigrams(tokens, before)
-                # the END that opens each document has the count of END
-                words, back = np.unique(tokens, return_inverse=True)
-                at = np.minimum(np.searchsorted(head_keys, words), max(0, len(head_keys) - 1))
-                in_head = head_keys[at] == words if len(head_keys) else np.zeros(len(words), bool)
-                exact = np.where(in_head, head_counts[at] if len(head_keys) else 0, 0)
-                rough = exact.astype(np.float64)
-                if has_tail:
-                    out = np.flatnonzero(~in_head)
-                    rough[out] = representative(bloom.level(words[out] ^ np.uint64(1), np.full(len(out), 63)))
-                end = rough[np.searchsorted(words, END)]
-                c = rough[back]
-                context = np.empty_like(c)
-                context[1:] = c[:-1]
-                context[before[:-1]] = end
-                pair, where = np.unique(pairs, return_index=True)
-                most = levels(np.maximum(np.minimum(c, context)[where], 0) + 0.5)
-                of_pair = representative(bloom.level(pair >> np.uint64(64 - _TOP) << np.uint64(64 - _TOP), most))[np.searchsorted(pair, pairs)]
-                p1 = (c + ALPHA) / below
-                logs = np.log10((of_pair + MU * p1) / (context + MU))
-                base = np.where(in_head, np.log10((exact + ALPHA) / below), 0.0 if has_tail else np.log10(ALPHA / below))[back]
-                add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[before])
-                rid = task + serial + np.arange(j - i)
-                serial += j - i
-                k = j - i
-                slots, blobs, owners = [], [], []
+                text = pa.compress(pa.py_buffer(np.ascontiguousarray(raw[offs[i] : offs[j]])), "zstd")
+                cols = [ids[i:j], null[i:j], np.diff(offs[i : j + 1]), np.frombuffer(text, np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(C.packed([c]) for c in cols)], ["block", "ids", "nulls", "sizes", "text"])
+                at += 1
+
+    def tokens_of(sizes: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
+        return stream(np.frombuffer(pa.decompress(text, int(offsets[-1]), "zstd"), np.uint8), offsets)
+
+    def in_head(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is in the head, and its count there."""
+        head_keys, head_counts = shared.value
+        if not len(head_keys):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(head_keys, words), len(head_keys) - 1)
+        return head_keys[at] == words, np.where(head_keys[at] == words, head_counts[at], 0)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            C.trim()
+            for block, sizes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, before = tokens_of(sizes, text)
+                pairs = np.unique(bigrams(tokens, before)[0])
+                rows = _dealt(pairs, pairs, 1, seg_bits)
                 if has_tail:
-                    far = np.flatnonzero(~in_head[back])
-                    keys = tokens[far]
-                    own = rid[np.searchsorted(before, far, "right") - 1]
-                    order = np.argsort(keys, kind="stable")
-                    for _, s, a, b in _dealt(keys[order], own[order], 0, seg_bits):
-                        slots.append(s << 1)
-                        blobs.append(a)
-                        owners.append(b)
-                rows, none = k + len(slots), [None] * len(slots)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rid.tolist() + none, pa.int64()),
-                        pa.concat_arrays([batch.column(0).slice(i, k), pa.nulls(len(slots), pa.int64())]),
-                        pa.array(np.diff(before).tolist() + none, pa.int64()),
-                        pa.array(add(in_head[back].astype(np.float64)).astype(np.int64).tolist() + none, pa.int64()),
-                        pa.array(add(base).tolist() + none, pa.float64()),
-                        pa.array(add(logs).tolist() + none, pa.float64()),
-                        pa.array([None] * k + slots, pa.int64()),
-                        pa.concat_arrays([pa.nulls(k, pa.binary()), C.packed(blobs)]) if rows - k else pa.nulls(k, pa.binary()),
-                        pa.concat_arrays([pa.nulls(k, pa.binary()), C.packed(owners)]) if rows - k else pa.nulls(k, pa.binary()),
-                    ],
-                    ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "slot", "keys", "rids"],
-                )
+                    words = np.unique(tokens)
+                    far = words[~in_head(words)[0]]
+                    rows += _dealt(far, far, 0, seg_bits)
+                keys = C.packed([_narrow(k) if kind else k for kind, _, k, _ in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([s for _, s, *_ in rows], pa.int64()), pa.array([kind for kind, *_ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), keys], ["seg", "kind", "block", "keys"])
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        C.trim()
+        bloom, words, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for data, k, c in zip(*(segment.column(x).to_pylist() for x in ("bits", "keys", "counts")), strict=True):
+            data = np.frombuffer(data, np.uint8)
+            bloom, words, counts = LogFrequencyBloom(data, 0, (len(data) * 8).bit_length() - 1), np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
+        kinds = asked.column("kind").to_pylist()
+        asked_keys = [_widen(k) if kind else np.frombuffer(k, "<u8") for kind, k in zip(kinds, asked.column("keys").to_pylist(), strict=True)]
+        sizes = np.cumsum([len(k) for k in asked_keys])[:-1]
+        entries, back = np.unique(np.concatenate([*(k if kind else k ^ np.uint64(1) for kind, k in zip(kinds, asked_keys, strict=True)), words[:0]]), return_inverse=True)
+        level = bloom.level(entries, np.full(len(entries), 63)) if bloom else np.zeros(len(entries), np.int64)
+        found = np.split(level.astype(np.uint8)[back], sizes) if kinds else []
+        exact = []
+        for kind, keys in zip(kinds, asked_keys, strict=True):
+            if kind or not len(words):
+                exact.append(np.zeros(0 if kind else len(keys), "<i8"))
+            else:
+                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                exact.append(np.where(words[at] == keys, counts[at], 0).astype("<i8"))
+        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "seg": asked.column("seg"), "levels": C.packed(found), "counts": C.packed(exact)})
+
+    def sum_up(block: pa.Table, answers: pa.Table) -> pa.Table:
+        C.trim()
+        ids, null, sizes, text = (block.column(c)[0].as_py() for c in ("ids", "nulls", "sizes", "text"))
+        tokens, before = tokens_of(sizes, text)
+        pairs, _ = bigrams(tokens, before)
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "seg", "levels", "counts")), strict=True), key=lambda x: x[:2])
+        level = [np.frombuffer(b"".join(x[2] for x in got if x[0] == kind), np.uint8) for kind in (0, 1)]
+        # the END that opens each document has the count of END
+        words, back = np.unique(tokens, return_inverse=True)
+        inside, exact = in_head(words)
+        rough = exact.astype(np.float64)
+        if has_tail:
+            exact[~inside] = np.frombuffer(b"".join(x[3] for x in got if x[0] == 0), "<i8")
+            rough[~inside] = representative(level[0].astype(np.int64))
+        end = rough[np.searchsorted(words, END)]
+        c = rough[back]
+        context = np.empty_like(c)
+        context[1:] = c[:-1]
+        context[before[:-1]] = end
+        pair, where, which = np.unique(pairs, return_index=True, return_inverse=True)
+        most = levels(np.maximum(np.minimum(c, context)[where], 0) + 0.5)
+        of_pair = representative(np.minimum(level[1].astype(np.int64), most))[which]
+        p1 = (c + ALPHA) / below
+        logs = np.log10((of_pair + MU * p1) / (context + MU))
+        base = np.log10((exact + ALPHA) / below)[back]
+        add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[before])
+        doc_id = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool))
+        known = add((exact > 0)[back].astype(np.float64)).astype(np.int64)
+        return pa.table({"doc_id": doc_id, "n_tokens": np.diff(before).astype(np.int64), "n_known": known, "base_score": add(base), "score": add(logs)})
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = slim.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, slot long, keys binary, rids binary")
-    if not has_tail:
-        return scored.select("doc_id", "n_tokens", "n_known", "base_score", "score")
-    scored, _ = C.store(scored, "scored")
-
-    def look_up(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        keys = np.concatenate([*(np.frombuffer(k, "<u8") for k in counted.column("keys").to_pylist()), np.zeros(0, np.uint64)])
-        c = np.concatenate([*(np.frombuffer(k, "<i8") for k in counted.column("counts").to_pylist()), np.zeros(0, np.int64)])
-        ask = np.concatenate([*(np.frombuffer(k, "<u8") for k in asked.column("keys").to_pylist()), np.zeros(0, np.uint64)])
-        rids = np.concatenate([*(np.frombuffer(k, "<i8") for k in asked.column("rids").to_pylist()), np.zeros(0, np.int64)])
-        at = np.minimum(np.searchsorted(keys, ask), max(0, len(keys) - 1))
-        got = np.where(keys[at] == ask, c[at], 0) if len(keys) else np.zeros(len(ask), np.int64)
-        own, back = np.unique(rids, return_inverse=True)
-        sums = [np.bincount(back, x, len(own)) for x in ((got > 0).astype(float), np.log10((got + ALPHA) / below))]
-        return pa.table({"rid": pa.array(own), "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1].astype(np.float64))})
-
-    asked = scored.filter("slot is not null").select("slot", "keys", "rids")
-    tails = asked.groupBy("slot").cogroup(model.tail.groupBy("slot")).applyInArrow(look_up, "rid long, known long, base double")
-    sums = tails.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"))
-    rows = scored.filter("rid is not null").drop("slot", "keys", "rids").join(sums, "rid", "left")
-    return rows.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
+    blocks, _ = C.store(slim.mapInArrow(gather, "block long, ids binary, nulls binary, sizes binary, text binary"), "blocks")
+    asks = blocks.select("block", "sizes", "text").mapInArrow(ask, "seg long, kind long, block long, keys binary")
+    answers, _ = C.store(asks.groupBy("seg").cogroup(model.segments.groupBy("seg")).applyInArrow(answer, "block long, kind long, seg long, levels binary, counts binary"), "answers")
+    del asks
+    C.release(spark)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sum_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -181,6 +181,25 @@ def test_language_model(spark, odd, empty, head, max_bits):
     assert nothing.tokens == 0 and ngram_bloom.score(every, nothing).count() == len(odd) and ngram_bloom.score(empty, m).count() == 0
 
 
+def test_no_bigram_is_dropped_from_a_full_filter(spark, odd):
+    """However many segments the entries need, scores are those of the counts of all bigrams."""
+    train, every = frame(spark, odd).filter("doc_id % 3 <> 0"), frame(spark, odd)
+    toks = lambda t: [None, *words(lower(t or "")), None]
+    c = Counter(w for i, t in odd if i % 3 for w in toks(t)[1:])
+    pairs = Counter(p for i, t in odd if i % 3 for p in zip(toks(t), toks(t)[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    rep = lambda x: (3 * 2 ** (x.bit_length() - 1) - 1) / 2 if x else 0
+    want = defaultdict(list)
+    for i, t in odd:
+        own = zip(toks(t), toks(t)[1:], strict=False)
+        # a bigram is at most as frequent as its words
+        level = lambda a, b: min(rep(x) for x in (pairs[a, b], c[a], c[b]))
+        want[i].append(sum(math.log10((level(a, b) + 20 * (c[b] + 0.1) / (n + 0.1 * (v + 1))) / (c[a] + 20)) for a, b in own))
+    m = ngram_bloom.fit(train, max_bits=1 << 12, bits_per_item=60)
+    for r in ngram_bloom.score(every, m).collect():
+        assert any(abs(r.score - x) < 1e-6 * abs(x) for x in want[r.doc_id]), r
+
+
 def test_bloom_levels():
     keys = C.mix(np.arange(4000, dtype=np.uint64))
     level = ngram_bloom.levels(np.random.default_rng(1).zipf(1.6, 4000).clip(max=10**6))
