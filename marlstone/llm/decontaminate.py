@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Each benchmark item of m shingles is compared with all windows of m successive shingles of each document.  Shingles are five words (in lower case,
+Each benchmark item of m shingles is compared with all windows of m successive shingles of each document, and with the whole of a document
+that has fewer.  Shingles are five words (in lower case,
 ASCII punctuation as space);
 a shingle weighs ln(1 + items / items that hold it).  Windows without any shingle of the benchmark have similarity 0 and are passed
 over; all others get a 128-bit SimHash.  The index holds, for each of 8 blocks of 16 bits, every value within 3 bits of an item's
@@ -95,7 +96,7 @@ class Benchmark:
         best: dict[int, tuple] = {}
         for m in np.unique(self.size).tolist():
             if m > len(h) or not m:
-                continue
+                continue  # larger items follow below
             upto = np.concatenate([[0], np.cumsum(hit)])
             starts = np.flatnonzero(upto[m:] > upto[:-m])
             for part in np.array_split(starts, max(1, len(starts) // 4096)):
@@ -107,10 +108,13 @@ class Benchmark:
                     signed = _signs(h[lo:hi]) * self.weight(h[lo:hi])[:, None]
                     sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signed, 0)])
                     prints = np.packbits(sums[run - lo + m] - sums[run - lo] > 1e-9, axis=1)
-                    self._candidates(h, run, prints, m, least, best)
+                    self._candidates(h, run, prints, m, self.size == m, least, best)
+        if (self.size > len(h)).any() and hit.any():
+            whole = self.fingerprint(_signs(h) * self.weight(h)[:, None])
+            self._candidates(h, np.zeros(1, np.int64), whole[None], len(h), self.size > len(h), least, best)
         return [(i, *b) for i, b in sorted(best.items())]
 
-    def _candidates(self, h: np.ndarray, run: np.ndarray, prints: np.ndarray, m: int, least: float, best: dict) -> None:
+    def _candidates(self, h: np.ndarray, run: np.ndarray, prints: np.ndarray, m: int, among: np.ndarray, least: float, best: dict) -> None:
         blocks, found = np.ascontiguousarray(prints).view(np.uint16), []
         for b in range(BLOCKS):
             at, owner = self.index[b]
@@ -118,7 +122,7 @@ class Benchmark:
             n = hi - lo
             w = np.repeat(np.arange(len(run)), n)
             items = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            own = self.size[items] == m
+            own = among[items]
             found.append(w[own] * len(self.ids) + items[own])
         pairs = np.unique(np.concatenate(found))
         w, items = pairs // len(self.ids), pairs % len(self.ids)
@@ -126,7 +130,7 @@ class Benchmark:
         for k in np.flatnonzero(far <= RADIUS).tolist():
             item, start = int(items[k]), int(run[w[k]])
             s = self.similarity(h[start : start + m], item)
-            if s >= least and (item not in best or s > best[item][0]):
+            if s >= least - 1e-9 and (item not in best or s > best[item][0]):
                 best[item] = (s, int(far[k]), start, m)
 
 

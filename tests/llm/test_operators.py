@@ -320,6 +320,18 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.clean(frame(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def test_documents_shorter_than_the_item(spark):
+    """An item without its last words is found in a document that is nothing else, as far as its similarity is enough."""
+    item = ["i%d" % j for j in range(44)]  # 40 shingles of equal weight
+    docs = [(cut, " ".join(item[: 44 - cut])) for cut in range(12)] + [(50, "i0 i1 i2"), (51, "other words than those of the item")]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(frame(spark, docs), bench).collect()}
+    assert set(got) == set(range(9))
+    for cut, r in got.items():
+        assert abs(r.similarity - (40 - cut) / 40) < 1e-9 and (r.first_shingle, r.n_shingles) == (0, 40 - cut)
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, docs), bench).collect()} == {9, 10, 11, 50, 51}
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     sets = [C.mix(rng.integers(0, 2**63, 30).astype(np.uint64)) for _ in range(40)]
