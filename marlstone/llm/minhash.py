@@ -4,7 +4,8 @@ One hash function; a document's sketch holds the k least hashes of its set of sh
 least id as representative, so exact copies cost one aggregation.  Between representatives:
 
 1.  *Inverted lists.*  Of each sketch only the rarest retained values are indexed, rarest first, as many as a pair above the threshold
-    cannot all differ in (exactly so where the sketch is the whole set; else with five standard deviations to spare).  Values that one
+    cannot all differ in (exactly so where the sketch is the whole set, with those more that a larger partner's sketch may lack; else with
+    five standard deviations to spare).  Values that one
     document alone retains use up places but need no list, so most documents have none.
 2.  *Overlaps.*  A short list gives its pairs.  A long one gives each member's pairs with its hubs (the member of least id, one chosen by
     hash and the most typical one): lists of one group of copies share their hubs, and work is linear in the group.
@@ -195,7 +196,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     # values that two representatives retain, by rarity; values of one representative alone use up places
     sample = math.ceil(k * (1 - least)) + math.ceil(5 * math.sqrt(k * least * (1 - least))) + 1
-    places = F.when(F.col("n") <= k, F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1).otherwise(F.lit(sample))
+    # the sketch of a linked partner, of n * den / num values at most, lacks what it holds beyond k
+    lacking = F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(den) / F.lit(num)) - k)
+    places = F.when(F.col("n") <= k, F.least("n", F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1 + lacking)).otherwise(F.lit(sample))
     values = reps.select("rep", "n", places.cast("int").alias("places"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     mine = values.join(shared, "value").groupBy("rep", "n", "places", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))  # at most k values a document

@@ -257,6 +257,19 @@ def test_near_duplicates(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("shingle,num,more", [(3, 85, 11), (5, 80, 16)])
+def test_links_to_partners_beyond_the_sketch(spark, shingle, num, more):
+    """64 shingles, all in the sketch, linked to a document whose sketch lacks some of them."""
+    rows = []
+    for i in range(30):
+        own = ["p%d_%d" % (i, j) for j in range(64 + shingle - 1 + more)]
+        rows += [(2 * i, " ".join(own[: 64 + shingle - 1])), (2 * i + 1, " ".join(own))]
+    want = brute_links(rows, shingle, num)
+    assert all(want[2 * i + 1][1] == 2 * i for i in range(30))
+    got = minhash.near_duplicates(frame(spark, rows), shingle=shingle, num=num).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_links_between_members_far_from_every_hub(spark, monkeypatch):
     """Windows over one long text link with the next window alone: long lists whose hubs reach few members."""
     rnd = random.Random(8)
