@@ -3,12 +3,13 @@
 Each benchmark item of m shingles is compared with all windows of m successive shingles of each document, and with the whole of a document
 that has fewer.  Shingles are five words (in lower case,
 ASCII punctuation as space);
-a shingle weighs ln(1 + items / items that hold it).  Windows without any shingle of the benchmark have similarity 0 and are passed
+a shingle weighs ln(1 + items / items that hold it), counted over the whole benchmark.  Windows without any shingle of the benchmark have similarity 0 and are passed
 over; all others get a 128-bit SimHash.  The index holds, for each of 8 blocks of 16 bits, every value within 3 bits of an item's
 block: two fingerprints within 31 bits agree to 3 bits in some block, so every item within that radius is found.  Exact weighted
 Jaccard similarity (sum of least over sum of greatest weights, with multiplicity) verifies candidates.
 
-Items are taken in passes of bounded size, each broadcast: documents are read once a pass.
+Items are taken in passes of bounded size, each broadcast: documents are read once a pass.  The counts of shingles that two or more items
+hold go with each pass, as windows may hold those of other passes; they alone grow with the benchmark, by 16 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -148,12 +149,21 @@ def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col
     rows, _ = C.store(slim.mapInArrow(sets, "id long, items binary").filter(F.octet_length("items") > 0), "items")
     n = rows.count()
     passes = -(-n // items_per_pass)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(np.frombuffer(x, np.uint64)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64))], ["value"])
+
+    shared = rows.select("items").mapInArrow(distinct, "value long").groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").toArrow()
+    keys, df = shared.column("value").to_numpy().view(np.uint64), shared.column("df").to_numpy()
+    order = np.argsort(keys)
+    keys, df = keys[order], df[order]
     for p in range(passes):
         own = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
         got = sorted((r.id, bytes(r.items)) for r in own.collect())
         hashes = [np.frombuffer(b, np.uint64) for _, b in got]
-        keys, df = np.unique(np.concatenate([*(np.unique(s) for s in hashes), np.zeros(0, np.uint64)]), return_counts=True)
-        yield Benchmark([i for i, _ in got], hashes, max(1, len(got)), keys, df)
+        yield Benchmark([i for i, _ in got], hashes, n, keys, df)
 
 
 def _found(bench: Benchmark, raw: np.ndarray, offsets: np.ndarray, shingle: int, least: float) -> Iterator[tuple[int, tuple]]:

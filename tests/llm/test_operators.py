@@ -345,6 +345,24 @@ def test_documents_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, docs), bench).collect()} == {9, 10, 11, 50, 51}
 
 
+def test_weights_do_not_depend_on_passes(spark):
+    """Items with a common opening: similarities are those of counts over the whole benchmark, in however many passes."""
+    rnd = random.Random(12)
+    opening = ["o%d" % j for j in range(14)]
+    items = [(k, opening[: rnd.randint(6, 14)] + ["i%dz%d" % (k, j) for j in range(20)]) for k in range(40)]
+    docs = [(k, " ".join(["x%d" % k] + t[:-1] + ["changed"])) for k, t in items]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    grams = lambda t: Counter(tuple(t[j : j + 5]) for j in range(len(t) - 4))
+    df = Counter(g for _, t in items for g in grams(t))
+    for passes in (5, 2000):
+        got = decontaminate.matches(frame(spark, docs), bench, items_per_pass=passes).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k, _ in items} and len(got) == len(items)
+        for r in got:
+            a, b = (grams(t) for t in (dict(docs)[r.doc_id].split()[r.first_shingle : r.first_shingle + r.n_shingles + 4], dict(items)[r.item_id]))
+            w = {g: math.log(1 + len(items) / max(1, df[g])) for g in a | b}
+            assert abs(r.similarity - sum(w[g] * n for g, n in (a & b).items()) / sum(w[g] * n for g, n in (a | b).items())) < 1e-9
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     sets = [C.mix(rng.integers(0, 2**63, 30).astype(np.uint64)) for _ in range(40)]
