@@ -60,12 +60,43 @@ def test_json_hash():
         keys.json_hash_of('{"a": NaN}')
 
 
-def test_html():
-    assert html.text_of("<p>a  b<br>c</p><p>d &amp; e</p>") == ("a b\nc\nd & e", None)
-    assert html.text_of("x<script>var t='</p>'</script>y") == ("xy", None)
-    assert html.text_of("<style>p{}")[1] == "unclosed-script-or-style"
-    assert html.text_of("&lt;p&gt;a&lt;/p&gt;", "declared-double-escaped") == ("a", None)
-    assert html.text_of("<p>&lt;", "declared-double-escaped")[1] == "mixed-literal-and-escaped-markup"
+HTML = {
+    "<p>a  b<br>c</p><p>d &amp; e</p>": ("a b\nc\nd & e", None),
+    "x<script>var t='</p>'</script>y": ("xy", None),
+    "<style>p{}": (None, "unclosed-script-or-style"),
+    "a<SCRIPT src='x>y'>1</script >b<script/>c": ("abc", None),
+    "</script>a": ("a", None),
+    "a\n<p>b</p>\n\n\n<div>c</div>": ("a\n\nb\n\nc".replace("\n\nb", "\nb"), None),
+    '<a title="1 > 2" href=x>link</a> 3 < 4 &lt;b&gt; &eacute;&#x41;&nbsp;z': ("link 3 < 4 <b> éA\u00a0z", None),
+    "&amp;lt; &amp;amp;": ("&lt; &amp;", None),
+    "<!-- <p>no</p> -->a<!DOCTYPE html>b<?php x ?>c</>d": ("abcd", None),
+    "<ul><li>one<li>two</ul>three": ("one\ntwo\nthree", None),
+    "a\r\nb&#13;c&#10;<p>d": ("a\nb\nc\nd", None),
+    "  \t <b> a </b>\t": (" a ", None),
+    "<pre>x</pre><header>y</header>": ("xy", None),
+    "R&D <b": ("R&D <b", None),
+    "": ("", None),
+    None: (None, None),
+}
+ESCAPED = {
+    "&lt;p&gt;a&lt;/p&gt;": ("a", None),
+    "<p>&lt;": (None, "mixed-literal-and-escaped-markup"),
+    "a &lt b": (None, "unsupported-angle-reference"),
+    "&amp;lt;b&amp;gt;": (None, "residual-nested-encoding"),
+    "&#60;p&#x3E;x &amp;amp; y": ("x & y", None),
+    "&lt;style&gt;": (None, "unclosed-script-or-style"),
+    "<p>plain</p>": ("plain", None),
+    None: (None, None),
+}
+
+
+@pytest.mark.parametrize("mode,cases", [("standard", HTML), ("declared-double-escaped", ESCAPED)])
+def test_html(spark, mode, cases):
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    for r in df.select("x", html.html_to_text(F.col("x"), mode).alias("r")).collect():
+        assert tuple(r.r) == cases[r.x], r.x
+    with pytest.raises(ValueError):
+        html.html_to_text(F.col("x"), "other")
 
 
 def test_redaction_and_text(spark):
