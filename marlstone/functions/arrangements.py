@@ -30,9 +30,9 @@ def normal(text: str, compounds: Iterable[str] = ()) -> str:
     return text
 
 
-def phrases(texts: str, words: re.Pattern = _WORDS, compounds: Iterable[str] = ()) -> list[tuple[str, ...]]:
-    """Phrases given as one text, parted by bars."""
-    return [tuple(words.findall(normal(t, compounds))) for t in texts.split("|")]
+def phrases(texts: list[str], words: re.Pattern = _WORDS, compounds: Iterable[str] = ()) -> list[tuple[str, ...]]:
+    """Phrases as tokens."""
+    return [tuple(words.findall(normal(t, compounds))) for t in texts]
 
 
 def spans(tokens: list[str], phrase: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -104,16 +104,16 @@ def by_or_a(tokens: list[str], a: Span, b: Span) -> bool:
 
 
 # ---- remote type.  Fixed values: phrases of each kind, where they count, and what puts them aside.
-REMOTE_BARE = {"remote": phrases("remote|remotely|work from home|work from anywhere|wfh"), "hybrid": phrases("hybrid"), "onsite": phrases("onsite|on site|in office|in person")}
-REMOTE_TITLE = {"remote": phrases("fully remote|100% remote|work remotely|work from home|work from anywhere|wfh"), "onsite": phrases("work in the office")}
-REMOTE_PREFIXES = {"remote": "remote", "hybrid": "hybrid", "onsite": "onsite|on site"}
-REMOTE_NOUNS = "role|position|job|work arrangement|schedule|attendance|attendance requirement"
-REMOTE_SUFFICIENT = {"remote": phrases("work remotely|work from home|work from anywhere|wfh"), "onsite": phrases("work in the office")}
-REMOTE_BLOCKER = phrases("required to be in the office")
-REMOTE_EXCLUDED = phrases("remote sensing|remote desktop|remote location|hybrid cloud|remote systems|remote team")
-REMOTE_CONTEXT = frozenset("stipend collaboration vpn protocol allowance team teams system systems device devices interview meeting meetings".split())
-REMOTE_NEGATIONS = frozenset("not no isn't aren't without unavailable".split())
-_REMOTE_SAID = {k: [p for x in v.split("|") for n in REMOTE_NOUNS.split("|") for p in phrases(f"{x} {n}")] + REMOTE_SUFFICIENT.get(k, []) for k, v in REMOTE_PREFIXES.items()}
+REMOTE_BARE = {"remote": phrases(["remote", "remotely", "work from home", "work from anywhere", "wfh"]), "hybrid": phrases(["hybrid"]), "onsite": phrases(["onsite", "on site", "in office", "in person"])}
+REMOTE_TITLE = {"remote": phrases(["fully remote", "100% remote", "work remotely", "work from home", "work from anywhere", "wfh"]), "onsite": phrases(["work in the office"])}
+REMOTE_PREFIXES = {"remote": ["remote"], "hybrid": ["hybrid"], "onsite": ["onsite", "on site"]}
+REMOTE_NOUNS = ["role", "position", "job", "work arrangement", "schedule", "attendance", "attendance requirement"]
+REMOTE_SUFFICIENT = {"remote": phrases(["work remotely", "work from home", "work from anywhere", "wfh"]), "onsite": phrases(["work in the office"])}
+REMOTE_BLOCKER = phrases(["required to be in the office"])
+REMOTE_EXCLUDED = phrases(["remote sensing", "remote desktop", "remote location", "hybrid cloud", "remote systems", "remote team"])
+REMOTE_CONTEXT = frozenset(["stipend", "collaboration", "vpn", "protocol", "allowance", "team", "teams", "system", "systems", "device", "devices", "interview", "meeting", "meetings"])
+REMOTE_NEGATIONS = frozenset(["not", "no", "isn't", "aren't", "without", "unavailable"])
+_REMOTE_SAID = {k: phrases([f"{x} {n}" for x in v for n in REMOTE_NOUNS]) + REMOTE_SUFFICIENT.get(k, []) for k, v in REMOTE_PREFIXES.items()}
 
 
 def _open_spans(tokens: list[str], mask: list[bool], phrase: tuple[str, ...]) -> list[tuple[int, int]]:
@@ -176,15 +176,15 @@ def remote_type_of(title: str | None, description: str | None) -> tuple:
 EMPLOYMENT_COMPOUNDS = ("full-time", "part-time", "contract-to-hire", "temp-to-perm")
 
 
-def _work(texts: str) -> list[tuple[str, ...]]:
+def _work(texts: list[str]) -> list[tuple[str, ...]]:
     return phrases(texts, _WORDS_AND_MARKS, EMPLOYMENT_COMPOUNDS)
 
 
-EMPLOYMENT_BARE = {"full_time": _work("full-time|full time"), "part_time": _work("part-time|part time"), "seasonal": _work("seasonal"), "internship": _work("internship|intern")}
-EMPLOYMENT_NOUNS = {"full_time": "position role job basis employment", "part_time": "position role job basis employment", "seasonal": "position role job basis employment work", "internship": "position role program opportunity"}
-EMPLOYMENT_OTHER = _work("contract|temporary|temp|contract to hire|temp to perm|1099|w2|w 2|per diem")
-EMPLOYMENT_NEGATIONS = frozenset("not no neither isn't aren't without unavailable".split())
-_EMPLOYMENT_SAID = {k: [EMPLOYMENT_BARE[k][0] + (n,) for n in nouns.split()] for k, nouns in EMPLOYMENT_NOUNS.items()}
+EMPLOYMENT_BARE = {"full_time": _work(["full-time", "full time"]), "part_time": _work(["part-time", "part time"]), "seasonal": _work(["seasonal"]), "internship": _work(["internship", "intern"])}
+EMPLOYMENT_NOUNS = {"full_time": ["position", "role", "job", "basis", "employment"], "part_time": ["position", "role", "job", "basis", "employment"], "seasonal": ["position", "role", "job", "basis", "employment", "work"], "internship": ["position", "role", "program", "opportunity"]}
+EMPLOYMENT_OTHER = _work(["contract", "temporary", "temp", "contract to hire", "temp to perm", "1099", "w2", "w 2", "per diem"])
+EMPLOYMENT_NEGATIONS = frozenset(["not", "no", "neither", "isn't", "aren't", "without", "unavailable"])
+_EMPLOYMENT_SAID = {k: [EMPLOYMENT_BARE[k][0] + (n,) for n in nouns] for k, nouns in EMPLOYMENT_NOUNS.items()}
 
 
 def _without(tokens: list[str], excluded: list[tuple[str, ...]]) -> list[str]:
@@ -217,21 +217,21 @@ def employment_type_of(title: str | None, description: str | None) -> tuple:
 SENIORITY_COMPOUNDS = ("entry-level", "mid-level")
 
 
-def _rank(texts: str) -> list[tuple[str, ...]]:
+def _rank(texts: list[str]) -> list[tuple[str, ...]]:
     return phrases(texts, _WORDS_AND_MARKS, SENIORITY_COMPOUNDS)
 
 
-SENIORITY_TITLE = {"entry_level": _rank("entry level|junior|jr|jr."), "mid_level": _rank("mid level"), "senior": _rank("senior|sr|sr."), "staff": _rank("staff")}
-SENIORITY_DESCRIPTION = {"entry_level": _rank("entry level|junior|jr"), "mid_level": _rank("mid level"), "senior": _rank("senior"), "staff": _rank("staff")}
+SENIORITY_TITLE = {"entry_level": _rank(["entry level", "junior", "jr", "jr."]), "mid_level": _rank(["mid level"]), "senior": _rank(["senior", "sr", "sr."]), "staff": _rank(["staff"])}
+SENIORITY_DESCRIPTION = {"entry_level": _rank(["entry level", "junior", "jr"]), "mid_level": _rank(["mid level"]), "senior": _rank(["senior"]), "staff": _rank(["staff"])}
 SENIORITY_EXPLICIT = {
-    "principal": _rank("principal engineer|principal architect|principal consultant|principal scientist|principal analyst|principal software engineer|principal data scientist|principal product manager"),
-    "director": _rank("director of engineering|engineering director|director of product|product director|director of operations|director of technology|technology director|director of software engineering"),
+    "principal": _rank(["principal engineer", "principal architect", "principal consultant", "principal scientist", "principal analyst", "principal software engineer", "principal data scientist", "principal product manager"]),
+    "director": _rank(["director of engineering", "engineering director", "director of product", "product director", "director of operations", "director of technology", "technology director", "director of software engineering"]),
 }
-SENIORITY_ROOTS = SENIORITY_TITLE | {"principal": _rank("principal"), "director": _rank("director")}
-SENIORITY_EXCLUDED = _rank("senior living|senior center|senior citizen|senior year|senior thesis|senior executive assistant|senior vice president|senior vp")
-SENIORITY_ANCHORS = _rank("this is|it is|the position is|this position is|the role is|this role is|we are hiring|seeking")
+SENIORITY_ROOTS = SENIORITY_TITLE | {"principal": _rank(["principal"]), "director": _rank(["director"])}
+SENIORITY_EXCLUDED = _rank(["senior living", "senior center", "senior citizen", "senior year", "senior thesis", "senior executive assistant", "senior vice president", "senior vp"])
+SENIORITY_ANCHORS = _rank(["this is", "it is", "the position is", "this position is", "the role is", "this role is", "we are hiring", "seeking"])
 SENIORITY_NEGATORS = (("not", "either"), ("neither",), ("not",), ("no",))
-_ARTICLES, _MARKS = ("a", "an", "the"), frozenset(", / & - – —".split())
+_ARTICLES, _MARKS = ("a", "an", "the"), frozenset([",", "/", "&", "-", "–", "—"])
 
 
 def _starts(tokens: list[str], options: Iterable[tuple[str, ...]]) -> int:

@@ -14,33 +14,31 @@ from .primitives import row_type
 
 # Canonical titles with family and aliases, words that make a match doubtful, and words that point to a family.
 TITLES = {
-    "software-engineer": ("software_engineering", "software engineer|software developer|backend engineer|back end engineer|frontend engineer|front end engineer|full stack engineer|fullstack engineer"),
-    "security-engineer": ("security_engineering", "security engineer"),
-    "research-engineer": ("research", "research engineer"),
-    "research-scientist": ("research", "research scientist"),
-    "engineering-manager": ("engineering_management", "engineering manager"),
-    "engineering-director": ("engineering_management", "director of engineering|engineering director"),
-    "product-manager": ("product_management", "product manager"),
-    "solutions-architect": ("solutions_architecture", "solutions architect|solution architect"),
-    "account-executive": ("sales", "account executive"),
+    "software-engineer": ("software_engineering", ["software engineer", "software developer", "backend engineer", "back end engineer", "frontend engineer", "front end engineer", "full stack engineer", "fullstack engineer"]),
+    "security-engineer": ("security_engineering", ["security engineer"]),
+    "research-engineer": ("research", ["research engineer"]),
+    "research-scientist": ("research", ["research scientist"]),
+    "engineering-manager": ("engineering_management", ["engineering manager"]),
+    "engineering-director": ("engineering_management", ["director of engineering", "engineering director"]),
+    "product-manager": ("product_management", ["product manager"]),
+    "solutions-architect": ("solutions_architecture", ["solutions architect", "solution architect"]),
+    "account-executive": ("sales", ["account executive"]),
 }
-BLOCKERS = frozenset("recruiter sourcer manager director head vp president coordinator partner consultant analyst specialist intern assistant of for to and or &".split())
-ROLES = frozenset(
-    "engineer engineers developer developers architect architects scientist scientists manager managers director directors executive executives recruiter recruiters sourcer sourcers coordinator coordinators partner partners consultant consultants analyst analysts specialist specialists intern interns assistant assistants counsel attorney attorneys designer designers researcher researchers head heads president presidents vp vps".split()
-)
+BLOCKERS = frozenset(["recruiter", "sourcer", "manager", "director", "head", "vp", "president", "coordinator", "partner", "consultant", "analyst", "specialist", "intern", "assistant", "of", "for", "to", "and", "or", "&"])
+ROLES = frozenset(["engineer", "engineers", "developer", "developers", "architect", "architects", "scientist", "scientists", "manager", "managers", "director", "directors", "executive", "executives", "recruiter", "recruiters", "sourcer", "sourcers", "coordinator", "coordinators", "partner", "partners", "consultant", "consultants", "analyst", "analysts", "specialist", "specialists", "intern", "interns", "assistant", "assistants", "counsel", "attorney", "attorneys", "designer", "designers", "researcher", "researchers", "head", "heads", "president", "presidents", "vp", "vps"])
 LAST_ROLES = ROLES | {"lead", "leads"}
 SIGNALS = {
-    "software_engineering": "software|backend|back end|frontend|front end|fullstack|full stack",
-    "security_engineering": "security",
-    "engineering_management": "management",
-    "research": "research",
-    "product_management": "product",
-    "solutions_architecture": "solution|solutions|architecture",
-    "sales": "account|sales",
+    "software_engineering": ["software", "backend", "back end", "frontend", "front end", "fullstack", "full stack"],
+    "security_engineering": ["security"],
+    "engineering_management": ["management"],
+    "research": ["research"],
+    "product_management": ["product"],
+    "solutions_architecture": ["solution", "solutions", "architecture"],
+    "sales": ["account", "sales"],
 }
 DECORATION = ["expression", "of", "interest"]
-_ALIASES = {tuple(a.split()): name for name, (_, aliases) in TITLES.items() for a in aliases.split("|")}
-_SIGNALS = {tuple(s.split()): family for family, signals in SIGNALS.items() for s in signals.split("|")}
+_ALIASES = {tuple(a.split()): name for name, (_, aliases) in TITLES.items() for a in aliases}
+_SIGNALS = {tuple(s.split()): family for family, signals in SIGNALS.items() for s in signals}
 _DASHES = "‐‑‒–—―−"
 _ALLOWED = re.compile(r"[a-z0-9 ,;:|/@()\[\]{}&+-]*")
 _PARTS = re.compile(r"[,;:|/@()\[\]{}]|(?<= )-(?= )")
