@@ -1,18 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a piece of text byte by byte in both directions (two GRUs) and gives each position a probability for each language.
-Pieces are words of at most 32 bytes (longer runs are cut), lower-cased in A-Z; the state starts anew with each piece, so the answer for a
-piece can be kept and used again, exactly.  A document's probabilities are the mean over all positions of its letters.
-
-Training (backpropagation through time and Adam, in numpy, on the driver) uses a bounded sample: at most ``docs_per_language``
-documents of each language, chosen by a hash of the id, and at most ``words_per_doc`` words of each, chosen by a hash of the word.
-Prediction reads every byte of every text.
+The network reads text byte by byte in both directions (two GRUs) and gives each position a probability for each language; A-Z are read
+as a-z.  A document's probabilities are the mean over all positions of its letters.  It is read in stretches of ``STRETCH`` bytes: each
+direction starts ``MARGIN`` bytes before the stretch (at the end of the document at the earliest), so that every position is judged with
+what stands on both sides of it, words and sentences alike.  Memory is bounded by the stretches that are read together.
+
+Training (backpropagation through time and Adam, in numpy, on the driver) uses a bounded sample: of at most ``max_labels`` languages
+about ``docs_per_language`` different texts each, chosen by a hash of the row, and ``windows_per_doc`` windows of each.  Prediction reads
+every byte of every text.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +23,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PIECE = 32
-HIDDEN = 16
+HIDDEN = 8
+STRETCH, MARGIN = 512, 32
+WINDOW = 48  # bytes of a window of the sample
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that are, or are part of, letters: only these positions are pooled.
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = True
 _LETTERS[128:] = True
+_ASCII = np.zeros(256, bool)
+_ASCII[65:91] = _ASCII[97:123] = True
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,10 +45,6 @@ class Model:
     languages: list[str]
     params: dict[str, np.ndarray]
 
-    @property
-    def key(self) -> str:
-        return hashlib.sha1(b"".join(self.params[k].tobytes() for k in sorted(self.params))).hexdigest()
-
 
 def init(n_languages: int, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
@@ -132,7 +130,7 @@ def matrix(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.T), (np.arange(t_max)[:, None] < lens[None]).astype(np.float32)
 
 
-def train(pieces: list[bytes], labels: np.ndarray, languages: list[str], *, steps: int = 350, batch: int = 256, rate: float = 0.01, seed: int = 11) -> Model:
+def train(pieces: list[bytes], labels: np.ndarray, languages: list[str], *, steps: int = 160, batch: int = 128, rate: float = 0.03, seed: int = 11) -> Model:
     """Adam on balanced batches of pieces; deterministic for given pieces in given order."""
     p, r = init(len(languages)), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -149,50 +147,43 @@ def train(pieces: list[bytes], labels: np.ndarray, languages: list[str], *, step
     return Model(languages, p)
 
 
-def piece_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut to at most PIECE bytes: starts, ends, and the number of pieces before each document."""
-    starts, ends, before = C.word_spans(raw, offsets)
-    n = (ends - starts + PIECE - 1) // PIECE
-    if (n > 1).any():
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        stop = np.repeat(ends, n)
-        starts = np.repeat(starts, n) + nth * PIECE
-        ends = np.minimum(starts + PIECE, stop)
-        before = np.concatenate([[0], np.cumsum(n)])[before]
-    return starts, ends, before
-
-
 def held_out(doc_id, folds: int = 5) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = 400, words_per_doc: int = 150, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Trains on rows outside the held-out fold with a label and a text; None if there are none."""
+def _windows(text: np.ndarray, n: int) -> list[bytes]:
+    """At most n windows of a text, at equal distances, with letters in them."""
+    starts = np.unique(np.linspace(0, max(0, len(text) - WINDOW), n).astype(np.int64))
+    return [w.tobytes() for w in (text[s : s + WINDOW] for s in starts) if _LETTERS[w].any()]
+
+
+def fit(docs: DataFrame, *, docs_per_language: int = 400, windows_per_doc: int = 8, max_labels: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+    """Trains on rows outside the held-out fold with a label and a text; None if there are none, or no column of labels.
+
+    Rows that repeat id and text count once.  Of more than ``max_labels`` labels the most frequent are learned (ties: in order of name).
+    """
+    if label_col.lower() not in (c.lower() for c in docs.columns):
+        return None
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).filter(F.col("label").isNotNull() & (F.col("text") != "") & ~held_out(F.col("id")))
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()
     if not counts:
         return None
-    share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, F.lit(int(min(1.0, docs_per_language / n) * 2**30))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < share)
+    shares = spark.createDataFrame([(r.label, int(min(1.0, docs_per_language / max(r.n, 1)) * 2**30)) for r in counts], "label string, share long")
+    chosen = rows.join(F.broadcast(shares), "label").filter(F.pmod("key", F.lit(2**30)) < F.col("share")).dropDuplicates(["label", "key"])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = C.text_buffer(batch.column(1))
-            raw = C.LOWER[raw]
+            raw, offs = C.text_buffer(batch.column(0))
             pieces, labels = [], []
-            for i, label in enumerate(batch.column(2).to_pylist()):
-                part = raw[offs[i] : offs[i + 1]]
-                starts, ends, _ = piece_spans(part, np.array([0, len(part)]))
-                text = part.tobytes()
-                own = {text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-                own = sorted((zlib.crc32(x), x) for x in own if _LETTERS[np.frombuffer(x, np.uint8)].any())[:words_per_doc]
-                pieces += [x for _, x in own]
+            for i, label in enumerate(batch.column(1).to_pylist()):
+                own = _windows(C.LOWER[raw[offs[i] : offs[i + 1]]], windows_per_doc)
+                pieces += own
                 labels += [label] * len(own)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(pieces, pa.binary()), "label": pa.array(labels, pa.string())})
 
-    got = sorted((bytes(r.piece), r.label) for r in chosen.mapInArrow(words, "piece binary, label string").collect())
+    got = sorted((bytes(r.piece), r.label) for r in chosen.select("text", "label").mapInArrow(cut, "piece binary, label string").collect())
     if not got:
         return None
     languages = sorted({label for _, label in got})
@@ -200,84 +191,96 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, words_per_doc: int = 1
     return train([x for x, _ in got], np.array([number[x] for _, x in got]), languages)
 
 
-class Pooler:
-    """Keeps, for each piece seen by this process, the sum over letter positions of the probabilities, and the number of positions."""
-
-    LIMIT = 1_000_000
+class Reader:
+    """Reads documents with a model; weights are kept in the form that reading needs (gates of half the argument, biases added)."""
 
     def __init__(self, model: Model):
-        self.p, self.n = model.params, len(model.languages)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, self.n + 1), np.float32)
-
-    def _missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.arange(len(keys))
-        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
-
-    def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        sums, size = np.zeros((len(keys), self.n + 1), np.float32), ends - starts
-        order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 1024):
-            own = order[at : at + 2048]
-            t_max = int(size[own].max())
-            place = starts[own] + np.arange(t_max)[:, None]
-            mask = np.arange(t_max)[:, None] < size[own]
-            codes = np.where(mask, raw[np.minimum(place, len(raw) - 1)], 0)
-            prob, _ = forward(self.p, codes, mask.astype(np.float32))
-            use = (mask & _LETTERS[codes]).astype(np.float32)
-            sums[own, :-1] = (prob * use[:, :, None]).sum(0)
-            sums[own, -1] = use.sum(0)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.sums = np.insert(self.keys, where, keys), np.insert(self.sums, where, sums, axis=0)
+        p, self.n = model.params, len(model.languages)
+        h = p["uf"].shape[0]
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        self.h = h
+        self.x = {d: ((p["x" + d] + p["c" + d]) * half).astype(np.float32) for d in "fb"}
+        self.u = {d: (p["u" + d] * half).astype(np.float32) for d in "fb"}
+        self.o = {d: p["o" + d].astype(np.float32) for d in "fb"}
+        self.bias = p["bias"]
+        self.together = max(32, min(512, 4096 // self.n))
+
+    def _logits(self, d: str, codes: np.ndarray) -> np.ndarray:
+        """[languages, T, B] of sequences that start at 0; what follows the end of one is of no meaning."""
+        t_max, n = codes.shape
+        h, x_of, u_of = self.h, self.x[d], self.u[d]
+        states, now = np.empty((t_max, n, h), np.float32), np.zeros((n, h), np.float32)
+        x, u, gates, c = np.empty((n, 3 * h), np.float32), np.empty((n, 3 * h), np.float32), np.empty((n, 2 * h), np.float32), np.empty((n, h), np.float32)
+        for t in range(t_max):
+            np.take(x_of, codes[t], axis=0, out=x, mode="clip")
+            np.matmul(now, u_of, out=u)
+            np.add(x[:, : 2 * h], u[:, : 2 * h], out=gates)
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            np.multiply(gates[:, h:], u[:, 2 * h :], out=c)
+            c += x[:, 2 * h :]
+            np.tanh(c, out=c)
+            new = states[t]
+            np.subtract(now, c, out=new)
+            new *= gates[:, :h]
+            new += c
+            now = new
+        return np.ascontiguousarray((states.reshape(-1, h) @ self.o[d]).T).reshape(self.n, t_max, n)
+
+    def _stretches(self, raw: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums [stretches, languages + 1] over the letters at [first, last), read from start to end."""
+        size = end - start
+        t_max = int(size.max())
+        steps = np.arange(t_max)[:, None]
+        top = len(raw) - 1
+        place = np.minimum(start + steps, top)
+        codes = raw[place]
+        use = (place >= first) & (start + steps < last) & _LETTERS[codes]
+        ahead = self._logits("f", codes)
+        back = self._logits("b", raw[np.clip(end - 1 - steps, 0, top)])
+        turn = np.clip(size - 1 - steps, 0, t_max - 1)
+        ahead += np.take_along_axis(back, np.broadcast_to(turn, (self.n, *turn.shape)), axis=1)
+        ahead += self.bias[:, None, None]
+        ahead -= ahead.max(0)
+        np.exp(ahead, out=ahead)
+        ahead *= use / ahead.sum(0)
+        return np.concatenate([ahead.sum(1), use.sum(0)[None]]).T
 
     def pool(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[documents, languages + 1]: sums of probabilities over letter positions, and the number of these."""
         out = np.zeros((len(offsets) - 1, self.n + 1), np.float64)
-        for i, j in C.blocks(offsets):
-            for at in range(offsets[i], max(offsets[j], offsets[i] + 1), 8 * C.BLOCK) if j == i + 1 else [offsets[i]]:
-                stop = min(offsets[j], at + 8 * C.BLOCK) if j == i + 1 else offsets[j]
-                part = C.LOWER[raw[at:stop]]
-                starts, ends, before = piece_spans(part, offsets[i : j + 1] - at if j > i + 1 else np.array([0, len(part)]))
-                if not len(starts):
-                    continue
-                keys, first, back = np.unique(C.span_hashes(part, starts, ends), return_index=True, return_inverse=True)
-                new = self._missing(keys)
-                if len(self.keys) + len(new) > self.LIMIT:
-                    self._clear()
-                    new = self._missing(keys)
-                if len(new):
-                    self._learn(keys[new], part, starts[first[new]], ends[first[new]])
-                where = np.searchsorted(self.keys, keys)
-                sums = self.sums[where]
-                for c in range(self.n + 1):
-                    upto = np.concatenate([[0.0], np.cumsum(sums[back, c], dtype=np.float64)])
-                    out[i:j, c] += np.diff(upto[before])
+        if not len(raw):
+            return out
+        n = -(-np.diff(offsets) // STRETCH)
+        doc = np.repeat(np.arange(len(n)), n)
+        first = offsets[doc] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRETCH
+        last = np.minimum(first + STRETCH, offsets[doc + 1])
+        start, end = np.maximum(first - MARGIN, offsets[doc]), np.minimum(last + MARGIN, offsets[doc + 1])
+        order = np.argsort(end - start, kind="stable")
+        for k in range(0, len(order), self.together):
+            own = order[k : k + self.together]
+            a, b = int(start[own].min()), int(end[own].max())
+            sums = self._stretches(raw[a:b], start[own] - a, first[own] - a, last[own] - a, end[own] - a)
+            np.add.at(out, doc[own], sums)
         return out
 
 
-_pooler: dict[str, Pooler] = {}
-
-
 def answers(model: Model | None, batch: pa.RecordBatch, col: int) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a batch."""
     n = batch.num_rows
     if model is None or not n:
         return [UND] * n, np.zeros(n)
-    if model.key not in _pooler:
-        _pooler.clear()
-        _pooler[model.key] = Pooler(model)
+    reader = Reader(model)
     raw, offs = C.text_buffer(batch.column(col))
-    sums = _pooler[model.key].pool(raw, offs)
-    C.trim()
-    best = sums[:, :-1].argmax(1)
-    score = np.where(sums[:, -1] > 0, sums[np.arange(n), best] / np.maximum(sums[:, -1], 1), 0)
-    ascii_letter = np.zeros(256, bool)
-    ascii_letter[65:91] = ascii_letter[97:123] = True
-    upto = np.concatenate([[0], np.cumsum(ascii_letter[raw])])
-    sure = upto[offs[1:]] > upto[offs[:-1]]
+    best, score, sure = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
+    for i, j in C.blocks(offs):
+        part, own = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        sums = reader.pool(C.LOWER[part], own)
+        best[i:j] = sums[:, :-1].argmax(1)
+        score[i:j] = sums[np.arange(j - i), best[i:j]] / np.maximum(sums[:, -1], 1)
+        letters = np.flatnonzero(_ASCII[part])
+        sure[i:j] = np.searchsorted(letters, own[1:]) > np.searchsorted(letters, own[:-1])
     for i in np.flatnonzero(~sure):
         sure[i] = bool(_LETTER.search(raw[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
     return [model.languages[b] if s else UND for b, s in zip(best.tolist(), sure.tolist(), strict=True)], np.clip(np.where(sure, score, 0), 0, 1)
@@ -299,12 +302,15 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
 
 def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is not ``und`` and has at least the given score."""
-    at = docs.columns.index(text_col)
+    """The rows of docs, all columns, whose language is not ``und`` and has at least the given score; all rows if there is no model."""
+    if model is None:
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash but for case
+    flat, at = docs.toDF(*names), [c.lower() for c in docs.columns].index(text_col.lower()) if text_col not in docs.columns else docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = answers(model, batch, at)
             yield batch.filter(pa.array([x != UND and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)

@@ -467,13 +467,39 @@ def test_language_id(spark, empty):
     assert langid.keep_known(odd, model).columns == odd.columns and langid.predict(empty, model).count() == 0
 
 
-def test_pieces_do_not_depend_on_memory():
-    p = langid.Model(["a", "b"], langid.init(2, 4))
-    text = b"some words that repeat and repeat " * 50
-    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, 100, 100, len(text)])
-    one, two = langid.Pooler(p), langid.Pooler(p)
-    two.LIMIT = 3
-    assert np.allclose(one.pool(raw, offsets), two.pool(raw, offsets), atol=1e-4)
+def test_reading_is_a_plain_forward_pass():
+    """Stretches with their margins give what the network of training gives for the same bytes, whatever is read together."""
+    m = langid.Model(["a", "b", "c"], langid.init(3, 4, seed=3))
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdé日 .") for _ in range(n)).encode() for n in (0, 5, 400, 511, 512, 513, 3, 1600)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    reader = langid.Reader(m)
+    reader.together = 3
+    got = reader.pool(raw, offsets)
+    assert np.allclose(got, langid.Reader(m).pool(raw, offsets), atol=1e-3)
+    for k, t in enumerate(texts):
+        want = np.zeros(4)
+        for at in range(0, len(t), langid.STRETCH):
+            a, stop = max(0, at - langid.MARGIN), min(len(t), at + langid.STRETCH)
+            piece = t[a : min(len(t), stop + langid.MARGIN)]
+            prob, _ = langid.forward(m.params, *langid.matrix([piece]))
+            for i in range(at, stop):
+                if chr(t[i]).isalpha() and t[i] < 128 or t[i] >= 128:
+                    want += [*prob[i - a, 0], 1]
+        assert np.allclose(got[k], want, atol=1e-2), k
+
+
+def test_sample_of_rows(spark):
+    """Rows of one id are sampled by their texts; without labels there is no model, and nothing is rejected."""
+    rows = [(3, f"the text number {i} has words", "en") for i in range(3000)] + [(3, "der immer gleiche Satz", "de")] * 3000 + [(3, "sans nom ici", "fr"), (None, "held out", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, docs_per_language=50)
+    assert m.languages == ["de", "en", "fr"]
+    assert langid.fit(df, max_labels=1).languages == ["en"]
+    bare = df.limit(5).select("doc_id", "text")
+    assert langid.fit(bare) is None and langid.keep_known(bare, None).count() == 5
+    clash = spark.createDataFrame([(1, "le texte", "A", "b"), (2, None, "c", "d")], "doc_id long, text string, Lang string, LANG string")
+    assert [r.doc_id for r in langid.keep_known(clash, m, least=0.0).collect()] == [1]
 
 
 def test_warc(spark, tmp_path):
