@@ -13,14 +13,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-K, W = 32, 97
+K, W = 20, 41  # a match of 60 code points is found
 _PIECE = 1 << 20
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -76,10 +75,17 @@ def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep].astype(np.uint32), places[keep]
 
 
-def to_string(hashes: np.ndarray, places: np.ndarray) -> str:
-    """Base64 of all hashes (uint32), then all positions (int64 where one needs it, else uint32); both little-endian."""
-    wide = len(places) and places[-1] >= 2**32
-    return base64.b64encode(hashes.astype("<u4").tobytes() + places.astype("<i8" if wide else "<u4").tobytes()).decode()
+def to_string(hashes: np.ndarray, places: np.ndarray, w: int = W) -> str:
+    """Base64 of all hashes (uint32), then the first position and the gaps between positions, none above w; both little-endian."""
+    gaps = np.diff(places, prepend=0)
+    return base64.b64encode(hashes.astype("<u4").tobytes() + gaps.astype("<u1" if w < 256 else "<u4").tobytes()).decode()
+
+
+def from_string(text: str, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a fingerprint string."""
+    data = base64.b64decode(text)
+    n = len(data) // (5 if w < 256 else 8)
+    return np.frombuffer(data, "<u4", n), np.cumsum(np.frombuffer(data, "<u1" if w < 256 else "<u4", n, 4 * n).astype(np.int64))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -110,29 +116,35 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = slim.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     bounds = np.unique(np.array(bounds, np.int64))
 
-    def part_of(ids: pd.Series) -> np.ndarray:
-        """0 holds the largest ids; null ids come after all others."""
-        null = ids.isna().to_numpy()
-        p = len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "left")
-        return np.where(null, len(bounds) + 1, p).astype(np.int32)
+    def part_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, id, is null); part 0 holds the largest ids, null ids come after all others."""
+        own, null = C.long_column(ids)
+        return np.where(null, len(bounds) + 1, len(bounds) - np.searchsorted(bounds, own, "left")).astype(np.int32), own, null
 
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(part_of(ids))
+    @F.arrow_udf("int")
+    def number(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids)[0])
 
     tops = slim.select("id", number("id").alias("part")).groupBy("part").agg(F.max("id").alias("top")).collect()
-    first = {r.part: r.top for r in tops}
-    order = sorted(first)
-    before = {first[p]: order[i - 1] for i, p in enumerate(order)}  # the part that ends just before this id; the first id follows the last part
-
-    @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
-        p = part_of(ids)
-        out = []
-        for x, own in zip(ids.astype(object).where(ids.notna(), None), p.tolist(), strict=True):
-            ahead = before.get(None if x is None else int(x))
-            out.append([own] if ahead is None else [own, -1 - ahead])
-        return pd.Series(out)
+    order = sorted((r.part, r.top) for r in tops)
+    # the part that ends just before the first id of another; the first id of all follows the last part
+    ends = sorted((top, order[i - 1][0]) for i, (_, top) in enumerate(order) if top is not None)
+    top_ids, ended = np.array([t for t, _ in ends], np.int64), np.array([p for _, p in ends], np.int32)
+    before_nulls = next((order[i - 1][0] for i, (_, top) in enumerate(order) if top is None), None)
+
+    @F.arrow_udf("array<int>")
+    def targets(ids: pa.Array) -> pa.Array:
+        part, own, null = part_of(ids)
+        ahead = np.full(len(own), -1, np.int32)
+        if len(top_ids):
+            at = np.minimum(np.searchsorted(top_ids, own), len(top_ids) - 1)
+            ahead = np.where(top_ids[at] == own, ended[at], -1)
+        ahead = np.where(null, -1 if before_nulls is None else before_nulls, ahead)
+        sizes = 1 + (ahead >= 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = np.repeat(part, sizes)
+        flat[(offsets[1:] - 1)[ahead >= 0]] = -1 - ahead[ahead >= 0]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
     dealt = slim.withColumn("to", F.explode(targets("id")))
     dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("ahead"), "id", "text")
@@ -155,7 +167,7 @@ def fingerprints(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_
             _, doc, text, own, mine = held
             text2 = edited(text, after[2])
             theirs = winnow(text2, k, w)
-            out.append((doc, len(text), hashlib.sha256(text2.encode("utf-8", "surrogatepass")).hexdigest(), to_string(*own), to_string(*theirs), likeness(mine, np.unique(theirs[0])), likeness(mine, after[4])))
+            out.append((doc, len(text), hashlib.sha256(text2.encode("utf-8", "surrogatepass")).hexdigest(), to_string(*own, w), to_string(*theirs, w), likeness(mine, np.unique(theirs[0])), likeness(mine, after[4])))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [[]] * 7

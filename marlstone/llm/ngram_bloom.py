@@ -1,15 +1,15 @@
 """N-gram language model whose counts lie in a log-frequency Bloom filter.
 
 Counts of unigrams and bigrams are quantised to ``1 + floor(log2 c)``; an n-gram with level q is entered as (n-gram, 1) .. (n-gram, q), and its
-level is read back by probing for 1, 2, ... until a probe fails.  The filter holds every bigram, and every word outside the ``head``
-table, a bounded broadcast of the most frequent words, which have exact counts.  It is a table of segments, each as large as its own
-entries need at ``bits_per_item``; their number grows with the text, and no segment leaves its task.
+level is read back by probing for 1, 2, ... until a probe fails.  The filter holds every word and every bigram.  Its part for the ``head``,
+the most frequent words, is of bounded size and broadcast to workers; the rest is a table of segments, each as large as its own entries need at
+``bits_per_item``; their number grows with the text, and no segment leaves its task.  All counts below are read from the filter.
 
     P1(w)   = (c(w) + 0.1) / (N + 0.1 (V + 1))
     P(w|v)  = (c(v, w) + mu P1(w)) / (c(v) + mu)
 
-To score, the distinct bigrams and rare words of a block of documents are dealt to their segments; levels (and exact counts of words, for
-the base score) come back in the order asked for.  No n-gram is dropped and neither the filter nor the vocabulary is collected.
+To score, the distinct bigrams and rare words of a block of documents are dealt to their segments; levels (and exact counts of words, which
+the base score alone uses) come back in the order asked for.  No n-gram is dropped and neither the filter nor the vocabulary is collected.
 
 Counting shuffles packed arrays: a task sorts and sums the n-grams of a block of documents, so a very frequent one is one entry a block.
 """
@@ -121,6 +121,12 @@ def segment_bits(keys: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+def bloom_of(keys: np.ndarray, level: np.ndarray, bits_per_item: int) -> LogFrequencyBloom:
+    """A filter of one segment, as large as its entries need."""
+    bits = max(6, min(32, (int(level.sum()) * bits_per_item).bit_length()))
+    return LogFrequencyBloom(segment_bits(keys, level, bits), 0, bits)
+
+
 def _dealt(keys: np.ndarray, counts: np.ndarray, kind: int, seg_bits: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     cut = np.searchsorted(keys, np.arange(1, 1 << seg_bits, dtype=np.uint64) << np.uint64(64 - seg_bits)) if seg_bits else np.zeros(0, np.int64)
     cut = np.concatenate([[0], cut, [len(keys)]])
@@ -147,6 +153,7 @@ class LanguageModel:
     seg_bits: int
     segments: DataFrame  # seg, bits of the filter, keys and exact counts of the words outside the head
     tail_words: int
+    head_filter: LogFrequencyBloom
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + ALPHA) / (self.tokens + ALPHA * (self.vocabulary + 1))
@@ -222,8 +229,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
                 entries.append(keys)
                 entry_levels.append(q)
         keys, q = np.concatenate(entries), np.concatenate(entry_levels)
-        bits = max(6, min(32, (int(q.sum()) * bits_per_item).bit_length()))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([segment_bits(keys, q, bits)]), C.packed([words]), C.packed([counts])], ["seg", "bits", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([bloom_of(keys, q, bits_per_item).data]), C.packed([words]), C.packed([counts])], ["seg", "bits", "keys", "counts"])
 
     heads = table.filter("slot % 2 = 0").select("keys", "counts").mapInArrow(top, "keys binary, counts binary").collect()
     keys = np.concatenate([*(np.frombuffer(bytes(r.keys), "<u8") for r in heads), np.zeros(0, np.uint64)])
@@ -233,7 +239,8 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
     segments, _ = C.store(segs, "segments")
     C.discard(spark, table_path)
     C.release(spark)
-    return LanguageModel(tokens, vocabulary, keys[order], counts[order], seg_bits, segments, int(vocabulary - len(keys)))
+    keys, counts = keys[order], counts[order]
+    return LanguageModel(tokens, vocabulary, keys, counts, seg_bits, segments, int(vocabulary - len(keys)), bloom_of(keys ^ np.uint64(1), levels(counts), bits_per_item))
 
 
 def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +250,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
     0, N is 0 and V is 0.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.head_keys, model.head_counts))
+    shared = spark.sparkContext.broadcast((model.head_keys, model.head_counts, model.head_filter))
     n, v, seg_bits, has_tail = model.tokens, model.vocabulary, model.seg_bits, model.tail_words > 0
     below = n + ALPHA * (v + 1)
 
@@ -264,7 +271,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
 
     def in_head(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is in the head, and its count there."""
-        head_keys, head_counts = shared.value
+        head_keys, head_counts, _ = shared.value
         if not len(head_keys):
             return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(head_keys, words), len(head_keys) - 1)
@@ -315,7 +322,8 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
         # the END that opens each document has the count of END
         words, back = np.unique(tokens, return_inverse=True)
         inside, exact = in_head(words)
-        rough = exact.astype(np.float64)
+        rough = np.zeros(len(words))
+        rough[inside] = representative(shared.value[2].level(words[inside] ^ np.uint64(1), np.full(int(inside.sum()), 63)))
         if has_tail:
             exact[~inside] = np.frombuffer(b"".join(x[3] for x in got if x[0] == 0), "<i8")
             rough[~inside] = representative(level[0].astype(np.int64))

@@ -146,20 +146,31 @@ def test_winnowing_against_windows():
     fingerprint._PIECE = old
 
 
-def test_fingerprints(spark, odd, empty):
-    got = sorted(fingerprint.fingerprints(frame(spark, [*odd, (None, "null id " * 30)])).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
-    order = sorted(odd, key=lambda x: (-x[0], x[1] or "")) + [(None, "null id " * 30)]
+def test_fingerprint_strings():
+    for w in (41, 300):
+        got = fingerprint.winnow("some text that is long enough for a few of them, " * 40, 20, w)
+        assert all((a == b).all() for a, b in zip(got, fingerprint.from_string(fingerprint.to_string(*got, w), w), strict=True))
+
+
+@pytest.mark.parametrize("base", [0, 2**60])
+def test_fingerprints(spark, odd, empty, base):
+    """Also for ids that no double holds, beside a null id."""
+    rows = [(base + i, t) for i, t in odd]
+    got = sorted(fingerprint.fingerprints(frame(spark, [*rows, (None, "null id " * 30)])).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    order = sorted(rows, key=lambda x: (-x[0], x[1] or "")) + [(None, "null id " * 30)]
     after = {(i, t): order[(k + 1) % len(order)][1] or "" for k, (i, t) in enumerate(order)}
-    assert len(got) == len(odd) + 1
+    assert len(got) == len(rows) + 1
     by_text = {}
+    prints = lambda x: np.unique(fingerprint.winnow(x)[0])
     for r in got:
-        text = next(t for i, t in order if i == r.doc_id) or ""
+        mine = next(t for i, t in order if i == r.doc_id)
+        text = mine or ""
         assert r.n_chars == len(text) and by_text.setdefault(text, r.fingerprint) == r.fingerprint
-        if r.doc_id not in (1, 2):  # of repeated rows each has its own next
-            want = fingerprint.edited(text, after[r.doc_id, next(t for i, t in order if i == r.doc_id)])
+        if r.doc_id not in (base + 1, base + 2):  # of repeated rows each has its own next
+            want = fingerprint.edited(text, after[r.doc_id, mine])
             assert r.edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
-            a, b = (np.unique(fingerprint.winnow(x)[0]) for x in (text, want))
-            assert r.near_edited == fingerprint.likeness(a, b)
+            assert r.near_edited == fingerprint.likeness(prints(text), prints(want))
+            assert r.near_next == fingerprint.likeness(prints(text), prints(after[r.doc_id, mine]))
     assert fingerprint.fingerprints(empty).count() == 0
 
 
@@ -194,7 +205,8 @@ def test_no_bigram_is_dropped_from_a_full_filter(spark, odd):
         own = zip(toks(t), toks(t)[1:], strict=False)
         # a bigram is at most as frequent as its words
         level = lambda a, b: min(rep(x) for x in (pairs[a, b], c[a], c[b]))
-        want[i].append(sum(math.log10((level(a, b) + 20 * (c[b] + 0.1) / (n + 0.1 * (v + 1))) / (c[a] + 20)) for a, b in own))
+        # unigram counts are those of levels too
+        want[i].append(sum(math.log10((level(a, b) + 20 * (rep(c[b]) + 0.1) / (n + 0.1 * (v + 1))) / (rep(c[a]) + 20)) for a, b in own))
     m = ngram_bloom.fit(train, max_bits=1 << 12, bits_per_item=60)
     for r in ngram_bloom.score(every, m).collect():
         assert any(abs(r.score - x) < 1e-6 * abs(x) for x in want[r.doc_id]), r
