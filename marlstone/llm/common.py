@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     known = getattr(sc, "_marlstone_scratch", None)
     if known is None:
         known = sc._marlstone_scratch = tempfile.mkdtemp(prefix="marlstone-")
@@ -77,6 +80,32 @@ def trim() -> None:
         pass
 
 
+def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
+    """The rows of df whose key (a long) may be one of need's: all that are, and few others.
+
+    A Bloom filter of at most 2**most_bits bits (8 MB) is made by an aggregation and broadcast, so that a join after it shuffles little
+    of df.  With many more keys than bits it lets more rows pass, at worst all: the join decides, only its shuffle grows.
+    """
+    spark = df.sparkSession
+    bits = max(10, min(most_bits, (16 * need.count()).bit_length()))
+    places = lambda: [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << bits)) for i in range(4)]
+    at = need.select(F.explode(F.array(*places())).alias("at"))
+    got = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def may_hold(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        out = np.ones(len(a), bool)
+        for x in (a, b, c, d):
+            x = x.to_numpy(zero_copy_only=False)
+            out &= (shared.value[x >> 6] >> (x & 63) & 1).astype(bool)
+        return pa.array(out)
+
+    return df.filter(F.col(key).isNotNull()).filter(may_hold(*places()))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a scratch folder, usable by the driver and by tasks."""
     if "://" not in uri and not uri.startswith("file:"):

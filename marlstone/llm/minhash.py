@@ -107,7 +107,8 @@ def _sets(need: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col:
             raw, offs = C.text_buffer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), C.packed([s for _, s in shingle_sets(raw, offs, shingle)])], ["id", "items"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need, "id", "left_semi").mapInArrow(run, "id long, items binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return C.likely(slim, need, "id").join(need, "id", "left_semi").mapInArrow(run, "id long, items binary")
 
 
 def _unpacked(items: DataFrame) -> DataFrame:
@@ -123,8 +124,9 @@ def _unpacked(items: DataFrame) -> DataFrame:
     return items.select("id", F.xxhash64("items"), "items").mapInArrow(run, "rep long, key long, items array<long>")
 
 
-def _between(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one group and different components that may be linked; enough of them to join components.
+def _between(groups: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b), a < b, of members of one group and different components that may be linked, enough of them to join components; and
+    the folders that they are read from.
 
     groups: g, m (members of the group), rep, n, component, away (outside the group's largest component); sets: rep, key, items.
     With s = (den + num) * |difference| - (den - num) * n, a and b are linked where s_a + s_b <= 2 * (den + num) * |shared differences|.
@@ -132,13 +134,13 @@ def _between(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     share = F.ceil(F.col("m") / 64).cast("int")  # a large group is dealt to many tasks; what belongs to the group goes to each
     salted = F.pmod(F.xxhash64("rep"), share.cast("long")).alias("salt")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), share.cast("long") - 1)).alias("salt")
-    members, _ = C.store(groups.join(sets, "rep").filter("size(items) = n"), "members")
+    members, members_path = C.store(groups.join(sets, "rep").filter("size(items) = n"), "members")
     held = members.select("g", "m", F.explode("items").alias("value")).groupBy("g", "m", "value").agg(F.count("*").alias("c")).filter("2 * c > m")
     centre = held.groupBy("g", "m").agg(F.collect_list("value").alias("centre"))  # at most twice the mean set of the group
     centre = centre.select("g", "centre", everywhere)
     core = F.coalesce("centre", F.array().cast("array<long>"))
     delta = members.select("*", salted).join(centre, ["g", "salt"], "left").select("g", "m", "salt", "rep", "key", "n", "component", "away", F.concat(F.array_except("items", core), F.array_except(core, "items")).alias("d"))
-    delta, _ = C.store(delta.withColumn("s", (den + num) * F.size("d").cast("long") - (den - num) * F.col("n")), "delta")
+    delta, delta_path = C.store(delta.withColumn("s", (den + num) * F.size("d").cast("long") - (den - num) * F.col("n")), "delta")
     least = delta.groupBy("g", "m").agg(F.min(F.struct("s", "rep", "component")).alias("least")).select("g", "least", everywhere)
     delta = delta.join(least, ["g", "salt"])
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -150,19 +152,19 @@ def _between(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     own = flat.join(shared, ["g", "value"]).groupBy(*who, "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
     # of the values from here on, `rest` are left: no pair that first meets here can share more
     index = own.select(*who, "least", F.size("own").alias("size"), F.posexplode("own").alias("at", "x")).select(*who, "least", F.col("x.value").alias("value"), (F.col("size") - F.col("at")).alias("rest"))
-    index, _ = C.store(index.filter(2 * (den + num) * F.col("rest") >= F.col("s") + F.col("least")).drop("key", "least"), "differences")
+    index, index_path = C.store(index.filter(2 * (den + num) * F.col("rest") >= F.col("s") + F.col("least")).drop("key", "least"), "differences")
     a = index.filter("away").select("g", "value", *(F.col(x).alias(x + "_a") for x in ("rep", "n", "component", "s", "rest")))
     b = index.select("g", "value", *(F.col(x).alias(x + "_b") for x in ("rep", "n", "component", "s", "rest")))
     need = F.col("s_a") + F.col("s_b")
     sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
     may = (a["g"] == b["g"]) & (a["value"] == b["value"]) & (F.col("component_a") != F.col("component_b")) & (need > 0) & (2 * (den + num) * F.least("rest_a", "rest_b") >= need) & sizes
-    return certain.union(a.join(b, may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).select(*ordered)).distinct()
+    return certain.union(a.join(b, may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).select(*ordered)).distinct(), [members_path, delta_path, index_path]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b): pairs with den * intersection >= num * union on the full sets."""
-    # ids are those of classes; if an id is repeated, the class of the pair is one of its rows: any row of the id may confirm
-    items, _ = C.store(_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, shingle, id_col, text_col), "sets")
+def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Links (a, b): pairs with den * intersection >= num * union on the full sets; and the folder of the sets."""
+    # an id that is repeated has several sets: each may confirm
+    items, path = C.store(_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, shingle, id_col, text_col), "sets")
     joined = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int,
                 keep.append(den * shared >= num * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), path
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,16 +185,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     Links are pairs with den * |intersection| >= num * |union| of their shingle sets; fewer words than a shingle make one shingle; a
     document without words (null, empty or white text) has an empty set and no links.  component_id is the least id reachable;
-    kept is doc_id = component_id.  Rows with a null id have a null component and are kept.  Rows that repeat an id share its component.
+    kept is doc_id = component_id.  Rows with a null id have a null component and are kept.  Rows that repeat an id are one document with
+    several texts: linked with whatever one of them is linked with, and all of one component (rows without words stay by themselves).
     An empty table gives no rows; other columns are not read.
     """
     spark, least = docs.sparkSession, num / den
-    rows, rows_path = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
-    sound = rows.filter("n > 0 and doc_id is not null")
-    reps, _ = C.store(sound.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch")), "classes")
-
-    rows, _ = C.store(rows.drop("sketch"), "rows")
-    C.discard(spark, rows_path)
+    full, full_path = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
+    # classes of equal sets: least ids by salt first, so that a class of any size is spread; a class has as many rows here as it has salts
+    sound = full.filter("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    parts = sound.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("rep"))
+    classes = parts.groupBy("h1", "h2").agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts"))
+    classes, classes_path = C.store(classes, "classes")
+    found = sound.select("doc_id", "n", "h1", "h2", "salt").join(classes.select("h1", "h2", "rep", F.explode("salts").alias("salt")), ["h1", "h2", "salt"])
+    rows, _ = C.store(found.select("doc_id", "n", "rep").union(full.filter("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long"))), "rows")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
+    reps, reps_path = C.store(reps.select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
+    C.discard(spark, full_path, classes_path)
+    # ids of several classes tie these together
+    several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
+    ties, ties_path = C.store(several.join(rows, "doc_id").select("a", F.col("rep").alias("b")).filter("a < b").distinct(), "ties")
 
     # values that two representatives retain, by rarity; values of one representative alone use up places
     sample = math.ceil(k * (1 - least)) + math.ceil(5 * math.sqrt(k * least * (1 - least))) + 1
@@ -204,10 +215,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     mine = values.join(shared, "value").groupBy("rep", "n", "places", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))  # at most k values a document
     left = F.greatest(F.lit(0), F.col("places") - (F.col("size") - F.size("own")))
     index = mine.select("rep", "n", (F.size("own") / F.col("size")).alias("central"), F.explode(F.slice("own", 1, left)).alias("x")).select("rep", "n", "central", F.col("x.value").alias("value"))
-    index, _ = C.store(index, "index")
+    index, index_path = C.store(index, "index")
     # hubs of a list: its least id, one chosen by hash, and the one with the largest share of retained values that others retain too
     hubs = (F.min("rep").alias("hub1"), F.min_by("rep", F.xxhash64("rep")).alias("hub2"), F.max_by("rep", F.struct("central", "rep")).alias("hub3"))
-    lists, _ = C.store(index.groupBy("value").agg(F.count("*").alias("c"), *hubs).filter("c > 1"), "lists")
+    lists, lists_path = C.store(index.groupBy("value").agg(F.count("*").alias("c"), *hubs).filter("c > 1"), "lists")
     C.release(spark)
 
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
@@ -217,31 +228,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     pairs = in_list.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).filter("p.rep < q.rep").select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).filter(near).select("a", "b")
     hubs = members.select(F.col("rep").alias("x"), F.explode(F.array_distinct(F.array("hub1", "hub2", "hub3"))).alias("y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # overlap: the number of lists in which a pair meets; each one is looked at once
-    found, _ = C.store(pairs.union(hubs).groupBy("a", "b").agg(F.count("*").alias("overlap")), "pairs")
+    found, found_path = C.store(pairs.union(hubs).groupBy("a", "b").agg(F.count("*").alias("overlap")), "pairs")
 
     def confirm(p: DataFrame) -> DataFrame:
-        kept, _ = C.store(_estimate(p.select("a", "b"), reps, k, least), "likely")
-        return C.store(_verify(kept, docs, shingle, num, den, id_col, text_col).distinct(), "links")[0]
-
-    links = confirm(found)
-    labels, _ = C.store(graph.components(links), "labels")
+        kept, kept_path = C.store(_estimate(p.select("a", "b"), reps, k, least), "likely")
+        confirmed, sets_path = _verify(kept, docs, shingle, num, den, id_col, text_col)
+        confirmed, _ = C.store(confirmed.distinct(), "links")
+        C.discard(spark, kept_path, sets_path)
+        return confirmed
+
+    links = confirm(found).union(ties)
+    labels, labels_path = C.store(graph.components(links), "labels")
     C.release(spark)
     # long lists of one hub with members of several components
     named = members.select(F.col("hub1").alias("g"), "rep", "n").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named, named_path = C.store(named, "named")
     sizes = named.groupBy("g", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("g").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("kinds")).filter("kinds > 1")
-    groups, _ = C.store(named.join(main.select("g", "main", "m"), "g").select("g", "m", "rep", "n", "component", (F.col("component") != F.col("main")).alias("away")), "open")
-    sets, _ = C.store(_sets(groups.select(F.col("rep").alias("id")).distinct(), docs, shingle, id_col, text_col), "sets")
-    p = _between(groups, _unpacked(sets), num, den)
-    p, _ = C.store(p.join(found, ["a", "b"], "left_anti"), "more")
+    groups, groups_path = C.store(named.join(main.select("g", "main", "m"), "g").select("g", "m", "rep", "n", "component", (F.col("component") != F.col("main")).alias("away")), "open")
+    C.discard(spark, named_path, lists_path, index_path)
+    sets, sets_path = C.store(_sets(groups.select(F.col("rep").alias("id")).distinct(), docs, shingle, id_col, text_col), "sets")
+    p, between = _between(groups, _unpacked(sets), num, den)
+    p, more_path = C.store(p.join(found, ["a", "b"], "left_anti"), "more")
+    C.discard(spark, groups_path, sets_path, found_path, *between)
     if not p.isEmpty():
         more = confirm(p)
         if not more.isEmpty():
-            labels, _ = C.store(graph.components(links.union(more)), "labels")
-    C.discard(spark, named_path)
+            C.discard(spark, labels_path)
+            labels, labels_path = C.store(graph.components(links.union(more)), "labels")
+    C.discard(spark, more_path, reps_path, ties_path)
     C.release(spark)
-    classes = reps.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # only rows with a representative look for its component; that of a link is a row of its own, so no key is hot but a large class
+    own = rows.filter("rep is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    named = labels.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    placed = own.join(named, ["rep", "salt"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
+    out = placed.union(rows.filter("rep is null").select("doc_id", "n", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
