@@ -119,6 +119,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def flattened(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[int]]:
+    """df with columns c0, c1, ... (its names may be equal but for case), and the places of the wanted ones.
+
+    A name stands for the column of just that name, else for the only one that is equal but for case.
+    """
+    places = []
+    for name in wanted:
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{'no' if not at else 'more than one'} column {name}")
+        places += at
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), places
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -134,6 +148,11 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def sizes_of(col: pa.Array) -> np.ndarray:
+    """Bytes of each string; null counts as empty."""
+    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = h ^ (h >> np.uint64(30))

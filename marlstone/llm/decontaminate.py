@@ -211,7 +211,7 @@ def matches(docs: DataFrame, items: DataFrame, *, shingle: int = 5, least: float
 
 def clean(docs: DataFrame, items: DataFrame, *, shingle: int = 5, least: float = 0.8, items_per_pass: int = 2000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark item."""
-    at = docs.columns.index(text_col)
+    flat, (at,) = C.flattened(docs, text_col)
     for bench in benchmark_passes(items, shingle, items_per_pass, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
@@ -222,5 +222,5 @@ def clean(docs: DataFrame, items: DataFrame, *, shingle: int = 5, least: float =
                 keep[[k for k, _ in _found(shared.value, raw, offs, shingle, least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        flat = flat.mapInArrow(run, flat.schema)
+    return flat.toDF(*docs.columns)

@@ -165,7 +165,8 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, windows_per_doc: int =
     if label_col.lower() not in (c.lower() for c in docs.columns):
         return None
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).filter(F.col("label").isNotNull() & (F.col("text") != "") & ~held_out(F.col("id")))
+    flat, (id_at, text_at, label_at) = C.flattened(docs, id_col, text_col, label_col)
+    rows = flat.select(F.col(f"c{id_at}").alias("id"), F.col(f"c{text_at}").alias("text"), F.col(f"c{label_at}").cast("string").alias("label")).filter(F.col("label").isNotNull() & (F.col("text") != "") & ~held_out(F.col("id")))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     counts = rows.groupBy("label").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()
     if not counts:
@@ -305,8 +306,7 @@ def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, text
     """The rows of docs, all columns, whose language is not ``und`` and has at least the given score; all rows if there is no model."""
     if model is None:
         return docs
-    names = [f"c{i}" for i in range(len(docs.columns))]  # names may clash but for case
-    flat, at = docs.toDF(*names), [c.lower() for c in docs.columns].index(text_col.lower()) if text_col not in docs.columns else docs.columns.index(text_col)
+    flat, (at,) = C.flattened(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ Deeper levels are links too (``n_links``), but make no parents.  Roots are found
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -55,10 +55,10 @@ def _units(passages: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, text (own words), n_quotes, n_links, parent_turn, root_turn, depth for each message.
+    """conv_id, turn, role, text (own words), n_quotes, n_links, parent_turn, root_turn, depth, position for each message.
 
-    Ordered by (conv_id, root_turn, turn), each thread stands in reply order: a parent always has a smaller turn than its replies, and
-    threads follow their roots.  Messages without a parent are their own roots, of depth 0.  Null conversation, turn or text: the message
+    position is the place in the thread of the root, in reply order: a parent always has a smaller turn than its replies, so it stands
+    before them.  Messages without a parent are their own roots, of depth 0 and position 0.  Null conversation, turn or text: the message
     is returned, without links (null text as empty).  Messages that repeat a (conversation, turn) share one place in the structure.
     A quote without a known original has no link.  An empty table gives no rows; other columns are not read.
     """
@@ -85,10 +85,20 @@ def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
         if chain.filter("moved").isEmpty():
             break
         chain = chain.drop("moved")
-    known = counts.join(parents, ["conv", "turn"], "left").join(chain.drop("moved"), ["conv", "turn"], "left")
+    # roots stand at 0; a window is as long as its thread
+    placed = chain.drop("moved").withColumn("position", F.row_number().over(Window.partitionBy("conv", "root").orderBy("turn")))
+    known = counts.join(parents, ["conv", "turn"], "left").join(placed, ["conv", "turn"], "left")
     n_quotes = F.when(has_mark, F.size(F.filter(parsed(F.col("text")), lambda p: p["level"] > 0))).otherwise(0)
     out = slim.select("conv", "turn", "role", own_text(F.col("text")).alias("text"), n_quotes.cast("long").alias("n_quotes")).join(known, ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "text", "n_quotes", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "text", "n_quotes", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("position", F.lit(0)).cast("long").alias("position"))
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """conv_id, root_turn, n_messages, messages: the threads of link()'s rows, each an array of (position, turn, role, text, parent_turn,
+    depth) in reply order, texts without quotes.  Messages of null conversation or turn belong to none."""
+    sound = linked.filter("conv_id is not null and turn is not null")
+    message = F.struct("position", "turn", "role", "text", "parent_turn", "depth")
+    return sound.groupBy("conv_id", "root_turn").agg(F.count("*").alias("n_messages"), F.sort_array(F.collect_list(message)).alias("messages"))
 
 
 #: The same in SQL, over a table ``conversations``.
@@ -107,13 +117,15 @@ votes AS (SELECT q.conv_id, q.turn, level, source, sum(length(q.unit)) AS chars
 parents AS (SELECT conv_id, turn, max(struct_pack(chars := chars, source := source)).source AS parent FROM votes WHERE level = 1 GROUP BY ALL),
 up AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
 roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+places AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, root ORDER BY turn) AS position FROM roots),
 own AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (level = 0) AS kept, bool_or(level > 0) AS quoted FROM q GROUP BY ALL),
 n AS (SELECT rid, count(*) AS n_quotes FROM p WHERE level > 0 GROUP BY ALL),
 c AS (SELECT conv_id, turn, count(*) AS n_links FROM votes GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role,
     CASE WHEN own.quoted THEN regexp_replace(coalesce(own.kept, ''), '^[ \t\n]+|[ \t\n]+$', '', 'g') ELSE m.text END AS text,
     coalesce(n.n_quotes, 0)::BIGINT AS n_quotes, coalesce(c.n_links, 0)::BIGINT AS n_links, parents.parent::BIGINT AS parent_turn,
-    coalesce(roots.root, m.turn)::BIGINT AS root_turn, coalesce(roots.depth, 0)::BIGINT AS depth
+    coalesce(roots.root, m.turn)::BIGINT AS root_turn, coalesce(roots.depth, 0)::BIGINT AS depth, coalesce(places.position, 0)::BIGINT AS position
 FROM m LEFT JOIN own USING (rid) LEFT JOIN n USING (rid) LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn
     LEFT JOIN parents ON parents.conv_id = m.conv_id AND parents.turn = m.turn LEFT JOIN roots ON roots.conv_id = m.conv_id AND roots.turn = m.turn
+    LEFT JOIN places ON places.conv_id = m.conv_id AND places.turn = m.turn
 """

@@ -4,15 +4,16 @@ A byte goes if a string of ``length`` bytes (100) that covers it also starts ear
 
 *Dealing out.*  A 32-byte gram is the anchor of a window of ``length`` bytes if its hash is least among the grams in the window (the leftmost
 of equal ones).  Equal windows have equal anchors, so windows are dealt by the hash of their anchor.  The context of an anchor, all bytes
-that any of its windows may cover, is told apart by a 64-bit hash: windows of a context that occurs before are repeats, and equal
-contexts count once.  An anchor with a single context has no other repeats and needs no sorting.
+that any of its windows may cover, is told apart by two independent hashes (96 bits, beside 48 of the anchor's): windows of a context that
+occurs before are repeats, and equal contexts count once.  An anchor with a single context has no other repeats and needs no sorting.
 
 *Suffix sorting.*  The contexts that share an anchor with others are dealt to buckets of bounded size.  Each bucket sorts all suffixes of
 its contexts by the difference-cover algorithm (sampled triples are sorted and named, names are sorted by recursion, the remaining
 suffixes are merged in), and compares the prefixes of neighbours.  Of equal windows the first in the corpus stays.  An anchor with
 more than ``HOT`` contexts does not go to one bucket: its windows are dealt by their own hash (128 bits) instead, once a file.
 
-Documents are first written, in order of id, to files in the shared folder; a place in the corpus is (file, byte), which orders them.
+Documents are first written, in order of id, to files of bounded size in the shared folder; a place in the corpus is (file, byte), which
+orders them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from . import common as C
 
 GRAM, HOT = 32, 2048
 BUCKET = 1 << 19  # bytes of contexts that a bucket is meant to hold
+FILE = 1 << 26  # bytes of texts in a file; a document that is larger has one of its own
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -130,7 +132,7 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK // 2) -> tuple[np.ndarray, ...]:
-    """Anchors of documents: (place, hash, first window, last window, context hash), in order of first window.
+    """Anchors of documents: (place, hash, first window, last window, two hashes of the context), in order of first window.
 
     Documents are taken in blocks, and long ones in stretches that begin with the first window of an anchor.
     """
@@ -142,8 +144,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BL
         start, end = np.maximum(doc_start, x - (w - 1)), np.minimum(doc_end, x + length)
         if len(x):
             a, b = int(start.min()), int(end.max())
-            ctx = C.span_hashes(raw[a:b], start - a, end - a) ^ C.mix((x - start).astype(np.uint64))
-            found.append((x, h, lo, hi, ctx))
+            where = C.mix((x - start).astype(np.uint64))
+            found.append((x, h, lo, hi, C.span_hashes(raw[a:b], start - a, end - a) ^ where, (_second(raw[a:b], start - a, end - a) + where).astype(np.uint32)))
 
     for i, j in C.blocks(offsets, block):
         at, end = int(offsets[i]), int(offsets[j])
@@ -162,7 +164,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BL
             add(at, tuple(v[:-1] for v in part), int(offsets[i]), end)
             at += int(part[2][-1])
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint32)
     return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
@@ -173,6 +176,11 @@ def _read(path: str, text: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return t, *C.text_buffer(t.column(text))
 
 
+def _differs(v: np.ndarray) -> np.ndarray:
+    """Whether each value is another than the one before it."""
+    return np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])
+
+
 def _side(path: str) -> str:
     return path + ".anchors"
 
@@ -243,26 +251,43 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, w, size = TaskContext.get().partitionId(), None, 0
-        path = f"{root}/part-{number:06d}.parquet"
-        fs, at = C.filesystem(path)
+        number, w, size, done = TaskContext.get().partitionId(), None, 0, []
+
+        def close() -> None:
+            nonlocal w, size
+            if w is not None:
+                w.close()
+                done.append((number, len(done), path, size))
+            w, size = None, 0
+
         for b in batches:
-            if w is None and b.num_rows:
-                fs.create_dir(at.rpartition("/")[0], recursive=True)
-                w = pq.ParquetWriter(fs.open_output_stream(at), b.schema, compression="zstd", use_dictionary=False)
-            for k in range(0, b.num_rows, 2000):
-                w.write_batch(b.slice(k, 2000))
-                size += b.slice(k, 2000).nbytes
-        if w is not None:
-            w.close()
-            yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "size": [size]})
+            at = 0
+            while at < b.num_rows:
+                ends = np.cumsum(C.sizes_of(b.column(text_at))[at:])
+                n = max(1 if size == 0 else 0, int(np.searchsorted(ends, FILE - size, "right")))  # rows that the file still holds
+                if not n:
+                    close()
+                    continue
+                if w is None:
+                    path = f"{root}/part-{number:06d}-{len(done):06d}.parquet"
+                    fs, place = C.filesystem(path)
+                    fs.create_dir(place.rpartition("/")[0], recursive=True)
+                    w = pq.ParquetWriter(fs.open_output_stream(place), b.schema, compression="zstd", use_dictionary=False)
+                for k in range(at, at + n, 2000):
+                    w.write_batch(b.slice(k, min(2000, at + n - k)))
+                size += int(ends[n - 1])
+                at += n
+        close()
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in done], kind) for i, (name, kind) in enumerate([("task", pa.int64()), ("nth", pa.int64()), ("path", pa.string()), ("size", pa.int64())])})
 
     ordered = flat.repartitionByRange(parts, F.col(names[id_at]).asc_nulls_last()).sortWithinPartitions(F.col(names[id_at]).asc_nulls_last(), text_name)
-    files = sorted(tuple(r) for r in ordered.mapInArrow(copy, "part long, path string, size long").collect())  # one small row a partition
+    # one small row a file; files are numbered in the order of the corpus
+    got = sorted(tuple(r) for r in ordered.mapInArrow(copy, "task long, nth long, path string, size long").collect())
+    files = [(n, path, size) for n, (_, _, path, size) in enumerate(got)]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if not files:
         return slim if texts else spark.createDataFrame([], schema)
-    segments = max(parts, sum(f[2] for f in files) // (35 * 500_000))
+    segments = max(parts, sum(f[2] for f in files) // (35 * 500_000))  # a segment and a file share a row, if they share an anchor
     listed = spark.createDataFrame([f[:2] for f in files], "part long, path string").repartition(len(files), "part")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +295,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         for batch in batches:
             for part, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, raw, offs = _read(path, text_name)
-                x, h, lo, hi, ctx = anchors(raw, offs, length)
+                x, h, lo, hi, ctx, ctx2 = anchors(raw, offs, length)
                 seg = (h >> np.uint64(40)) % np.uint64(segments)
-                order = np.lexsort((np.arange(len(h)), ctx, h))
-                first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])]) if len(h) else np.zeros(0, bool)
+                order = np.lexsort((np.arange(len(h)), ctx2, ctx, h))
+                first = _differs(h[order]) | _differs(ctx[order]) | _differs(ctx2[order])
                 leads = np.zeros(len(h), bool)
                 leads[order] = first  # the others repeat a context of this file
                 fs, at = C.filesystem(_side(path))
@@ -282,23 +307,23 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 order = np.argsort(seg[leads], kind="stable")
                 cut = np.searchsorted(seg[leads][order], np.arange(segments + 1, dtype=np.uint64))
                 low = h[leads][order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
-                c = ctx[leads][order]
+                c, c2 = ctx[leads][order], ctx2[leads][order]
                 own = [s for s in range(segments) if cut[s + 1] > cut[s]]
                 for k in range(0, len(own), 256):
                     some = own[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), C.packed([low[cut[s] : cut[s + 1]].ravel() for s in some]), C.packed([c[cut[s] : cut[s + 1]] for s in some])], ["seg", "part", "grams", "contexts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), C.packed([low[cut[s] : cut[s + 1]].ravel() for s in some]), C.packed([c[cut[s] : cut[s + 1]] for s in some]), C.packed([c2[cut[s] : cut[s + 1]] for s in some])], ["seg", "part", "grams", "contexts", "more"])
 
     def judge(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.trim()
-        rows = sorted(((p, g, c) for b in group for _, p, g, c in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[0])
-        n = [len(c) // 8 for _, _, c in rows]
+        rows = sorted(((p, g, c, c2) for b in group for _, p, g, c, c2 in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[0])
+        n = [len(r[2]) // 8 for r in rows]
         wide = np.zeros((sum(n), 8), np.uint8)
-        wide[:, :6] = np.concatenate([np.frombuffer(g, np.uint8) for _, g, _ in rows]).reshape(-1, 6)
-        h, ctx = wide.view("<u8").ravel(), np.concatenate([np.frombuffer(c, "<u8") for *_, c in rows])
-        order = np.lexsort((np.arange(len(h)), ctx, h))
-        h, ctx = h[order], ctx[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        first = new | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        wide[:, :6] = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows]).reshape(-1, 6)
+        h, ctx, ctx2 = wide.view("<u8").ravel(), np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]), np.concatenate([np.frombuffer(r[3], "<u4") for r in rows])
+        order = np.lexsort((np.arange(len(h)), ctx2, ctx, h))
+        h, ctx, ctx2 = h[order], ctx[order], ctx2[order]
+        new = _differs(h)
+        first = new | _differs(ctx) | _differs(ctx2)
         group_of = np.cumsum(new) - 1
         kinds = np.bincount(group_of[first])[group_of]
         flags = np.empty(len(h), np.uint8)  # 0: nothing more to do, 1: windows occur before, 2: to be sorted, 3: to be hashed
@@ -307,7 +332,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         seg = key[0].as_py()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in rows], pa.int64()), pa.array([seg] * len(rows), pa.int64()), C.packed([flags[e - k : e] for e, k in zip(ends.tolist(), n, strict=True)]), pa.array([int((flags[e - k : e] == 2).sum()) for e, k in zip(ends.tolist(), n, strict=True)], pa.int64())], ["part", "seg", "flags", "n"])
 
-    dealt = listed.mapInArrow(find, "seg long, part long, grams binary, contexts binary")
+    dealt = listed.mapInArrow(find, "seg long, part long, grams binary, contexts binary, more binary")
     flags, _ = C.store(dealt.groupBy("seg").applyInArrow(judge, "part long, seg long, flags binary, n long"), "flags")
     paths = {p: path for p, path, _ in files}  # a path a file, as in the plan of any scan
     sorting = flags.agg(F.sum("n")).first()[0] or 0
@@ -449,13 +474,27 @@ def _gram_keys(raw: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+_OTHER = np.uint64(0xA24BAED4963EE407)  # the base of the second of two independent hashes
+_SHIFTED = C.mix(C.BYTE_VALUES + np.uint64(0x9E6C63D0876A9A35)) | np.uint64(1)
+
+
+def _second(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans by other byte values and another base."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(raw):
+        return out
+    up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(raw), _OTHER)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_SHIFTED[raw] * up[:-1])])
+    down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(raw), np.uint64(pow(int(_OTHER), -1, 2**64)))]))
+    return C.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def _window_hashes(raw: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of windows, in two halves: of the window, and of its bytes as other values."""
+    """128-bit hashes of windows, in two independent halves."""
     h1, h2 = np.empty(len(windows), np.uint64), np.empty(len(windows), np.uint64)
     for i in range(0, len(windows), 4096):
         own = windows[i : i + 4096]
-        text = raw[own[:, None] + np.arange(length)]
-        flat, at = text.ravel(), np.arange(len(own)) * length
+        flat, at = raw[own[:, None] + np.arange(length)].ravel(), np.arange(len(own)) * length
         h1[i : i + 4096] = C.span_hashes(flat, at, at + length)
-        h2[i : i + 4096] = C.span_hashes(C.LOWER[::-1][flat] ^ np.uint8(0x5A), at, at + length)
+        h2[i : i + 4096] = _second(flat, at, at + length)
     return h1, h2

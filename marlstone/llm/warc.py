@@ -128,14 +128,17 @@ class Archive:
         return b"".join(out)
 
     def header(self, at: int) -> tuple[dict[str, str], int] | None:
-        """Fields of the record header at an offset and the offset of its block; None if there is no whole header."""
+        """Fields of the record header at an offset and the offset of its block; None if there is no whole header.
+
+        A header may be of any length: reading goes on as long as its whole lines are fields.
+        """
         n = 1 << 12
         while True:
             data = self.read(at, n)
             end = data.find(b"\r\n\r\n")
             if end >= 0:
                 break
-            if len(data) < n or n >= 1 << 20:
+            if len(data) < n or any(b":" not in line for line in data.split(b"\r\n")[1:-1]):
                 return None
             n *= 4
         if not data.startswith(MAGIC):
