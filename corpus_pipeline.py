@@ -1,12 +1,14 @@
 """Corpus cleaning and packing: five stages, each on all that the one before kept.
 
-1. language: documents without letters, or without a language of at least 0.3 mean probability, go.
-2. near_duplicates: of each group of near copies (five-word shingles, similarity of 0.8 or more) the one of least id stays.
+1. language: documents without letters, or without a language of at least 0.3 mean probability, go.  Where no document has a label to learn
+   from (or there is no column ``lang``), all stay.
+2. near_duplicates: of each group of near copies (five-word shingles, similarity of 0.8 or more) the one of least id stays.  Rows that repeat
+   an id are one document.
 3. repeats: bytes of strings of 100 bytes that start earlier in the corpus go; a document of which nothing is left goes.
 4. benchmark: documents that hold a benchmark item (five-word shingles, weighted similarity of 0.8 or more) go.
 5. packing: sequences of at most 4096 tokens; one row a piece.
 
-Null ids are kept as they are; rows that repeat an id share its fate in stage 2.  All stages but the last return the columns they got.
+Null ids are kept as they are.  All stages but the last return the columns they got; names may be equal but for case.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, shingle=5, num=80, den=100).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    flat, (id_at, text_at) = common.flattened(docs, "doc_id", "text")
+    slim = flat.select(F.col(f"c{id_at}").alias("doc_id"), F.col(f"c{text_at}").alias("text"))
+    gone = minhash.near_duplicates(slim, shingle=5, num=80, den=100).filter("not kept").select(F.col("doc_id").alias(f"c{id_at}")).distinct()
+    return flat.join(gone, f"c{id_at}", "left_anti").select(*flat.columns).toDF(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(docs, length=100, texts=True)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    flat, (text_at, n_at) = common.flattened(out, "text", "n_chars")
+    return flat.withColumn(f"c{n_at}", F.char_length(f"c{text_at}").cast(flat.schema[n_at].dataType)).toDF(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, used = queries.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = common.store(stage(spark, docs, sf_dir), name)
+        docs, path = common.store(stage(spark, docs, sf_dir), name)
+        common.discard(spark, *used)  # the table before is read no more
+        used = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
