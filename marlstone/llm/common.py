@@ -30,7 +30,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once by the vectorised code; a longer word makes its block longer.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -192,18 +192,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     spark, least = docs.sparkSession, num / den
     full, full_path = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
     # classes of equal sets: least ids by salt first, so that a class of any size is spread; a class has as many rows here as it has salts
-    sound = full.filter("n > 0 and doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    salted = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("salt")
+    rows, _ = C.store(full.select("doc_id", "n", "h1", "h2", salted), "rows")
+    sound = rows.filter("n > 0 and doc_id is not null")
     parts = sound.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("rep"))
-    classes = parts.groupBy("h1", "h2").agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts"))
-    classes, classes_path = C.store(classes, "classes")
-    found = sound.select("doc_id", "n", "h1", "h2", "salt").join(classes.select("h1", "h2", "rep", F.explode("salts").alias("salt")), ["h1", "h2", "salt"])
-    rows, _ = C.store(found.select("doc_id", "n", "rep").union(full.filter("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long"))), "rows")
+    classes, _ = C.store(parts.groupBy("h1", "h2").agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
     reps, reps_path = C.store(reps.select(F.col("doc_id").alias("rep"), "n", "sketch"), "reps")
-    C.discard(spark, full_path, classes_path)
+    C.discard(spark, full_path)
     # ids of several classes tie these together
-    several = rows.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
-    ties, ties_path = C.store(several.join(rows, "doc_id").select("a", F.col("rep").alias("b")).filter("a < b").distinct(), "ties")
+    several = sound.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("one"), F.max(F.struct("h1", "h2")).alias("last")).filter("one <> last").select("doc_id")
+    tied = sound.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+    least_of = tied.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    ties, ties_path = C.store(tied.join(least_of, "doc_id").select("a", F.col("rep").alias("b")).filter("a < b").distinct(), "ties")
 
     # values that two representatives retain, by rarity; values of one representative alone use up places
     sample = math.ceil(k * (1 - least)) + math.ceil(5 * math.sqrt(k * least * (1 - least))) + 1
@@ -258,9 +259,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
             labels, labels_path = C.store(graph.components(links.union(more)), "labels")
     C.discard(spark, more_path, reps_path, ties_path)
     C.release(spark)
-    # only rows with a representative look for its component; that of a link is a row of its own, so no key is hot but a large class
-    own = rows.filter("rep is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    named = labels.select(F.col("node").alias("rep"), "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    placed = own.join(named, ["rep", "salt"], "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component"))
-    out = placed.union(rows.filter("rep is null").select("doc_id", "n", F.col("doc_id")))
+    # components are those of classes; rows find their class by its salts, and those without words do not look for any
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"), F.explode("salts").alias("salt"))
+    placed = sound.join(named, ["h1", "h2", "salt"]).select("doc_id", "n", "component")
+    out = placed.union(rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

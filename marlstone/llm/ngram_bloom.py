@@ -174,7 +174,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(0))
             C.trim()
-            for i, j in C.blocks(offs, C.BLOCK // 2):
+            for i, j in C.blocks(offs, C.BLOCK):
                 tokens, before = stream(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 pairs, _ = bigrams(tokens, before)
                 rows = _dealt(*summed(tokens), 0, seg_bits) + _dealt(*summed(pairs), 1, seg_bits)
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
             ids, null = C.long_column(batch.column(0))
-            for i, j in C.blocks(offs, C.BLOCK // 2):
+            for i, j in C.blocks(offs, C.BLOCK):
                 text = pa.compress(pa.py_buffer(np.ascontiguousarray(raw[offs[i] : offs[j]])), "zstd")
                 cols = [ids[i:j], null[i:j], np.diff(offs[i : j + 1]), np.frombuffer(text, np.uint8)]
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(C.packed([c]) for c in cols)], ["block", "ids", "nulls", "sizes", "text"])
