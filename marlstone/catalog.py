@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_more
 from .functions import arrangements, experience, html, keys, location, primitives, reconcile, salary, skills, taxonomy, titles, urls
 from .operators import evaluate, integrity, ranking, resolve, telemetry
 from .plans import planner
@@ -87,10 +88,11 @@ def doc_exact_hash(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("hash"))
 
 
-@query()
+@query("""SELECT event_id, sha256('{"k":' || (props->>'k') || '}') AS hash, NULL::VARCHAR AS error FROM events""")
 def json_hash(spark, d):
     """Canonical JSON hashes of event properties."""
-    return load(spark, d, "events").select("event_id", keys.canonical_json_hash(c("props")).alias("hash"))
+    h = keys.canonical_json_hash(c("props"))
+    return load(spark, d, "events").select("event_id", h["hash"].alias("hash"), h["error"].alias("error"))
 
 
 # ---- text
@@ -167,6 +169,17 @@ def _pick(column, values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (column % len(values) + 1).cast("int"))
 
 
+def _apart(text, column):
+    """A text with words of its own for each row, which change no answer: letters for digits."""
+    word = F.translate(column.cast("string"), "0123456789", "bcdfghjklm")
+    return F.when(text == "", text).otherwise(F.concat(text, F.lit(" (zq"), word, F.lit(")")))
+
+
+def _sentence_apart(text, column):
+    word = F.translate(column.cast("string"), "0123456789", "bcdfghjklm")
+    return F.concat(text, F.when(text.rlike("[.!?]$"), " ").otherwise(". "), F.lit("Zq"), word, F.lit(" and nothing else."))
+
+
 def _sql_pick(column: str, values) -> str:
     lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values)) + " END"
@@ -174,7 +187,7 @@ def _sql_pick(column: str, values) -> str:
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', [t[1] for t in _TITLES])} AS canonical_title, {_sql_pick('p_partkey', [t[2] for t in _TITLES])} AS role_family, {_sql_pick('p_partkey', [t[3] for t in _TITLES])} AS outcome FROM part")
 def title_classify(spark, d):
-    r = load(spark, d, "part").select("p_partkey", titles.classify_title(_pick(c("p_partkey"), [t[0] for t in _TITLES])).alias("r"))
+    r = load(spark, d, "part").select("p_partkey", titles.classify_title(_apart(_pick(c("p_partkey"), [t[0] for t in _TITLES]), c("p_partkey"))).alias("r"))
     return r.select("p_partkey", c("r.canonical_title.value").alias("canonical_title"), c("r.role_family.value").alias("role_family"), c("r.outcome").alias("outcome"))
 
 
@@ -191,7 +204,7 @@ def _classified(name: str):
     def run(spark, d):
         o = load(spark, d, "orders")
         k = c("o_orderkey")
-        r = o.select("o_orderkey", fn(_pick(k, [x[0] for x in cases]), _pick(k, [x[1] for x in cases])).alias("r"))
+        r = o.select("o_orderkey", fn(_apart(_pick(k, [x[0] for x in cases]), k), _sentence_apart(_pick(k, [x[1] for x in cases]), k)).alias("r"))
         return r.select("o_orderkey", c("r.value").alias("value"), c("r.provenance").alias("provenance"))
 
     run.__name__ = name
@@ -208,7 +221,7 @@ def experience_classify(spark, d):
     k, n = c("o_orderkey") % 5, (c("o_custkey") % 20).cast("string")
     title = F.when(k == 0, F.concat(F.lit("Engineer ("), n, F.lit("+ years)")))
     text = F.when(k == 1, F.concat(F.lit("This role requires "), n, F.lit(" to "), (c("o_custkey") % 20 + 2).cast("string"), F.lit(" years of experience."))).when(k == 2, F.concat(F.lit("We need candidates with up to "), n, F.lit(" yrs experience!"))).when(k == 3, "No prior experience required.").when(k == 4, F.concat(F.lit("Less than "), n, F.lit(" years of experience")))
-    r = load(spark, d, "orders").select("o_orderkey", experience.classify_experience(title, text).alias("r"))
+    r = load(spark, d, "orders").select("o_orderkey", experience.classify_experience(_apart(title, c("o_orderkey")), _sentence_apart(text, c("o_orderkey"))).alias("r"))
     return r.select("o_orderkey", c("r.minimum.value").alias("low"), c("r.maximum.value").alias("high"), c("r.minimum.provenance").alias("provenance"))
 
 
@@ -218,7 +231,7 @@ _SKILL_IDS = [["docker", "golang", "kubernetes", "python"], ["java"], ["cpp", "c
 
 def _skills(spark, d):
     p = load(spark, d, "part")
-    found = skills.classify_skills(_pick(c("p_partkey"), [t for t, _ in _SKILL_TEXT]), _pick(c("p_partkey"), [t for _, t in _SKILL_TEXT]))
+    found = skills.classify_skills(_apart(_pick(c("p_partkey"), [t for t, _ in _SKILL_TEXT]), c("p_partkey")), _sentence_apart(_pick(c("p_partkey"), [t for _, t in _SKILL_TEXT]), c("p_partkey")))
     return p.select("p_partkey", "p_size", F.explode(found).alias("s")).select("p_partkey", "p_size", c("s.canonical_id").alias("skill"), c("s.provenance").alias("provenance"))
 
 
@@ -286,6 +299,29 @@ o AS (SELECT k.seq, k.at, CASE WHEN k.key IS NULL THEN 'PARSE_ERROR' WHEN r.rn >
     WHEN r.url IS NOT NULL THEN CASE WHEN f.un = 1 THEN 'INSERTED' ELSE 'ATTACHED' END WHEN o3.outcome IS NOT NULL THEN o3.outcome ELSE 'INSERTED' END AS outcome FROM k LEFT JOIN r USING (seq) LEFT JOIN f USING (seq) LEFT JOIN o3 USING (seq)) """
 
 
+_JOBS = _BASE + """, j3 AS (SELECT t3.seq, CASE WHEN n0 = 0 THEN t3.opener ELSE (SELECT arg_min(job, seq) FROM j2 WHERE j2.tenant = t3.tenant AND j2.req = t3.req) END AS job FROM t3 JOIN d USING (seq)),
+made AS (SELECT r.key, r.seq, CASE WHEN o.outcome <> 'ATTACHED' THEN r.seq WHEN r.url IS NOT NULL THEN (SELECT min(f.seq) FROM f WHERE f.url = r.url) ELSE j3.job END AS job FROM r JOIN o USING (seq) LEFT JOIN j3 USING (seq) WHERE r.rn = 1) """
+
+
+@query(_JOBS + "SELECT r.seq, made.job AS job_seq FROM r JOIN made USING (key)")
+def resolve_jobs(spark, d):
+    """The posting that opened the job of each posting."""
+    p = _postings(spark, d)
+    names = p.select(c("seq").alias("job_seq"), keys.derived_id(F.lit("run"), c("seq"), F.lit("job")).alias("job_id"))
+    return _resolved(spark, d).select("seq", "job_id").join(names, "job_id").select("seq", "job_seq")
+
+
+@query(_BASE + "SELECT seq, outcome FROM o")
+def resolve_two_batches(spark, d):
+    """The second half against the stored occurrences of the first: the outcomes are those of one batch."""
+    p = _postings(spark, d)
+    half = p.agg(F.max("seq")).first()[0] // 2
+    none = spark.createDataFrame([], resolve.OCCURRENCE)
+    first = cut(resolve.resolve(p.filter(c("seq") <= half), none, "one"))
+    stored = cut(resolve.next_occurrences(first, none))
+    return first.select("seq", "outcome").union(resolve.resolve(p.filter(c("seq") > half), stored, "two").select("seq", "outcome"))
+
+
 @query(_BASE + "SELECT seq, outcome FROM o")
 def resolve_outcomes(spark, d):
     return _resolved(spark, d).select("seq", "outcome")
@@ -296,9 +332,12 @@ def outcome_counters(spark, d):
     return telemetry.counters(_resolved(spark, d))
 
 
-@query(_BASE + "SELECT seq, CASE outcome WHEN 'QUARANTINED' THEN 'evidence_mismatch' ELSE 'ambiguous_match' END AS conflict_type FROM o WHERE outcome IN ('QUARANTINED', 'AMBIGUOUS')")
+@query(_BASE + """SELECT o.seq, CASE outcome WHEN 'QUARANTINED' THEN 'evidence_mismatch' ELSE 'ambiguous_match' END AS conflict_type, CASE outcome WHEN 'QUARANTINED' THEN '{"stored":"' || r.first_url || '","incoming":"' || r.url || '"}' END AS urls, CASE outcome WHEN 'AMBIGUOUS' THEN n2 + CASE WHEN n0 = 0 THEN 1 ELSE 0 END END AS candidates
+    FROM o JOIN r USING (seq) LEFT JOIN d USING (seq) WHERE outcome IN ('QUARANTINED', 'AMBIGUOUS')""")
 def conflict_rows(spark, d):
-    return resolve.conflicts(_resolved(spark, d)).select("seq", "conflict_type")
+    r = resolve.conflicts(_resolved(spark, d))
+    listed = F.size(F.from_json("evidence", "array<string>")).cast("long")
+    return r.select("seq", "conflict_type", F.when(c("conflict_type") == "evidence_mismatch", c("evidence")).alias("urls"), F.when(c("conflict_type") == "ambiguous_match", listed).alias("candidates"))
 
 
 @query(_BASE + "SELECT CASE WHEN outcome = 'PARSE_ERROR' THEN 'parse_error' WHEN outcome IN ('QUARANTINED', 'AMBIGUOUS') THEN 'identity_conflict' ELSE 'normalized' END AS status, count(*) AS postings FROM o GROUP BY 1")
@@ -323,9 +362,10 @@ def _attempts(spark, d):
     return load(spark, d, "events").select("event_id", "user_id", "event_type", "ts", telemetry.attempt_status(k % 7 != 0, k % 5 == 0).alias("status"), (k % 11).alias("discovered"), (k % 3).alias("inserted"), (k % 2).alias("updated"))
 
 
-@query("SELECT user_id, CASE WHEN bool_and(event_id % 7 = 0) THEN 'failed' WHEN bool_or(event_id % 7 = 0 OR event_id % 5 = 0) THEN 'completed_with_errors' ELSE 'completed' END AS run_status FROM events GROUP BY 1")
+@query("SELECT user_id, CASE WHEN bool_or(event_id % 97 = 5) THEN 'failed' WHEN bool_or(event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 11 = 3) THEN 'completed_with_errors' ELSE 'completed' END AS run_status FROM events GROUP BY 1")
 def run_status(spark, d):
-    return telemetry.run_status(_attempts(spark, d), "user_id")
+    k = c("event_id")
+    return telemetry.run_status(_attempts(spark, d).withColumns({"aborted": k % 97 == 5, "had_conflict": k % 11 == 3, "had_parse_error": F.lit(False)}), "user_id")
 
 
 @query("SELECT user_id, coalesce(sum(event_id % 11), 0)::BIGINT AS discovered, coalesce(sum(event_id % 3), 0)::BIGINT AS inserted, coalesce(sum(event_id % 2), 0)::BIGINT AS updated FROM events GROUP BY 1")
@@ -391,9 +431,29 @@ def _facts(spark, d):
 _FACTS = "SELECT doc_id, doc_id % 4 AS o, lang AS component, quality::VARCHAR AS e, CASE WHEN n_chars > 1000 THEN '1' WHEN n_chars > 200 THEN '0' END AS v, toxic, source FROM labels JOIN documents USING (doc_id)"
 
 
-@query(f"SELECT component, slice, count(*) FILTER (o = 0 AND v = e) AS correct_hits, count(*) FILTER (o = 0) AS correct_total, count(*) FILTER (o = 0 AND v IS NULL) AS abstained_hits, count(*) FILTER (o = 0 AND v <> e) AS wrong_hits, count(*) FILTER (o = 0 AND v = e AND toxic = 1) AS provenance_hits, count(*) FILTER (o = 1 AND v IS NOT NULL) AS absent_false_positive_hits FROM (SELECT *, unnest(['combined', CASE WHEN source = 'src9' THEN 'holdout' ELSE 'dev' END, 'employer:' || source]) AS slice FROM ({_FACTS})) GROUP BY 1, 2")
+#: Counters as conditions of hits and totals over the facts.
+_COUNTED = {
+    "correct": ("o = 0 AND v = e", "o = 0"),
+    "abstained": ("o = 0 AND v IS NULL", "o = 0"),
+    "wrong": ("o = 0 AND v <> e", "o = 0"),
+    "provenance": ("o = 0 AND v = e AND toxic = 1", "o = 0 AND v = e"),
+    "absent_false_positive": ("o = 1 AND v IS NOT NULL", "o = 1"),
+    "unsupported_abstained": ("o = 2 AND v IS NULL", "o = 2"),
+    "unsupported_false_positive": ("o = 2 AND v IS NOT NULL", "o = 2"),
+    "ambiguous_false_positive": ("o = 3 AND v IS NOT NULL", "o = 3"),
+    "ambiguous_abstained": ("o = 3 AND v IS NULL", "o = 3"),
+}
+_CELLS = ", ".join(f"count(*) FILTER ({h}) AS {n}_hits, count(*) FILTER ({t}) AS {n}_total" for n, (h, t) in _COUNTED.items())
+
+
+@query(f"SELECT component, slice, {_CELLS} FROM (SELECT *, unnest(['combined', CASE WHEN source = 'src9' THEN 'holdout' ELSE 'dev' END, 'employer:' || source]) AS slice FROM ({_FACTS})) GROUP BY 1, 2")
 def eval_metrics(spark, d):
-    return evaluate.score(_facts(spark, d)).select("component", "slice", "correct_hits", "correct_total", "abstained_hits", "wrong_hits", "provenance_hits", "absent_false_positive_hits")
+    return evaluate.score(_facts(spark, d)).drop("parser")
+
+
+@query(f"SELECT slice || ' quality.' || component || ' ' || concat_ws(' ', {', '.join(f"'{n}=' || CASE WHEN {n}_total = 0 THEN 'N/A' ELSE {n}_hits || '/' || {n}_total END" for n in _COUNTED)}) AS line FROM (SELECT component, slice, {_CELLS} FROM (SELECT *, unnest(['combined', CASE WHEN source = 'src9' THEN 'holdout' ELSE 'dev' END, 'employer:' || source]) AS slice FROM ({_FACTS})) GROUP BY 1, 2)")
+def eval_report(spark, d):
+    return evaluate.report_lines(evaluate.score(_facts(spark, d)))
 
 
 @query(f"SELECT component, count(*) FILTER (o = 0) AS present_supported, count(*) FILTER (o = 1) AS absent, count(*) FILTER (o = 2) AS present_unsupported_form, count(*) FILTER (o = 3) AS ambiguous FROM ({_FACTS}) GROUP BY 1")
@@ -418,9 +478,10 @@ def holdout_split(spark, d):
     return evaluate.holdout(load(spark, d, "documents"), "source").select("doc_id", "split")
 
 
-@query("SELECT source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT lang AS source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM documents WHERE doc_id % 2 = 1")
 def split_overlap(spark, d):
-    return evaluate.split_overlap(load(spark, d, "documents").withColumn("split", F.when(c("doc_id") % 2 == 0, "dev").otherwise("holdout")), "source")
+    docs = load(spark, d, "documents").select("doc_id", c("lang").alias("source"))
+    return evaluate.split_overlap(docs.withColumn("split", F.when(c("doc_id") % 2 == 0, "dev").otherwise("holdout")), "source")
 
 
 @query("SELECT doc_id::VARCHAR AS record_id, (quality = toxic) AS agreed FROM labels")
@@ -471,7 +532,7 @@ def pushdown_residual(spark, d):
     return r.select("search_id", "source", join("pushed").alias("pushed"), join("residual").alias("residual"))
 
 
-@query("SELECT user_id AS key, arg_max(s, event_id) AS status, min(event_id) FILTER (event_id > coalesce(reset, -1)) AS applied_at FROM (SELECT *, max(CASE WHEN s IN ('interested', 'not_interested') THEN event_id END) OVER (PARTITION BY user_id) AS reset FROM (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'interested' WHEN 1 THEN 'applied' WHEN 2 THEN 'screening' ELSE 'offer' END AS s FROM events)) GROUP BY 1")
+@query("SELECT user_id AS key, arg_max(s, event_id) AS status, min(event_id) FILTER (event_id > coalesce(reset, -1)) AS applied_at, max(event_id) FILTER (s IS DISTINCT FROM before) AS status_changed_at FROM (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS before, max(CASE WHEN s IN ('interested', 'not_interested') THEN event_id END) OVER (PARTITION BY user_id) AS reset FROM (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'interested' WHEN 1 THEN 'applied' WHEN 2 THEN 'screening' ELSE 'offer' END AS s FROM events)) GROUP BY 1")
 def status_machine(spark, d):
     e = load(spark, d, "events").select(c("user_id").alias("key"), c("event_id").alias("at"), c("event_id").alias("idx"), _pick(c("event_id"), ["interested", "applied", "screening", "offer"]).alias("status"))
     return ingest.statuses(e)
@@ -509,4 +570,6 @@ def windowed_counts(spark, d):
     return ingest.windowed_counts(load(spark, d, "events")).select("start", "event_type", "n")
 
 
+QUERIES |= catalog_more.QUERIES
+SQL |= catalog_more.SQL
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

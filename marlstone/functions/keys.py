@@ -80,9 +80,19 @@ def json_hash_of(text: str) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False).encode()).hexdigest()
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json_hash(s: pd.Series) -> pd.Series:
-    return s.map(json_hash_of, na_action="ignore")
+@F.pandas_udf(T.StructType([T.StructField("hash", T.StringType()), T.StructField("error", T.StringType())]))
+def canonical_json_hash(s: pd.Series) -> pd.DataFrame:
+    """struct(hash, error): a text that is no JSON has an error and no hash; null has neither."""
+
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        if text is None:
+            return None, None
+        try:
+            return json_hash_of(text), None
+        except (ValueError, RecursionError):
+            return None, "not JSON"
+
+    return pd.DataFrame([one(x) for x in s.astype(object).where(s.notna(), None)], columns=["hash", "error"])
 
 
 def manifest_hash(files) -> Column:

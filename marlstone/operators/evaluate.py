@@ -69,6 +69,53 @@ def final_labels(agreed: DataFrame, adjudicated: DataFrame) -> DataFrame:
     return agreed.join(adjudicated.withColumnRenamed("value", "ruled"), ["record_id", "label_path"], "left").select("record_id", "label_path", F.when(F.col("agreed"), F.col("a")).otherwise(F.col("ruled")).alias("value"), (~F.col("agreed") & F.col("ruled").isNull()).alias("missing"))
 
 
+def packet_hash(rows: DataFrame, *columns: str) -> str:
+    """SHA-256 over the rows of a label packet, in order: what its annotation passes are bound to."""
+    line = F.to_json(F.struct(*columns))
+    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)).first()[0]  # a packet is a few records
+
+
+def label_checks() -> dict[str, Column]:
+    """What holds for each row of an annotation pass: closed domains, a value if and only if it is supported."""
+    o = F.col("outcome")
+    return {
+        "outcome": o.isNotNull() & o.isin(*OUTCOMES),
+        "value": (o == "present_supported") == F.col("value").isNotNull(),
+        "record_id": F.col("record_id").isNotNull() & (F.btrim("record_id") != ""),
+        "label_path": F.col("label_path").isNotNull() & F.col("label_path").rlike(r"\A[a-z_]+(\.[a-z_]+)*\z"),
+    }
+
+
+def build_corpus(packet: DataFrame, first: DataFrame, second: DataFrame, adjudicated: DataFrame, *, bound_to: str) -> DataFrame:
+    """record_id, label_path, outcome, value, employer, split: the labels on which two passes agree, else those of the adjudication.
+
+    packet: record_id, employer, text.  Passes: record_id, label_path, outcome, value.  Errors: a packet that is not the one that the passes
+    are bound to, labels that break a check, passes over different labels, labels without agreement or ruling, rulings that settle
+    nothing, one employer alone.
+    """
+    from . import integrity
+
+    if packet_hash(packet, "record_id", "employer", "text") != bound_to:
+        raise ValueError("the passes are bound to another packet")
+    for name, rows in (("first", first), ("second", second), ("adjudicated", adjudicated)):
+        broken = integrity.rejects(rows, label_checks()).limit(1).collect()
+        if broken:
+            raise ValueError(f"{name}: {broken[0].record_id} breaks {', '.join(broken[0].broken)}")
+        if not integrity.duplicates(rows, [F.col("record_id"), F.col("label_path")]).isEmpty():
+            raise ValueError(f"{name}: a label is given twice")
+    said = F.to_json(F.struct("outcome", "value"))
+    both = agreement(first.withColumn("said", said), second.withColumn("said", said), "said")
+    final = final_labels(both, adjudicated.select("record_id", "label_path", said.alias("value")))
+    if not final.filter("missing").isEmpty():
+        raise ValueError("a label is neither agreed on nor ruled")
+    if not missing(adjudicated, both.filter("not agreed"), "record_id", "label_path").isEmpty():
+        raise ValueError("a ruling where there is no disagreement")
+    if not missing(final, packet, "record_id").isEmpty():
+        raise ValueError("a label of no record of the packet")
+    value = F.from_json("value", "outcome string, value string")
+    return holdout(final.select("record_id", "label_path", value["outcome"].alias("outcome"), value["value"].alias("value")).join(packet.select("record_id", "employer"), "record_id"))
+
+
 def missing(expected: DataFrame, recorded: DataFrame, *key: str) -> DataFrame:
     return expected.select(*key).distinct().join(recorded, list(key), "left_anti")
 
@@ -88,7 +135,12 @@ def holdout(rows: DataFrame, employer: str = "employer") -> DataFrame:
 
 
 def split_overlap(rows: DataFrame, employer: str = "employer") -> DataFrame:
-    """Employers on both sides: must be empty."""
+    """Employers on both sides, and a row of null if a side has none: must be empty."""
+    sides = rows.agg(F.count_distinct("split").alias("n")).filter("n < 2").select(F.lit(None).cast(rows.schema[employer].dataType).alias(employer))
+    return sides.union(_on_both_sides(rows, employer))
+
+
+def _on_both_sides(rows: DataFrame, employer: str) -> DataFrame:
     return rows.filter("split = 'dev'").select(employer).intersect(rows.filter("split = 'holdout'").select(employer))
 
 

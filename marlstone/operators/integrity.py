@@ -76,20 +76,50 @@ def has_duplicates(a: Column) -> Column:
 
 
 def associated(raw: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings whose raw row is missing or says something else: must be empty."""
+    """Postings whose raw row is missing, says something else, is dealt with already or belongs to an occurrence: must be empty.
+
+    raw has raw_id, provider, source, content_hash, fetched_at, key_id, status and occurrence_id.
+    """
     cols = ["provider", "source", "content_hash", "fetched_at", "key_id"]
-    other = raw.select("raw_id", *[F.col(c).alias(f"raw_{c}") for c in cols])
-    differs = F.lit(False)
+    other = raw.select("raw_id", "status", "occurrence_id", *[F.col(c).alias(f"raw_{c}") for c in cols])
+    differs = ~F.col("status").eqNullSafe(F.lit("fetched")) | F.col("occurrence_id").isNotNull()
     for c in cols:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"raw_{c}"))
     return postings.join(other, "raw_id", "left").filter(differs).select(*postings.columns)
 
 
-def patched(rows: DataFrame, patches: DataFrame, key: str, allowed: list[str]) -> DataFrame:
-    """rows with the non-null fields of patches; a field that may not change is an error."""
-    odd = sorted(set(patches.columns) - {key} - set(allowed))
-    if odd:
+def owned(rows: DataFrame, owner: str, user, key: str | None = None, value=None) -> DataFrame:
+    """The rows of a user; with key, the one of that key."""
+    out = rows.filter(F.col(owner) == F.lit(user))
+    return out if key is None else out.filter(F.col(key) == F.lit(value))
+
+
+def allowed_only(x: Column, names: list[str]) -> Column:
+    """A JSON object (text) with the named fields alone, in order of name; null if it is no object."""
+    fields = F.from_json(x, "map<string,variant>")
+    kept = F.map_filter(fields, lambda k, _: k.isin(*names))
+    parts = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(F.to_json(F.array(k)), F.lit(":"), F.to_json(F.element_at(kept, k))))
+    pairs = F.transform(parts, lambda p: F.regexp_replace(p, r'^\[("(?:[^"\\]|\\.)*")\]:', "$1:"))
+    return F.when(F.startswith(F.ltrim(x), F.lit("{")) & fields.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+
+
+def patched(rows: DataFrame, patches: DataFrame, key: str, allowed: list[str], domains: dict[str, list[str]] | None = None) -> DataFrame:
+    """rows with the fields of patches; a field that may not change, or a value outside its domain, is an error.
+
+    A null in patches leaves the field as it is; fields named in the array column ``cleared`` of patches become null.
+    """
+    fields = [c for c in patches.columns if c not in (key, "cleared")]
+    if odd := sorted(set(fields) - set(allowed)):
         raise ValueError(f"fields that cannot be changed: {odd}")
-    p = patches.select(key, *[F.col(c).alias(f"_{c}") for c in patches.columns if c != key])
-    out = rows.join(p, key, "left")
-    return out.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if f"_{c}" in out.columns else F.col(c) for c in rows.columns])
+    value = {c: F.col(c) for c in fields}
+    for c, values in (domains or {}).items():
+        if c in value:
+            wrong = F.raise_error(F.concat(F.lit(f"{c} cannot be "), F.col(c).cast("string"))).cast(patches.schema[c].dataType)
+            value[c] = F.when(F.col(c).isNull() | F.col(c).isin(*values), F.col(c)).otherwise(wrong)
+    cleared = F.col("cleared") if "cleared" in patches.columns else F.array().cast("array<string>")
+    bad = F.array_except(cleared, F.array(*[F.lit(a) for a in allowed]))
+    sound = F.when(F.size(bad) > 0, F.raise_error(F.lit("a field that cannot be changed is cleared")).cast("array<string>")).otherwise(cleared)
+    p = patches.select(key, sound.alias("_cleared"), *[v.alias(f"_{c}") for c, v in value.items()])
+    gone = lambda c: F.coalesce(F.array_contains("_cleared", c), F.lit(False))
+    new = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)) if c in value else F.col(c)
+    return rows.join(p, key, "left").select(*[F.when(~gone(c), new(c)).alias(c) if c in allowed else F.col(c) for c in rows.columns])

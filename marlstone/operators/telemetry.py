@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ABORT_CATEGORY, ABORT_MESSAGE = "internal", "run aborted"
+# What an attempt that a broken-off run leaves behind says.
+ABORT_CATEGORY = "unknown"
+ABORT_MESSAGE = "this provider's execution was aborted before completing"
 
 
 def jobs_per_source(jobs: DataFrame) -> DataFrame:
@@ -43,9 +45,16 @@ def possibly_incomplete(stats: DataFrame, *by: str) -> DataFrame:
 
 
 def run_status(attempts: DataFrame, *by: str) -> DataFrame:
-    """failed before completed_with_errors before completed."""
-    s = F.col("status")
-    return attempts.groupBy(*by).agg(F.when(F.bool_and(s == "failed"), "failed").when(F.bool_or(s != "completed"), "completed_with_errors").otherwise("completed").alias("run_status"))
+    """failed for runs that broke off, and for these alone; completed_with_errors if an attempt did not complete, or there were errors of
+    postings or providers, conflicts or failures of planning; else completed.
+
+    attempts: status and aborted; had_parse_error, had_conflict, had_error and planning_failed where there are such columns.
+    """
+    trouble = F.col("status") != "completed"
+    for name in ("had_parse_error", "had_conflict", "had_error", "planning_failed"):
+        if name in attempts.columns:
+            trouble = trouble | F.coalesce(F.col(name), F.lit(False))
+    return attempts.groupBy(*by).agg(F.when(F.bool_or("aborted"), "failed").when(F.bool_or(F.coalesce(trouble, F.lit(True))), "completed_with_errors").otherwise("completed").alias("run_status"))
 
 
 def rollup(attempts: DataFrame, *by: str, columns=("discovered", "inserted", "updated")) -> DataFrame:
@@ -75,19 +84,32 @@ def enforcement_map(plans: DataFrame, *by: str) -> DataFrame:
     return one.groupBy(*by).agg(F.map_from_arrays(F.transform(F.sort_array(F.collect_list(F.struct("provider", F.to_json("sources").alias("s")))), lambda x: x["provider"]), F.transform(F.sort_array(F.collect_list(F.struct("provider", F.to_json("sources").alias("s")))), lambda x: x["s"])).alias("enforcement"))
 
 
-def contract_violations(stats: DataFrame, jobs: DataFrame, requested: list[str]) -> DataFrame:
-    """(source, violation) of a discovery result: sources declared twice, not asked for or missing, incomplete ones with jobs, and declared
-    counts that differ from the jobs."""
+def contract_violations(stats: DataFrame, jobs: DataFrame, requested: list[str], errors: DataFrame | None = None) -> DataFrame:
+    """(source, violation) of a discovery result: sources declared twice, not asked for or missing, jobs or errors of sources that are not
+    declared, jobs or incomplete results of sources that did not complete, and declared counts that differ from the jobs.
+
+    stats: source, completed, declared, and incomplete where there is such a column.
+    """
     counted = jobs_per_source(jobs)
     asked = stats.sparkSession.createDataFrame([(s,) for s in requested], "source string")
-    twice = stats.groupBy("source").count().filter("count > 1").select("source", F.lit("duplicate_source").alias("violation"))
-    extra = stats.join(asked, "source", "left_anti").select("source", F.lit("source_not_requested").alias("violation"))
-    missing = asked.join(stats, "source", "left_anti").select("source", F.lit("source_missing").alias("violation"))
-    stray = counted.join(stats, "source", "left_anti").select("source", F.lit("jobs_of_unknown_source").alias("violation"))
+    say = lambda df, what: df.select("source", F.lit(what).alias("violation"))
     both = stats.join(counted, "source", "left").withColumn("n", F.coalesce("jobs", F.lit(0)))
-    differ = both.filter(F.col("n") != F.col("declared")).select("source", F.lit("count_differs").alias("violation"))
-    early = both.filter(~F.col("completed") & (F.col("declared") > 0)).select("source", F.lit("jobs_though_not_completed").alias("violation"))
-    return twice.union(extra).union(missing).union(stray).union(differ).union(early).distinct()
+    parts = [
+        say(stats.groupBy("source").count().filter("count > 1"), "duplicate_source"),
+        say(stats.join(asked, "source", "left_anti"), "source_not_requested"),
+        say(asked.join(stats, "source", "left_anti"), "source_missing"),
+        say(counted.join(stats, "source", "left_anti"), "jobs_of_unknown_source"),
+        say(both.filter(F.col("n") != F.col("declared")), "count_differs"),
+        say(both.filter(~F.col("completed") & ((F.col("declared") > 0) | (F.col("n") > 0))), "jobs_though_not_completed"),
+    ]
+    if "incomplete" in stats.columns:
+        parts.append(say(stats.filter(~F.col("completed") & F.col("incomplete")), "incomplete_though_not_completed"))
+    if errors is not None:
+        parts.append(say(errors.select("source").join(stats, "source", "left_anti"), "error_of_unknown_source"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
 
 
 def attempt_trend(attempts: DataFrame, *by: str, value: str = "discovered", order: str = "started_at", last: int = 3) -> DataFrame:

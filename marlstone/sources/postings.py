@@ -12,14 +12,15 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from ..functions.html import html_to_text, redact_contacts
 from ..functions.keys import derived_id
-from ..functions.primitives import aware_timestamp, is_https_url, is_meaningful, nullable_text
+from ..functions.primitives import aware_timestamp, is_https_url, is_meaningful, is_usable_id
 from ..functions.urls import normalize_url
+from ..operators import ranking
 
 POSTING = "provider string, source string, source_tenant_id string, source_job_id string, requisition_id_raw string, title string, company string, location string, source_url string, apply_url string, canonical_url string, description string, compensation_text string, posted_at string, discovered_at string, raw string"
 _COLUMNS = [c.split()[0] for c in POSTING.split(", ")]
@@ -138,7 +139,7 @@ def board_postings(boards: DataFrame, provider: str, fetched_at) -> DataFrame:
         get("$.content").alias("content"),
         aware_timestamp(published).alias("posted_at"),
         F.lit(fetched_at).cast("timestamp").alias("discovered_at"),
-        F.coalesce("error", F.when(nullable_text(get("$.id")).isNull(), "unusable id").when(~is_https_url(url), "no https URL").when(published.isNotNull() & aware_timestamp(published).isNull(), "date without offset")).alias("error"),
+        F.coalesce("error", F.when(~F.coalesce(is_usable_id(F.try_variant_get(v, "$.id", "variant")), F.lit(False)), "unusable id").when(~is_https_url(url), "no https URL").when(published.isNotNull() & aware_timestamp(published).isNull(), "date without offset")).alias("error"),
     )
     return out
 
@@ -150,9 +151,41 @@ def sanitized(postings: DataFrame) -> DataFrame:
     return out.filter(is_meaningful(F.col("title")) & is_meaningful(F.col("description")))
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON corpus with a closed schema; anything else in it is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", "true").json(path)
+def read_corpus(spark: SparkSession, path: str, schema: str, id_col: str | None = None) -> DataFrame:
+    """A JSON corpus (one array of objects a file) with a closed schema: other fields, fields given twice, values of another type and,
+    with id_col, ids that are missing or repeated are errors."""
+    text = spark.read.text(path, wholetext=True)
+    items = text.select(F.explode(F.parse_json("value").cast("array<variant>")).alias("v"))  # a name given twice in an object is an error of the parser
+    kind = spark.createDataFrame([], schema).schema
+    given = F.map_keys(F.col("v").cast("map<string,variant>"))
+    extra = F.array_except(given, F.array(*[F.lit(f.name) for f in kind.fields]))
+    checked = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))).cast("variant")).otherwise(F.col("v"))
+    out = items.select(checked.alias("v")).select(*[F.variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in kind.fields])
+    if id_col is None:
+        return out
+    n = F.count("*").over(Window.partitionBy(id_col))
+    wrong = F.col(id_col).isNull() | (n > 1)
+    return out.withColumn(id_col, F.when(wrong, F.raise_error(F.concat(F.lit("missing or repeated id: "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast(kind[id_col].dataType)).otherwise(F.col(id_col)))
+
+
+def acquired(candidates: DataFrame, *, per_board: int = 10, least_boards: int = 2) -> DataFrame:
+    """Of each board (board, source_job_id, title, description) the first usable postings, ids as text and each once; an error if fewer
+    boards than ``least_boards`` have any."""
+    usable = candidates.filter(is_meaningful(F.col("title")) & is_meaningful(F.col("description")))
+    once = usable.groupBy("board", F.col("source_job_id").cast("string").alias("source_job_id")).agg(F.min(F.struct("title", "description")).alias("r"))
+    taken = ranking.top_k(once, "board", [F.col("source_job_id")], per_board).select("board", "source_job_id", "r.title", "r.description")
+    boards = taken.agg(F.count_distinct("board").alias("n"))
+    enough = boards.select(F.when(F.col("n") < least_boards, F.raise_error(F.lit("too few boards have usable postings")).cast("boolean")).otherwise(F.lit(True)).alias("enough"))
+    return taken.join(F.broadcast(enough)).filter("enough").drop("enough")  # one row, by construction
+
+
+def replay(postings: DataFrame, fields: dict[str, object]) -> DataFrame:
+    """A source of one captured posting: it filters by nothing, so a query with any field is an error, as is any other number of postings."""
+    if used := sorted(k for k, v in fields.items() if v):
+        raise ValueError(f"a replay cannot filter by {', '.join(used)}")
+    if postings.limit(2).count() != 1:
+        raise ValueError("a replay has one posting")
+    return postings
 
 
 def land_raw(postings: DataFrame, path: str, run_id: str, fetched_at) -> DataFrame:

@@ -1,21 +1,31 @@
-"""Stage boundaries: results kept in the folder that spark.checkpoint.dir names, readable by all executors."""
+"""Stage boundaries: results kept as tables in the folder that spark.checkpoint.dir names, readable by all executors."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, worked out once.  Where no checkpoint folder is set (tests), a temporary one is."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="marlstone-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder name.  Where no shared folder is set (tests on one machine), it is a temporary one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(sc, "_marlstone_stages", None)
+        if root is None:
+            root = sc._marlstone_stages = tempfile.mkdtemp(prefix="marlstone-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/stages/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """df, worked out once: written as Parquet and read back, with its statistics and for as few columns as are asked for."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

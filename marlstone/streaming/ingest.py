@@ -40,34 +40,40 @@ def snapshot(spark: SparkSession, table: str, number: int) -> DataFrame:
     return spark.read.parquet(f"{table}/occurrences/v{number}")
 
 
-def applied_at_after(status: Column, new: Column, applied_at: Column, at: Column) -> Column:
-    """applied_at after a status change: unchanged by the same status, set on the way past ``applied``, cleared on the way back."""
-    return F.when(status == new, applied_at).when(new.isin(*BEFORE), F.lit(None).cast("timestamp")).otherwise(F.coalesce(applied_at, at))
+def _known(events: DataFrame) -> DataFrame:
+    """Events of a known status; another one is an error."""
+    odd = F.raise_error(F.concat(F.lit("not a status: "), F.coalesce("status", F.lit("null")))).cast("string")
+    return events.withColumn("status", F.when(F.col("status").isin(*BEFORE, *AFTER), F.col("status")).otherwise(odd))
 
 
 def statuses(events: DataFrame) -> DataFrame:
     """The last state of each key in a batch of (key, at, idx, status), in closed form: applied_at is the time of the first event after
-    the last one with a status of BEFORE."""
+    the last one with a status of BEFORE, status_changed_at that of the first event after the last one with another status."""
+    events = _known(events)
     last = events.groupBy("key").agg(F.max_by("status", F.struct("at", "idx")).alias("status"), F.max(F.when(F.col("status").isin(*BEFORE), F.struct("at", "idx"))).alias("reset"))
-    after = events.join(last, "key").filter(F.col("reset").isNull() | (F.struct("at", "idx") > F.col("reset")))
-    first = after.groupBy("key").agg(F.min("at").alias("applied_at"))
-    return last.select("key", "status").join(first, "key", "left")
+    told = events.withColumnRenamed("status", "then").join(last, "key")
+    other = told.filter("then <> status").groupBy("key").agg(F.max(F.struct("at", "idx")).alias("other"))
+    place = F.struct("at", "idx")
+    since = lambda mark: F.min(F.when(F.col(mark).isNull() | (place > F.col(mark)), F.col("at")))
+    times = told.join(other, "key", "left").groupBy("key").agg(since("reset").alias("applied_at"), since("other").alias("status_changed_at"))
+    return last.select("key", "status").join(times, "key").select("key", "status", "applied_at", "status_changed_at")
 
 
 def status_stream(events: DataFrame) -> DataFrame:
     """The same on a stream of (key, at, idx, status): the state of each key that changed, after each micro-batch."""
-    state = "status string, applied_at timestamp"
+    state = "status string, applied_at timestamp, status_changed_at timestamp"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        status, applied = held.get if held.exists else (None, None)
+        status, applied, changed = held.get if held.exists else (None, None, None)
         for e in pd.concat(list(frames)).sort_values(["at", "idx"]).itertuples():
             if e.status != status:
-                applied = None if e.status in BEFORE else (applied or e.at.to_pydatetime())
+                changed = e.at.to_pydatetime()
+                applied = None if e.status in BEFORE else (applied or changed)
                 status = e.status
-        held.update((status, applied))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "applied_at": [applied]})
+        held.update((status, applied, changed))
+        yield pd.DataFrame({"key": [key[0]], "status": [status], "applied_at": [applied], "status_changed_at": [changed]})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, status string, applied_at timestamp", state, "update", GroupStateTimeout.NoTimeout)
+    return _known(events).groupBy("key").applyInPandasWithState(step, f"key long, {state}", state, "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
