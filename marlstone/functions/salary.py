@@ -31,7 +31,7 @@ _LABEL = "|".join(w.replace(" ", f"{_S}+") for w in sorted(LABELS, key=len, reve
 _HEAD = rf"(?iu)(?:({_LABEL})(?::{_S}*|{_S}+))?(?:({'|'.join(CODES)}){_S}+)?"
 _AMOUNT = rf"(-)?([$£€])?{_S}*([0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?k?)"
 _TAIL = rf"(?:{_S}+({'|'.join(CODES)}))?(?:{_S}*(/[a-z]+)|{_S}+((?:{'|'.join(map(re.escape, PERIOD_WORDS))})|per{_S}+[a-z]+))?"
-#: Form: pattern, and its groups in order; in the order in which they are tried.
+#: Form: pattern, and its groups in order.
 FORMS = {
     "single": (rf"{_HEAD}{_AMOUNT}(\+)?{_TAIL}", "label code sign sym num plus code2 slash word"),
     "upper": (rf"{_HEAD}(?:up{_S}+to|up-to){_S}+{_AMOUNT}{_TAIL}", "label code sign sym num code2 slash word"),
@@ -42,15 +42,26 @@ FORMS = {
 _NAMES = ("label", "code", "sign", "sym", "num", "plus", "sign2", "sym2", "num2", "code2", "slash", "word")
 
 
+#: What only one form can hold, so that one pattern is tried for a text; the rest can be a single amount alone.
+_HINTS = {
+    "between": rf"(?iu)between{_S}",
+    "upper": rf"(?iu)up(?:{_S}+|-)to{_S}",
+    "to": rf"(?iu){_S}to{_S}",
+    "hyphen": rf"(?iu)[0-9k]{_S}*-{_S}*-?[$£€]?{_S}*[0-9]",
+    "single": "[0-9]",
+}
+
+
 def _parts(text: Column) -> Column:
-    """struct of the form and its groups; null if no form fits."""
+    """struct of the form and its groups; null if the form does not fit."""
     out = None
-    for form, (pattern, order) in FORMS.items():
+    for form, hint in _HINTS.items():
+        pattern, order = FORMS[form]
         names = order.split()
         got = groups(text, pattern, len(names))
-        cells = [F.lit(form).alias("form")] + [(F.get(got, F.lit(names.index(n))) if n in names else F.lit("")).alias(n) for n in _NAMES]
-        this = F.when(got.isNotNull(), F.struct(*cells))
-        out = this if out is None else F.coalesce(out, this)
+        cells = lambda g: F.struct(F.lit(form).alias("form"), *((F.get(g, F.lit(names.index(n))) if n in names else F.lit("")).alias(n) for n in _NAMES))  # noqa: E731,B023
+        this = bind(got, lambda g: F.when(g.isNotNull(), cells(g)))  # noqa: B023
+        out = F.when(text.rlike(hint), this) if out is None else out.when(text.rlike(hint), this)
     return out
 
 

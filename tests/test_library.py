@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone import catalog
 from marlstone.functions import keys
-from marlstone.operators import integrity, ranking, resolve
+from marlstone.operators import evaluate, integrity, ranking, resolve, runs, telemetry
 from marlstone.plans import planner
 from marlstone.sources import postings
 from marlstone.streaming import ingest
@@ -59,7 +59,7 @@ def test_resolver_and_replay(spark):
     assert again <= {"UPDATED", "QUARANTINED", "PARSE_ERROR"}  # a replay makes nothing new
 
 
-FAST = [n for n in catalog.SQL if not n.startswith(("resolve", "outcome", "conflict", "raw_st"))]
+FAST = [n for n in catalog.SQL if not n.startswith(("resolve", "outcome", "conflict", "raw_st", "run_raw", "run_jobs", "run_provider"))]
 
 
 @pytest.fixture(scope="module")
@@ -116,9 +116,9 @@ def test_registry():
 
 
 def test_boards(spark):
-    body = json.dumps({"jobs": [{"id": 7, "title": "T", "absolute_url": "https://X.example/j/7?utm_x=1", "first_published": "2024-01-02T03:04:05-05:00", "location": {"name": "Remote, US"}}, {"id": " ", "absolute_url": "https://x.example/"}, {"id": 8, "absolute_url": "http://x.example/"}]})
+    body = json.dumps({"jobs": [{"id": 7, "title": "T", "absolute_url": "https://X.example/j/7?utm_x=1", "first_published": "2024-01-02T03:04:05-05:00", "location": {"name": "Remote, US"}}, {"id": " ", "absolute_url": "https://x.example/"}, {"id": True, "absolute_url": "https://x.example/"}, {"id": 1.5, "absolute_url": "https://x.example/"}, {"id": 8, "absolute_url": "http://x.example/"}]})
     out = postings.board_postings(spark.createDataFrame([("acme", body), ("bad", "{")], "board string, body string"), "boards", dt.datetime(2024, 1, 3)).collect()
-    assert sorted(str(r.error) for r in out) == ["None", "no https URL", "no jobs in response", "unusable id"]
+    assert sorted(str(r.error) for r in out) == ["None", "no https URL", "no jobs in response", "unusable id", "unusable id", "unusable id"]
     good = next(r for r in out if r.error is None)
     assert (good.source_job_id, good.canonical_url, good.location, good.posted_at) == ("7", "https://x.example/j/7", "Remote, US", dt.datetime(2024, 1, 2, 8, 4, 5))
 
@@ -165,3 +165,118 @@ def test_ingestion_stream_agrees_with_batch(spark, tmp_path):
     n = ingest.snapshot(spark, str(tmp_path / "t"), 2).count()
     whole = resolve.resolve(spark.createDataFrame(rows, POSTING), spark.createDataFrame([], resolve.OCCURRENCE), "x")
     assert n == whole.filter("outcome in ('INSERTED', 'ATTACHED', 'AMBIGUOUS')").count()
+
+
+def test_strict_corpus(spark, tmp_path):
+    schema = "record_id string, n int, tags array<string>"
+
+    def read(text, **more):
+        path = tmp_path / f"c{abs(hash(text))}.json"
+        path.write_text(text)
+        return [tuple(r) for r in postings.read_corpus(spark, str(path), schema, **more).collect()]
+
+    assert sorted(read('[{"record_id": "a", "n": 1, "tags": ["x"]}, {"record_id": "b"}]', id_col="record_id")) == [("a", 1, ["x"]), ("b", None, None)]
+    for bad in ('[{"record_id": "a", "other": 1}]', '[{"record_id": "a", "record_id": "b"}]', '[{"record_id": "a", "n": "x"}]', '[{"record_id": "a"}, {"record_id": "a"}]', '[{"n": 1}]', "[", '{"record_id": "a"}'):
+        with pytest.raises(Exception):  # noqa: B017
+            read(bad, id_col="record_id")
+
+
+def test_residual_filters(spark):
+    rows = [
+        {"source": "a", "title": "Senior Engineer (Remote)", "company": "Acme", "location": "Paris", "compensation_text": "$120,000 - $150,000 USD per year", "posted_at": "2024-01-02T00:00:00Z", "discovered_at": "2024-01-02T05:00:00Z"},
+        {"source": "a", "title": "Engineer - Full-Time", "company": "Other", "location": "Rome", "compensation_text": "$80,000", "posted_at": "2024-01-01T00:00:00Z", "discovered_at": "2024-01-02T05:00:00Z"},
+        {"source": "b", "title": "Cook", "company": "Acme"},
+    ]
+    df = postings.fixture(spark, rows)
+    caps = planner.Capabilities("p", (planner.Source("a"), planner.Source("b", frozenset(planner.SWITCHES.values()), frozenset(planner.FIELDS))))
+    for search, want in (
+        ({}, ["Cook", "Engineer - Full-Time", "Senior Engineer (Remote)"]),
+        ({"titles": ["senior"]}, ["Cook", "Senior Engineer (Remote)"]),
+        ({"excluded_titles": ["senior"], "locations": ["rome"]}, ["Cook", "Engineer - Full-Time"]),
+        ({"remote_ok": False}, ["Cook", "Engineer - Full-Time"]),
+        ({"remote_ok": True, "company_filter": ["acme"]}, ["Cook", "Senior Engineer (Remote)"]),
+        ({"salary_floor": 100_000}, ["Cook", "Senior Engineer (Remote)"]),
+        ({"employment_types": ["full_time"]}, ["Cook", "Engineer - Full-Time"]),
+        ({"seniority": ["senior"], "excluded_companies": ["other"]}, ["Cook", "Senior Engineer (Remote)"]),
+        ({"posted_within_hours": 6}, ["Cook", "Senior Engineer (Remote)"]),
+    ):
+        assert sorted(r.title for r in planner.apply_residual(df, planner.plan(search, caps)).collect()) == want, search
+    with pytest.raises(planner.PlanError):
+        planner.apply_residual(df, planner.plan({"radius_miles": 5}, caps))
+
+
+def discovery(spark, n=3, provider="p", **change):
+    rows = [{"provider": provider, "source": "s", "source_job_id": str(i), "source_url": f"https://h.example/{i}", "discovered_at": "2024-01-01T00:00:00Z", "raw": "{}", "title": "T"} for i in range(n)]
+    stats = {"source": "s", "completed": True, "declared": n, "incomplete": False, "retry_count": 0, "rate_limited": False} | change
+    jobs = postings.fixture(spark, rows).withColumn("seq", F.col("source_job_id").cast("long"))
+    return runs.Discovery(provider, jobs, spark.createDataFrame([tuple(stats.values())], runs.STATS), spark.createDataFrame([], runs.ERRORS))
+
+
+def test_runs(spark, tmp_path):
+    """A run, its replay, runs that break off, and searches that cannot be run."""
+    t0, caps = dt.datetime(2024, 1, 1), planner.Capabilities("p", (planner.Source("s"),))
+    store = runs.Store(spark, str(tmp_path / "store"))
+    go = lambda run_id, found, **more: runs.run_search(store, runs.Search("x", **more), {"p": runs.Provider(caps, found)}, run_id=run_id, observed_at=t0, clock=lambda: t0).first()
+    first = go("one", lambda plan: discovery(spark))
+    assert (first.status, first.discovered, first.inserted, first.updated, first.providers) == ("completed", 3, 3, 0, ["p"])
+    again = go("two", lambda plan: discovery(spark))
+    assert (again.status, again.inserted, again.updated) == ("completed", 0, 3) and store.snapshot("jobs", runs.JOB).count() == 3
+
+    def broken(plan):
+        raise OSError("no answer")
+
+    for run_id, found, error in (("three", broken, OSError), ("four", lambda plan: discovery(spark, declared=9), runs.ContractError), ("five", lambda plan: discovery(spark, provider="q"), runs.ContractError)):
+        with pytest.raises(error):
+            go(run_id, found)
+        attempt = store.table("attempts", runs.ATTEMPT).filter(F.col("run_id") == run_id).first()
+        assert (attempt.status, attempt.error_category, attempt.error_message) == ("failed", telemetry.ABORT_CATEGORY, telemetry.ABORT_MESSAGE)
+        assert store.table("runs", runs.RUN).filter(F.col("run_id") == run_id).first().status == "failed"
+    assert store.snapshot("jobs", runs.JOB).count() == 3
+    for bad in ({"active": False}, {"providers": ["p", "p"]}, {"providers": ["No Slug"]}):
+        with pytest.raises(runs.SearchError):
+            go("six", lambda plan: discovery(spark), **bad)
+    assert go("seven", lambda plan: discovery(spark), providers=[]).status == "completed"
+    assert go("eight", lambda plan: discovery(spark), sources={"p": ["other"]}).status == "completed_with_errors"
+    assert [tuple(r)[0] for r in postings.replay(discovery(spark, 1).postings, {"titles": []}).select("source").collect()] == ["s"]
+    for fields, n in (({"titles": ["x"]}, 1), ({}, 2)):
+        with pytest.raises(ValueError):
+            postings.replay(discovery(spark, n).postings, fields)
+
+
+def test_label_corpus_errors(spark):
+    packet = spark.createDataFrame([("r1", "a", "t"), ("r2", "b", "u")], "record_id string, employer string, text string")
+    label = "record_id string, label_path string, outcome string, value string"
+    one = [("r1", "title.name", "present_supported", "x"), ("r2", "title.name", "absent", None)]
+    two = [("r1", "title.name", "present_supported", "y"), ("r2", "title.name", "absent", None)]
+    ruled = [("r1", "title.name", "present_supported", "z")]
+    bound = evaluate.packet_hash(packet, "record_id", "employer", "text")
+    make = lambda a, b, r, h=bound: {(x.record_id, x.value, x.split) for x in evaluate.build_corpus(packet, *(spark.createDataFrame(t, label) for t in (a, b, r)), bound_to=h).collect()}
+    assert make(one, two, ruled) == {("r1", "z", "dev"), ("r2", None, "holdout")}
+    for bad in ((one, two, []), (one, one, ruled), (one, [("r1", "title.name", "absent", "x")], []), (one + one, two, ruled), (one, two, ruled, "0"), (one + [("r9", "title.name", "absent", None)], two + [("r9", "title.name", "absent", None)], ruled)):
+        with pytest.raises(ValueError):
+            make(*bad)
+
+
+def test_patches_and_shapes(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k int, x string, y string")
+    patches = spark.createDataFrame([(1, "n", ["y"])], "k int, x string, cleared array<string>")
+    assert sorted(map(tuple, integrity.patched(rows, patches, "k", ["x", "y"]).collect())) == [(1, "n", None), (2, "c", "d")]
+    with pytest.raises(ValueError):
+        integrity.patched(rows, patches, "k", ["y"])
+    for allowed, domains in ((["x"], None), (["x", "y"], {"x": ["m"]})):
+        with pytest.raises(Exception):  # noqa: B017
+            integrity.patched(rows, patches, "k", allowed, domains).collect()
+    checks = {"pair": integrity.both_or_neither(F.col("x"), F.col("y")), "known": integrity.one_of(F.col("x"), "a", "c"), "iff": integrity.if_and_only_if(F.col("x") == "a", F.col("y") == "b"), "json": integrity.json_shape(F.lit("{}"), "object")}
+    assert integrity.accept(rows, checks).count() == 2 and integrity.rejects(rows, checks).isEmpty()
+    assert integrity.rejects(rows, {"json": integrity.json_shape(F.lit("[1]"), "object")}).count() == 2
+    assert telemetry.ABORT_MESSAGE and keys.json_hash_of("[1]")
+    files = spark.createDataFrame([("b", b"2"), ("a", b"1")], "path string, content binary")
+    assert files.agg(keys.manifest_hash(files).alias("h")).first().h == files.orderBy("path").agg(keys.manifest_hash(files).alias("h")).first().h
+    with pytest.raises(Exception):  # noqa: B017
+        postings.create_only(rows, "/tmp")
+
+
+def test_unknown_status_is_an_error(spark):
+    e = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 1, "hired")], "key long, at timestamp, idx long, status string")
+    with pytest.raises(Exception, match="not a status"):
+        ingest.statuses(e).collect()
