@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import os
 import shutil
@@ -74,12 +75,35 @@ def release(spark: SparkSession) -> None:
 
 def trim() -> None:
     """Gives freed memory back to the system: large arrays otherwise stay with a long-lived worker."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
+def tidy(fn):
+    """fn, a generator over batches (or the batches of a group), that leaves nothing behind in its worker: workers outlive tasks and stages."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        for out in fn(*args):
+            yield out
+            del out
+            trim()
+        trim()
+
+    return run
+
+
+def gentle(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 8 MB instead of Spark's default of 64 MB (another value that was set stays): long texts make large batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(name, "8m")
+    return spark
+
+
 def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
     """The rows of df whose key (a long) may be one of need's: all that are, and few others.
 

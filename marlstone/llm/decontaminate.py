@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS, BLOCKS, RADIUS = 128, 8, 31
+PASS_BYTES = 1 << 26  # of packed shingles that a pass is meant to hold
 _MASKS = np.array([0] + [sum(1 << b for b in c) for n in (1, 2, 3) for c in combinations(range(16), n)], np.uint16)  # within RADIUS // BLOCKS bits
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -137,8 +138,9 @@ class Benchmark:
 
 def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col: str, text_col: str) -> Iterator[Benchmark]:
     """Items in passes of at most items_per_pass; null ids and items without words are left out (nothing can be similar to them)."""
-    spark = items.sparkSession
+    spark = C.gentle(items.sparkSession)
 
+    @C.tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(1))
@@ -147,9 +149,10 @@ def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col
 
     slim = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
     rows, _ = C.store(slim.mapInArrow(sets, "id long, items binary").filter(F.octet_length("items") > 0), "items")
-    n = rows.count()
-    passes = -(-n // items_per_pass)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()
+    passes = max(-(-n // items_per_pass), -(-size // PASS_BYTES))
 
+    @C.tidy
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.unique(np.frombuffer(x, np.uint64)) for x in batch.column(0).to_pylist()]
@@ -195,6 +198,7 @@ def matches(docs: DataFrame, items: DataFrame, *, shingle: int = 5, least: float
     for bench in benchmark_passes(items, shingle, items_per_pass, item_id, item_text):
         shared = spark.sparkContext.broadcast(bench)
 
+        @C.tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
             for batch in batches:
@@ -215,6 +219,7 @@ def clean(docs: DataFrame, items: DataFrame, *, shingle: int = 5, least: float =
     for bench in benchmark_passes(items, shingle, items_per_pass, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
+        @C.tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw, offs = C.text_buffer(batch.column(at))

@@ -110,7 +110,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Each text is shuffled once.  Only part bounds (quantiles of ids) and the first id of each part come to the driver: two numbers a
     part.  The row after the last is the first of all.
     """
-    spark = docs.sparkSession
+    spark = C.gentle(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = 8 * C.parts(spark)
     bounds = slim.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
@@ -160,6 +160,7 @@ def fingerprints(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []  # held: part, id, text, hashes and places, distinct hashes
 

@@ -164,7 +164,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, windows_per_doc: int =
     """
     if label_col.lower() not in (c.lower() for c in docs.columns):
         return None
-    spark = docs.sparkSession
+    spark = C.gentle(docs.sparkSession)
     flat, (id_at, text_at, label_at) = C.flattened(docs, id_col, text_col, label_col)
     rows = flat.select(F.col(f"c{id_at}").alias("id"), F.col(f"c{text_at}").alias("text"), F.col(f"c{label_at}").cast("string").alias("label")).filter(F.col("label").isNotNull() & (F.col("text") != "") & ~held_out(F.col("id")))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, windows_per_doc: int =
     shares = spark.createDataFrame([(r.label, int(min(1.0, docs_per_language / max(r.n, 1)) * 2**30)) for r in counts], "label string, share long")
     chosen = rows.join(F.broadcast(shares), "label").filter(F.pmod("key", F.lit(2**30)) < F.col("share")).dropDuplicates(["label", "key"])
 
+    @C.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(0))
@@ -294,11 +295,13 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     order.  Repeated rows give repeated rows, null ids stay null, an empty table gives no rows; other columns are not read.
     """
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = answers(model, batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    C.gentle(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -306,8 +309,10 @@ def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, text
     """The rows of docs, all columns, whose language is not ``und`` and has at least the given score; all rows if there is no model."""
     if model is None:
         return docs
+    C.gentle(docs.sparkSession)
     flat, (at,) = C.flattened(docs, text_col)
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = answers(model, batch, at)

@@ -49,9 +49,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator
 def sketches(docs: DataFrame, shingle: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (set size), h1, h2 (128-bit hash of the set), sketch (longs, the k least hashes, by unsigned order)."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            C.trim()
             raw, offs = C.text_buffer(batch.column(1))
             n, h, sk = [], [], []
             for _, s in shingle_sets(raw, offs, shingle):
@@ -71,6 +71,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFr
     sk = reps.select("rep", "n", "sketch")
     joined = pairs.join(sk.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
@@ -101,9 +102,9 @@ def _estimate(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFr
 def _sets(need: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(id, items): the full set, as packed ascending hashes, of each row whose id is in need."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            C.trim()
             raw, offs = C.text_buffer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), C.packed([s for _, s in shingle_sets(raw, offs, shingle)])], ["id", "items"])
 
@@ -114,6 +115,7 @@ def _sets(need: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col:
 def _unpacked(items: DataFrame) -> DataFrame:
     """(rep, key, items): sets as arrays; key tells apart rows that repeat an id."""
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
@@ -167,6 +169,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int,
     items, path = C.store(_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, shingle, id_col, text_col), "sets")
     joined = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -189,7 +192,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     several texts: linked with whatever one of them is linked with, and all of one component (rows without words stay by themselves).
     An empty table gives no rows; other columns are not read.
     """
-    spark, least = docs.sparkSession, num / den
+    spark, least = C.gentle(docs.sparkSession), num / den
     full, full_path = C.store(sketches(docs, shingle, k, id_col, text_col), "sketches")
     # classes of equal sets: least ids by salt first, so that a class of any size is spread; a class has as many rows here as it has salts
     salted = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("salt")

@@ -164,12 +164,13 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
 
     Segments are made so many that one needs about ``max_bits`` bits or ``tokens_per_segment`` tokens at most.
     """
-    spark = docs.sparkSession
+    spark = C.gentle(docs.sparkSession)
     slim = docs.select(F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a token brings one bigram and seldom more than two entries
     seg_bits = max(0, min(20, int(size / 6 / max(1, min(tokens_per_segment, max_bits // (2 * bits_per_item)))).bit_length()))
 
+    @C.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_buffer(batch.column(0))
@@ -183,6 +184,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
                 over = C.packed([np.stack([w := np.flatnonzero(c >= 255), c[w]]).astype("<i8").ravel() for *_, c in rows])
                 yield pa.RecordBatch.from_arrays([pa.array([(s << 1) | k for k, s, *_ in rows], pa.int64()), keys, small, over], ["slot", "keys", "small", "over"])
 
+    @C.tidy
     def add(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.trim()
         kind, all_keys, all_counts = key[0].as_py() & 1, [], []
@@ -208,6 +210,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
     upto = np.cumsum(shares[::-1])[::-1]
     least = next(q for q in range(1, 65) if q == 64 or upto[q] <= head)
 
+    @C.tidy
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -215,6 +218,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
                 own = levels(counts) >= least
                 yield pa.RecordBatch.from_arrays([C.packed([keys[own]]), C.packed([counts[own]])], ["keys", "counts"])
 
+    @C.tidy
     def fill(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.trim()
         none = np.zeros(0, np.uint64)
@@ -254,6 +258,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
     n, v, seg_bits, has_tail = model.tokens, model.vocabulary, model.seg_bits, model.tail_words > 0
     below = n + ALPHA * (v + 1)
 
+    @C.tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -277,6 +282,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
         at = np.minimum(np.searchsorted(head_keys, words), len(head_keys) - 1)
         return head_keys[at] == words, np.where(head_keys[at] == words, head_counts[at], 0)
 
+    @C.tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             C.trim()

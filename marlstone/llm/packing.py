@@ -146,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, *, leading: bool = False, window: int
     No documents give no rows.  Sequences are full or hold a power of two tokens.  Other columns are not read.
     """
 
+    @C.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 32)
 
@@ -178,5 +179,6 @@ def pack(docs: DataFrame, tokenizer: str, *, leading: bool = False, window: int
         packer.finish()
         yield rows()
 
+    C.gentle(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return slim.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     documents.  Removal may cut a character: kept bytes that are no whole character are left out of a returned text; a null text stays
     null.  An empty table gives no rows.
     """
-    spark, parts = docs.sparkSession, C.parts(docs.sparkSession)
+    spark, parts = C.gentle(docs.sparkSession), C.parts(docs.sparkSession)
     root = C.scratch(spark, "suffix")
     slim = docs if texts else docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     names = [f"c{i}" for i in range(len(slim.columns))]  # names may clash but for case
@@ -248,6 +248,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     id_at, text_at = slim.columns.index(id_col), slim.columns.index(text_col)
     text_name = names[text_at]
 
+    @C.tidy
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -290,8 +291,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     segments = max(parts, sum(f[2] for f in files) // (35 * 500_000))  # a segment and a file share a row, if they share an anchor
     listed = spark.createDataFrame([f[:2] for f in files], "part long, path string").repartition(len(files), "part")
 
+    @C.tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.trim()
         for batch in batches:
             for part, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, raw, offs = _read(path, text_name)
@@ -313,8 +314,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                     some = own[k : k + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), C.packed([low[cut[s] : cut[s + 1]].ravel() for s in some]), C.packed([c[cut[s] : cut[s + 1]] for s in some]), C.packed([c2[cut[s] : cut[s + 1]] for s in some])], ["seg", "part", "grams", "contexts", "more"])
 
+    @C.tidy
     def judge(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.trim()
         rows = sorted(((p, g, c, c2) for b in group for _, p, g, c, c2 in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[0])
         n = [len(r[2]) // 8 for r in rows]
         wide = np.zeros((sum(n), 8), np.uint8)
@@ -354,8 +355,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
             out[order] = np.frombuffer(b"".join(rows[s] for s in sorted(rows)), np.uint8)
         return lo, k, x, out
 
+    @C.tidy
     def contexts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.trim()
         part = key[0].as_py()
         rows = {s: f for b in group for s, f in zip(b.column("seg").to_pylist(), b.column("flags").to_pylist(), strict=True)}
         lo, k, x, flag = load(paths[part], rows)
@@ -389,8 +390,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                         out.append((-1 - s, part, windows[c].astype("<u4"), np.zeros(0, "<u2"), np.stack([h1[c], h2[c]]).astype("<u8").ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), *(C.packed([r[i] for r in out]) for i in (2, 3, 4))], schema)
 
+    @C.tidy
     def repeats(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.trim()
         rows = [r for b in group for r in zip(*(x.to_pylist() for x in b.columns), strict=True)]
         where = np.concatenate([np.frombuffer(p, "<u4").astype(np.int64) | part << 32 for _, part, p, *_ in rows])
         if key[0].as_py() < 0:
@@ -414,8 +415,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     found, _ = C.store(sent.groupBy("bucket").applyInArrow(repeats, "part long, seg long, flags binary"), "repeats")
     columns, fields = list(slim.columns), slim.schema
 
+    @C.tidy
     def finish(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.trim()
         part = key[0].as_py()
         rows, windows = {}, []
         for b in group:

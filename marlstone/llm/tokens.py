@@ -29,7 +29,10 @@ _WIDE = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200d\u2028\u2
 
 
 class MemoEncoder:
-    """Encodes documents with a tokeniser of the tokenizers library; exact, with a bounded memory of pieces.
+    """Encodes documents with a tokeniser of the tokenizers library, with a bounded memory of pieces.
+
+    The ids are the library's.  Pieces are told apart by a 64-bit hash: against a full memory a new piece is taken for another with a
+    chance of 10**-13.
 
     leading: white space before a word belongs to its piece (byte-level vocabularies); otherwise white space is dropped.
     """
@@ -271,6 +274,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, leading: bool = T
     end id only; no documents give no file.  Columns other than the two named are not read.
     """
 
+    @C.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file, path, docs_n, ids_n = None, None, "", 0, 0
         number = TaskContext.get().partitionId()
@@ -291,7 +295,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, *, leading: bool = T
             yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "docs": [docs_n], "ids": [ids_n]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange(C.parts(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    ordered = slim.repartitionByRange(C.parts(C.gentle(docs.sparkSession)), "id").sortWithinPartitions("id", "text")
     done = ordered.mapInArrow(write, "part long, path string, docs long, ids long")
     return sorted(tuple(r) for r in done.collect())
 
@@ -303,6 +307,7 @@ def read_tokens(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
         rows.append((path, base))
         base += ids
 
+    @C.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

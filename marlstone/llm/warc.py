@@ -170,8 +170,12 @@ def with_types(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, payl
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     keyed = slim.withColumn("sha", F.sha1(F.encode("payload", "utf-8")))
     large = F.octet_length("payload") >= min_bytes
-    first = keyed.filter(large).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    return keyed.join(first, "sha", "left").select("id", "url", "payload", F.when(large, F.col("first")).alias("first"))
+    # a payload that very many rows share is dealt to as many tasks as it has salts
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    parts = keyed.filter(large).groupBy("sha", "salt").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    shared = parts.groupBy("sha").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+    first = shared.select("sha", "first", F.explode("salts").alias("salt"))
+    return keyed.join(first, ["sha", "salt"], "left").select("id", "url", "payload", F.when(large, F.col("first")).alias("first"))
 
 
 def write_archives(pages: DataFrame, out: str, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[tuple[str, int]]:
@@ -181,6 +185,7 @@ def write_archives(pages: DataFrame, out: str, *, min_bytes: int = 0, id_col: st
     are responses too; a null id is larger than any other, and a response if all of its payload are null.  Other columns are not read.
     """
 
+    @C.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, file = f"{out}/part-{TaskContext.get().partitionId():06d}.warc.gz", None
         for batch in batches:
@@ -192,6 +197,7 @@ def write_archives(pages: DataFrame, out: str, *, min_bytes: int = 0, id_col: st
         if file is not None:
             yield pa.RecordBatch.from_pydict({"path": [path], "raw": [file.close()]})
 
+    C.gentle(pages.sparkSession)
     rows = with_types(pages, min_bytes, id_col, url_col, payload_col)
     return sorted(tuple(r) for r in rows.mapInArrow(write, "path string, raw long").collect())
 
@@ -209,6 +215,7 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], *, block: i
     tasks = max(C.parts(spark), len(files))
     starts = names.withColumn("block", F.explode(F.expr(f"sequence(0L, greatest(0L, size - 1) div {block}L)"))).repartition(tasks, "path", "block")
 
+    @C.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -240,6 +247,7 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], *, block: i
         jumps, _ = C.store(jumps.join(then, ["path", "to"], "left").select("path", "at", F.coalesce("then", "to").alias("to"), "size"), "jumps")
         rounds += 1
 
+    @C.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
