@@ -1,17 +1,19 @@
 """Posting sources: a registry, a Python data source with filter pushdown, JSON boards, strict corpora, and sinks.
 
 ``spark.read.format("postings").option("path", dir)`` reads folders ``provider=P/source=S/*.json`` (one JSON posting a line), one partition a
-file.  Equality filters on provider and source prune files; filters on other columns that the reader takes over are applied as it
-reads; the rest Spark applies itself.
+file; dir may be any location that Arrow's file systems know.  Equality filters on provider and source prune files; filters on other
+columns that the reader takes over are applied as it reads; the rest Spark applies itself.  A line that is no JSON object comes out as a
+row with an error instead of a posting.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
@@ -23,6 +25,7 @@ from ..functions.urls import normalize_url
 from ..operators import ranking
 
 POSTING = "provider string, source string, source_tenant_id string, source_job_id string, requisition_id_raw string, title string, company string, location string, source_url string, apply_url string, canonical_url string, description string, compensation_text string, posted_at string, discovered_at string, raw string"
+READ = POSTING + ", error string"
 _COLUMNS = [c.split()[0] for c in POSTING.split(", ")]
 _SLUG = re.compile(r"[a-z0-9][a-z0-9._-]*")
 
@@ -40,31 +43,61 @@ class PostingReader(DataSourceReader):
         for f in filters:
             if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS:
                 self.equal.append((f.attribute[0], {f.value} if isinstance(f, EqualTo) else set(f.value)))
-            elif not isinstance(f, IsNotNull):
+            elif not (isinstance(f, IsNotNull) and f.attribute in (("provider",), ("source",))):  # these come from the folders
                 yield f  # Spark applies what is given back
 
     def _keeps(self, **known: str) -> bool:
         return all(known[c] in values for c, values in self.equal if c in known)
 
     def partitions(self) -> list[InputPartition]:
+        fs, root = _location(self.root)
         out = []
-        for folder, _, names in sorted(os.walk(self.root)):
-            parts = dict(p.split("=", 1) for p in folder.split(os.sep) if "=" in p)
-            if {"provider", "source"} <= set(parts) and self._keeps(provider=parts["provider"], source=parts["source"]):
-                out += [_File(os.path.join(folder, n), parts["provider"], parts["source"]) for n in sorted(names) if n.endswith(".json")]
+        for f in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda f: f.path):
+            parts = dict(p.split("=", 1) for p in f.path.split("/")[:-1] if "=" in p)
+            if f.is_file and f.path.endswith(".json") and {"provider", "source"} <= set(parts) and self._keeps(provider=parts["provider"], source=parts["source"]):
+                out.append(_File(f.path, parts["provider"], parts["source"]))
         return out
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if partition is None:
             return
-        with open(partition.path, encoding="utf-8") as f:
-            for line in f:
+        cell = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True)
+        with _location(self.root)[0].open_input_stream(partition.path) as f:
+            for line in _lines(f):
                 if not line.strip():
                     continue
-                row = json.loads(line) | {"provider": partition.provider, "source": partition.source}
+                known, error = {"provider": partition.provider, "source": partition.source}, None
+                try:
+                    row = json.loads(line)
+                    if not isinstance(row, dict):
+                        raise ValueError(line)
+                except ValueError:
+                    row, error = {}, "not a JSON object"
+                row |= known
                 if all(row.get(c) in values for c, values in self.equal):
-                    cell = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True)
-                    yield tuple(cell(row.get(c)) for c in _COLUMNS)
+                    yield (*(cell(row.get(c)) for c in _COLUMNS), error)
+
+
+def _location(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+
+
+def _lines(f) -> Iterator[bytes]:
+    """Lines of a stream, read in blocks."""
+    rest = b""
+    while block := f.read(1 << 20):
+        *whole, rest = (rest + block).split(b"\n")
+        yield from whole
+    yield rest
+
+
+def health(root: str) -> str | None:
+    """What is wrong with a folder of postings; None if it can be read."""
+    try:
+        fs, at = _location(root)
+        return None if fs.get_file_info(at).type == pafs.FileType.Directory else "no such folder"
+    except (OSError, ValueError) as e:
+        return str(e)
 
 
 class PostingSource(DataSource):
@@ -73,7 +106,7 @@ class PostingSource(DataSource):
         return "postings"
 
     def schema(self) -> str:
-        return POSTING
+        return READ
 
     def reader(self, schema) -> PostingReader:
         return PostingReader(self.options)
@@ -115,13 +148,22 @@ def fixture(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(c) for c in _COLUMNS) for r in rows], POSTING)
 
 
+LARGEST_BODY = 5_000_000  # bytes of a response
+
+
 def board_postings(boards: DataFrame, provider: str, fetched_at) -> DataFrame:
-    """Postings of board responses (board, body): ``jobs`` lists of JSON objects.  Bodies that are no such object, and jobs without a
-    usable id, an https URL and a dated publication, come out with an error instead of a posting."""
+    """Postings of board responses (board, body; code and content_type where there are such columns): ``jobs`` lists of JSON objects.
+    Responses that are no success, no JSON by their type, too large or no such object, and jobs without a usable id, an https URL and a
+    dated publication, come out with an error instead of a posting."""
     v = F.col("job")
-    body = boards.withColumn("parsed", F.try_parse_json("body"))
+    refused = F.when(F.octet_length("body") > LARGEST_BODY, "response too large")
+    if "code" in boards.columns:
+        refused = F.coalesce(F.when(~F.coalesce(F.col("code").between(200, 299), F.lit(False)), "no success"), refused)
+    if "content_type" in boards.columns:
+        refused = F.coalesce(refused, F.when(~F.coalesce(F.lower("content_type").rlike(r"\Aapplication/json\s*(;|\z)"), F.lit(False)), "no JSON by its type"))
+    body = boards.withColumn("refused", refused).withColumn("parsed", F.when(F.col("refused").isNull(), F.try_parse_json("body")))
     listed = body.withColumn("jobs", F.try_variant_get("parsed", "$.jobs", "array<variant>"))
-    bad = listed.filter(F.col("jobs").isNull() | (F.size("jobs") == 0)).select("board", F.lit(None).cast("variant").alias("job"), F.lit("no jobs in response").alias("error"))
+    bad = listed.filter(F.col("jobs").isNull() | (F.size("jobs") == 0)).select("board", F.lit(None).cast("variant").alias("job"), F.coalesce("refused", F.lit("no jobs in response")).alias("error"))
     jobs = listed.filter(F.size("jobs") > 0).select("board", F.explode("jobs").alias("job")).withColumn("error", F.lit(None).cast("string"))
     get = lambda path: F.try_variant_get(v, path, "string")
     url, published = get("$.absolute_url"), get("$.first_published")

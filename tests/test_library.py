@@ -94,15 +94,17 @@ def test_source_prunes_and_filters(spark, tmp_path):
         folder = tmp_path / f"provider={provider}" / f"source={source}"
         folder.mkdir(parents=True)
         (folder / "f.json").write_text("".join(json.dumps({"source_job_id": i, "title": "T" + i, "raw": {"k": 1}}) + "\n" for i in ids))
+    (tmp_path / "provider=b" / "source=x" / "g.json").write_text('[1]\n{"source_job_id": \n')
     postings.register(spark)
+    assert postings.health(str(tmp_path)) is None and postings.health(str(tmp_path / "none")) == "no such folder"
     df = spark.read.format("postings").option("path", str(tmp_path)).load()
-    assert df.count() == 5
+    assert df.filter("error is null").count() == 5 and df.filter("error is not null").count() == 2
     assert [r.source_job_id for r in df.filter("provider = 'a' and source = 'x' and title > 'T1'").orderBy("source_job_id").collect()] == ["10", "9"]
     reader = postings.PostingReader({"path": str(tmp_path)})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert list(reader.pushFilters([EqualTo(("provider",), "b"), GreaterThan(("title",), "T")])) == [GreaterThan(("title",), "T")]
-    assert len(reader.partitions()) == 1
+    assert len(reader.partitions()) == 2
     assert ranking.representative(df.filter("source_job_id in ('9', '10')"), "source_job_id").first().source_job_id == "10"
 
 
@@ -119,6 +121,8 @@ def test_boards(spark):
     body = json.dumps({"jobs": [{"id": 7, "title": "T", "absolute_url": "https://X.example/j/7?utm_x=1", "first_published": "2024-01-02T03:04:05-05:00", "location": {"name": "Remote, US"}}, {"id": " ", "absolute_url": "https://x.example/"}, {"id": True, "absolute_url": "https://x.example/"}, {"id": 1.5, "absolute_url": "https://x.example/"}, {"id": 8, "absolute_url": "http://x.example/"}]})
     out = postings.board_postings(spark.createDataFrame([("acme", body), ("bad", "{")], "board string, body string"), "boards", dt.datetime(2024, 1, 3)).collect()
     assert sorted(str(r.error) for r in out) == ["None", "no https URL", "no jobs in response", "unusable id", "unusable id", "unusable id"]
+    told = spark.createDataFrame([("a", body, 404, "application/json"), ("b", body, 200, "text/html"), ("c", body, 204, "application/json; charset=utf-8"), ("d", "x" * 5_000_001, 200, "application/json")], "board string, body string, code int, content_type string")
+    assert {(r.source, r.error) for r in postings.board_postings(told, "boards", dt.datetime(2024, 1, 3)).collect()} >= {("a", "no success"), ("b", "no JSON by its type"), ("c", None), ("d", "response too large")}
     good = next(r for r in out if r.error is None)
     assert (good.source_job_id, good.canonical_url, good.location, good.posted_at) == ("7", "https://x.example/j/7", "Remote, US", dt.datetime(2024, 1, 2, 8, 4, 5))
 
