@@ -85,14 +85,25 @@ def trim() -> None:
 def tidy(fn):
     """fn, a generator over batches (or the batches of a group), that leaves nothing behind in its worker: workers outlive tasks and stages."""
 
-    @functools.wraps(fn)
-    def run(*args):
-        for out in fn(*args):
+    def told(outs):
+        for out in outs:
             yield out
             del out
             trim()
         trim()
 
+    if fn.__code__.co_argcount == 2:  # Spark counts the arguments of functions of groups
+
+        @functools.wraps(fn)
+        def run(key, group):
+            yield from told(fn(key, group))
+
+    else:
+
+        @functools.wraps(fn)
+        def run(batches):
+            yield from told(fn(batches))
+
     return run
 
 
