@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import html, primitives, urls
-from .operators import evaluate, integrity, ranking, resolve, runs, telemetry
+from .operators import constraints, evaluate, integrity, ranking, resolve, runs, telemetry
 from .plans import planner
 from .session import load
 from .sources import postings
@@ -248,6 +248,22 @@ def html_headings(spark, d):
     return load(spark, d, "pages").filter(c("html").rlike("<h1>[^<&]*</h1>")).select("page_id", F.substring_index(text, "\n", 1).alias("title"))
 
 
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'latitude_in_range' END, CASE WHEN k % 5 = 0 THEN 'latitude_with_longitude' END, CASE WHEN k % 3 = 0 THEN 'salary_min_up_to_salary_max' END, CASE WHEN k % 2 = 0 THEN 'title_trimmed' END], lambda x: x IS NOT NULL), ',') AS broken FROM (SELECT o_orderkey, o_orderkey AS k FROM orders) WHERE k % 7 = 0 OR k % 5 = 0 OR k % 3 = 0 OR k % 2 = 0""")
+def job_constraints(spark, d):
+    k = c("o_orderkey")
+    jobs = load(spark, d, "orders").select("o_orderkey", F.when(k % 2 == 0, " Cook").otherwise("Cook").alias("title"), F.when(k % 3 == 0, 9).otherwise(1).alias("salary_min"), F.lit(5).alias("salary_max"), F.when(k % 7 == 0, 91.0).otherwise(45.0).alias("latitude"), F.when(k % 5 != 0, 7.0).alias("longitude"))
+    return constraints.rejects(jobs, "job").select("o_orderkey", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'completed_at_fits_status' WHEN 2 THEN 'jobs_inserted_not_negative,status_known' ELSE 'failures_is_array,started_at_up_to_completed_at' END AS broken FROM events WHERE event_id % 4 <> 0""")
+def run_constraints(spark, d):
+    k = c("event_id") % 4
+    rows = load(spark, d, "events").select("event_id", F.when(k == 2, "odd").otherwise("completed").alias("status"), F.when(k == 2, -1).otherwise(1).alias("jobs_inserted"), c("ts").alias("started_at"), F.when(k == 3, c("ts") - F.expr("interval 1 hour")).when(k == 0, c("ts")).alias("completed_at"), F.when(k == 3, "{}").otherwise("[]").alias("failures"))
+    broken = constraints.rejects(rows, "collection_run").select("event_id", F.array_remove("broken", "").alias("broken"))
+    fits = F.when(c("event_id") % 4 == 2, F.array_remove("broken", "completed_at_fits_status")).otherwise(c("broken"))  # of an unknown status no time fits
+    return broken.select("event_id", F.array_join(fits, ",").alias("broken"))
+
+
 # ---- labels
 @query("SELECT l.doc_id::VARCHAR AS record_id, CASE WHEN quality = toxic THEN quality WHEN l.doc_id % 3 <> 0 THEN 7 END AS value, quality <> toxic AND l.doc_id % 3 = 0 AS missing FROM labels l")
 def adjudicated_labels(spark, d):

@@ -284,3 +284,13 @@ def test_unknown_status_is_an_error(spark):
     e = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 1, "hired")], "key long, at timestamp, idx long, status string")
     with pytest.raises(Exception, match="not a status"):
         ingest.statuses(e).collect()
+
+
+def test_constraints_of_unknown_values_hold(spark):
+    from marlstone.operators import constraints
+
+    assert sum(len(constraints.rules(t)) for t in constraints.TABLES) > 150
+    for table in constraints.TABLES:
+        columns = sorted({n for needed, _ in constraints.rules(table).values() for n in needed})
+        row = spark.createDataFrame([(None,) * len(columns)], ", ".join(f"{n} string" for n in columns))
+        assert constraints.rejects(row, table).isEmpty(), table
