@@ -1,16 +1,15 @@
-"""Job titles to a canonical title and role family."""
+"""Job titles to a canonical title and role family, by native expressions.
 
-from __future__ import annotations
+A title is cut into segments; each ends in an alias of a canonical title or not, and may hold words that make that doubtful.  The first
+segment decides, unless a later one says something else.
+"""
 
-import re
-import unicodedata
-from functools import lru_cache
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .primitives import row_type
+from .primitives import bind, found
 
 # Canonical titles with family and aliases, words that make a match doubtful, and words that point to a family.
 TITLES = {
@@ -36,84 +35,68 @@ SIGNALS = {
     "solutions_architecture": ["solution", "solutions", "architecture"],
     "sales": ["account", "sales"],
 }
-DECORATION = ["expression", "of", "interest"]
-_ALIASES = {tuple(a.split()): name for name, (_, aliases) in TITLES.items() for a in aliases}
-_SIGNALS = {tuple(s.split()): family for family, signals in SIGNALS.items() for s in signals}
 _DASHES = "‐‑‒–—―−"
-_ALLOWED = re.compile(r"[a-z0-9 ,;:|/@()\[\]{}&+-]*")
-_PARTS = re.compile(r"[,;:|/@()\[\]{}]|(?<= )-(?= )")
-
-
-@lru_cache(4096)
-def _plain(c: str) -> str:
-    """What a character beyond ASCII stands for; NUL, which no title may hold, if nothing."""
-    if c in "\u2028\u2029":
-        return "|"
-    if c in _DASHES:
-        return "-"
-    if 0xFF01 <= ord(c) <= 0xFF5E:
-        return chr(ord(c) - 0xFEE0)
-    return " " if unicodedata.category(c) == "Zs" else "\0"
-
-
-def plain(title: str) -> str | None:
-    """The title in lower-case ASCII; null if a character has no place in one."""
-    text = "".join(c if c.isascii() else _plain(c) for c in title)
-    text = re.sub("[\t\r\n]", " ", text).lower()
-    return text if _ALLOWED.fullmatch(text) else None
-
-
-def _reading(tokens: tuple[str, ...]) -> tuple[str, str | None]:
-    """('match', canonical), ('doubt', None), ('role', None) or ('none', None) of a segment."""
-    ends = [(n, _ALIASES[tokens[-n:]]) for n in range(1, len(tokens) + 1 if len(tokens) < 4 else 4) if tokens[-n:] in _ALIASES]
-    if len(ends) > 1:
-        return "doubt", None
-    if not ends:
-        level = tokens[-1] in ("i", "ii", "iii", "iv", "v") or bool(re.fullmatch("[1-9][0-9]?", tokens[-1]))
-        role = tokens[-1] in LAST_ROLES or level and len(tokens) > 1 and tokens[-2] in LAST_ROLES
-        return ("role" if role else "none"), None
-    n, name = ends[0]
-    before, family = tokens[:-n], TITLES[name][0]
-    foreign = any(_SIGNALS.get(before[i : i + k], family) != family for i in range(len(before)) for k in (1, 2))
-    if foreign or any(t in BLOCKERS or t in ROLES for t in before):
-        return "doubt", None
-    return "match", name
-
-
-def title_of(title: str | None) -> tuple[str | None, str | None, str]:
-    """(canonical title, role family, outcome)."""
-    if title is None:
-        return None, None, "no_title"
-    text = plain(title)
-    if text is None:
-        return None, None, "unsupported"
-    if not text.strip(" "):
-        return None, None, "no_title"
-    lead = re.match(r" *\[([a-z ]*)\]", text)
-    if lead and lead.group(1).split() == DECORATION:
-        text = text[lead.end() :]
-    segments = [tuple(re.findall("[a-z0-9]+|&", s)) for s in _PARTS.split(text)]
-    readings = [_reading(s) for s in segments if s]
-    if not readings:
-        return None, None, "unsupported"
-    (kind, name), later = readings[0], readings[1:]
-    if kind == "doubt" or kind != "match" and any(k in ("match", "doubt") for k, _ in later):
-        return None, None, "ambiguous"
-    if kind != "match":
-        return None, None, "unsupported"
-    if any(k in ("doubt", "role") or k == "match" and n != name for k, n in later):
-        return None, None, "ambiguous"
-    return name, TITLES[name][0], "matched"
-
-
-@F.pandas_udf(row_type("canonical_title string, role_family string, outcome string"))
-def _run(s: pd.Series) -> pd.DataFrame:
-    known = {v: title_of(v) for v in s.dropna().unique()}
-    return pd.DataFrame([known.get(v, (None, None, "no_title")) for v in s], columns=["canonical_title", "role_family", "outcome"])
+
+_WHOLE = r"(?:^| )(?:{})(?= |$)"
+
+
+def _any_of(words) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+#: Of a segment as tokens with one space between: its alias at the end, foreign signals by family, doubtful words, and a role at the end.
+_ENDING = rf"(?:^| )({_any_of(a for _, aliases in TITLES.values() for a in aliases)})$"
+_FOREIGN = {family: _WHOLE.format(_any_of(w for f, signals in SIGNALS.items() if f != family for w in signals)) for family in sorted({f for f, _ in TITLES.values()})}
+_DOUBTFUL = _WHOLE.format(_any_of(BLOCKERS | ROLES))
+_ROLE = rf"(?:^| )(?:{_any_of(LAST_ROLES)})(?: (?:i|ii|iii|iv|v|[1-9][0-9]?))?$"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+
+
+def _plain(title: Column) -> Column:
+    """The title in lower-case ASCII, as far as its characters have a place in one."""
+    x = F.translate(F.translate(title, _WIDE, "".join(map(chr, range(0x21, 0x7F)))), _DASHES, "-" * len(_DASHES))
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[\u2028\u2029]", "|"), r"\p{Zs}", " "), "[\t\r\n]", " ")
+    return F.when(~x.rlike(r"[^\x00-\x7F]"), F.lower(x)).otherwise("\x00")
+
+
+def _read(segment: Column) -> Column:
+    """struct(kind, name) of a segment: match, doubt, role or none."""
+    name, family = F.lit(None).cast("string"), F.lit(None).cast("string")
+    alias = F.regexp_extract(segment, _ENDING, 1)
+    before = F.substring(segment, F.lit(1), F.length(segment) - F.length(alias))
+    for title, (group, aliases) in TITLES.items():
+        name, family = F.when(alias.isin(*aliases), title).otherwise(name), F.when(alias.isin(*aliases), group).otherwise(family)
+    foreign = F.lit(False)
+    for group, pattern in _FOREIGN.items():
+        foreign = foreign | ((family == group) & F.btrim(before).rlike(pattern))
+    kind = F.when(alias == "", F.when(segment.rlike(_ROLE), "role").otherwise("none")).when(F.coalesce(foreign, F.lit(False)) | F.btrim(before).rlike(_DOUBTFUL), "doubt").otherwise("match")
+    return F.struct(kind.alias("kind"), name.alias("name"), family.alias("family"))
 
 
 def classify_title(title: Column) -> Column:
     """struct(canonical_title, role_family, outcome), the first two struct(value, provenance)."""
-    r = _run(title)
-    p = F.when(r["outcome"] == "matched", "inferred").otherwise("unavailable")
-    return F.struct(F.struct(r["canonical_title"].alias("value"), p.alias("provenance")).alias("canonical_title"), F.struct(r["role_family"].alias("value"), p.alias("provenance")).alias("role_family"), r["outcome"].alias("outcome"))
+
+    def decide(text: Column) -> Column:
+        bare = F.regexp_replace(text, r"^ *\[ *expression +of +interest *\]", "")
+        parts = F.transform(F.split(bare, r"[,;:|/@()\[\]{}]|(?<= )-(?= )"), lambda s: F.array_join(F.regexp_extract_all(s, F.lit("([a-z0-9]+|&)"), F.lit(1)), " "))
+        return bind(F.transform(F.filter(parts, lambda s: s != ""), _read), judge)
+
+    def judge(r: Column) -> Column:
+        first, later = F.get(r, F.lit(0)), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+        kind = first["kind"]
+        several = F.exists(later, lambda x: x["kind"].isin("match", "doubt"))
+        unsure = F.exists(later, lambda x: x["kind"].isin("doubt", "role") | ((x["kind"] == "match") & (x["name"] != first["name"])))
+        outcome = F.when(F.size(r) == 0, "unsupported").when((kind == "doubt") | ((kind != "match") & several), "ambiguous").when(kind != "match", "unsupported").when(unsure, "ambiguous").otherwise("matched")
+        return F.struct(outcome.alias("outcome"), first["name"].alias("name"), first["family"].alias("family"))
+
+    def answer(text: Column) -> Column:
+        none = F.lit(None).cast("string")
+        fixed = lambda o: F.struct(F.lit(o).alias("outcome"), none.alias("name"), none.alias("family"))
+        return F.when(text.isNull(), fixed("no_title")).when(~text.rlike(r"^[a-z0-9 ,;:|/@()\[\]{}&+-]*$"), fixed("unsupported")).when(F.btrim(text) == "", fixed("no_title")).otherwise(decide(text))
+
+    def shape(r: Column) -> Column:
+        hit = r["outcome"] == "matched"
+        field = lambda v: found(F.when(hit, v), "inferred")
+        return F.struct(field(r["name"]).alias("canonical_title"), field(r["family"]).alias("role_family"), r["outcome"].alias("outcome"))
+
+    return bind(bind(F.when(title.isNotNull(), _plain(title)), answer), shape)

@@ -134,12 +134,38 @@ def test_location(spark):
         assert r.r.city.value is None
 
 
-def test_titles():
-    for t, want in {"Senior Software Engineer": "software-engineer", "Engineering Manager - Security": "engineering-manager", "Ｐｒｏｄｕｃｔ Manager": "product-manager", "[Expression of Interest] Product Manager": "product-manager"}.items():
-        assert titles.title_of(t)[::2] == (want, "matched")
-    for t, want in {"Software Engineer / Data Scientist": "ambiguous", "Product Security Engineer": "ambiguous", "Sales Engineer": "unsupported", "---": "unsupported", " \t": "no_title", "Engineer №1": "unsupported"}.items():
-        assert titles.title_of(t)[2] == want, t
-    assert titles.title_of(("Software Engineer, " * 100_000)[:-2])[0] == "software-engineer"
+TITLES = {
+    "Senior Software Engineer": ("software-engineer", "matched"),
+    "Engineering Manager - Security": ("engineering-manager", "matched"),
+    "Ｐｒｏｄｕｃｔ Manager": ("product-manager", "matched"),
+    "[Expression of Interest] Product Manager": ("product-manager", "matched"),
+    "Director of Engineering": ("engineering-director", "matched"),
+    "Software\tEngineer (Software Engineer)": ("software-engineer", "matched"),
+    "Software Engineer – Berlin": ("software-engineer", "matched"),
+    "Software Engineer / Data Scientist": (None, "ambiguous"),
+    "Product Security Engineer": (None, "ambiguous"),
+    "Director, Software Engineer": (None, "ambiguous"),
+    "Manager of Software Engineer": (None, "ambiguous"),
+    "Recruiter / Account Executive": (None, "ambiguous"),
+    "Software Engineer, Tech Lead II": (None, "ambiguous"),
+    "Software Engineering": (None, "unsupported"),
+    "Sales Engineer": (None, "unsupported"),
+    "---": (None, "unsupported"),
+    "Engineer №1": (None, "unsupported"),
+    "Ingénieur": (None, "unsupported"),
+    " \t": (None, "no_title"),
+    "": (None, "no_title"),
+    None: (None, "no_title"),
+}
+
+
+def test_titles(spark):
+    long = ("Software Engineer, " * 2_000)[:-2]
+    df = spark.createDataFrame([(t,) for t in [*TITLES, long]], "t string")
+    for r in df.select("t", titles.classify_title(F.col("t")).alias("r")).collect():
+        name, outcome = TITLES.get(r.t, ("software-engineer", "matched"))
+        assert (r.r.canonical_title.value, r.r.outcome) == (name, outcome), r.t
+        assert r.r.canonical_title.provenance == r.r.role_family.provenance == ("inferred" if name else "unavailable")
 
 
 def test_arrangements():
