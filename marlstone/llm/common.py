@@ -92,7 +92,7 @@ def tidy(fn):
             trim()
         trim()
 
-    if fn.__code__.co_argcount == 2:  # Spark counts the arguments of functions of groups
+    if fn.__code__.co_argcount - len(fn.__defaults__ or ()) == 2:  # Spark counts the arguments of functions of groups
 
         @functools.wraps(fn)
         def run(key, group):
