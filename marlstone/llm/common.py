@@ -115,16 +115,16 @@ def gentle(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
-    """The rows of df whose key (a long) may be one of need's: all that are, and few others.
+def _may_hold(need: DataFrame, key: str, most_bits: int):
+    """A condition on a long column: true for all keys of need, and for few others.
 
-    A Bloom filter of at most 2**most_bits bits (8 MB) is made by an aggregation and broadcast, so that a join after it shuffles little
-    of df.  With many more keys than bits it lets more rows pass, at worst all: the join decides, only its shuffle grows.
+    A Bloom filter of at most 2**most_bits bits (8 MB), made by an aggregation and broadcast.  With many more keys than bits it is true for
+    more, at worst for all.
     """
-    spark = df.sparkSession
+    spark = need.sparkSession
     bits = max(10, min(most_bits, (16 * need.count()).bit_length()))
-    places = lambda: [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << bits)) for i in range(4)]
-    at = need.select(F.explode(F.array(*places())).alias("at"))
+    places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << bits)) for i in range(4)]
+    at = need.select(F.explode(F.array(*places)).alias("at"))
     got = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
@@ -138,7 +138,21 @@ def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> Dat
             out &= (shared.value[x >> 6] >> (x & 63) & 1).astype(bool)
         return pa.array(out)
 
-    return df.filter(F.col(key).isNotNull()).filter(may_hold(*places()))
+    return may_hold(*places)
+
+
+def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
+    """The rows of df whose key may be one of need's: all that are, and few others, so that a join after it shuffles little of df.
+
+    The join decides: where the filter lets more rows pass, only its shuffle grows.
+    """
+    return df.filter(F.col(key).isNotNull()).filter(_may_hold(need, key, most_bits))
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
+    """The rows of df whose key is not one of gone's (null keys stay); only rows that may be are shuffled, by a join that decides."""
+    may = F.col(key).isNotNull() & _may_hold(gone, key, most_bits)
+    return df.filter(~may).union(df.filter(may).join(gone, key, "left_anti").select(*df.columns))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

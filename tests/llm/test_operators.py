@@ -285,6 +285,8 @@ def test_likely_rows_hold_all_needed(spark):
     for bits in (26, 10):  # ample, and far too few
         got = C.likely(df, need, "id", bits)
         assert got.join(need, "id", "left_semi").count() == df.join(need, "id", "left_semi").count()
+        left = C.without(df.union(spark.createDataFrame([(None, "n")], "id long, t string")), need, "id", bits)
+        assert {r.id for r in left.collect()} == {None, *range(-3000, 3000)} - set(range(-5000, 5000, 7)) and left.columns == df.columns
     assert C.likely(df, need, "id").count() < 1000 and C.likely(df, need.limit(0), "id").count() == 0
 
 
