@@ -27,7 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     flat, (id_at, text_at) = common.flattened(docs, "doc_id", "text")
     slim = flat.select(F.col(f"c{id_at}").alias("doc_id"), F.col(f"c{text_at}").alias("text"))
     gone = minhash.near_duplicates(slim, shingle=5, num=80, den=100).filter("not kept").select(F.col("doc_id").alias(f"c{id_at}")).distinct()
-    return flat.join(gone, f"c{id_at}", "left_anti").select(*flat.columns).toDF(*docs.columns)
+    gone, _ = common.store(gone, "gone")
+    return common.without(flat, gone, f"c{id_at}").toDF(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
