@@ -59,7 +59,7 @@ def test_resolver_and_replay(spark):
     assert again <= {"UPDATED", "QUARANTINED", "PARSE_ERROR"}  # a replay makes nothing new
 
 
-FAST = [n for n in catalog.SQL if not n.startswith(("resolve", "outcome", "conflict", "raw_st", "run_raw", "run_jobs", "run_provider"))]
+FAST = [n for n in catalog.SQL if n == "run_search_attempts" or not n.startswith(("resolve", "outcome", "conflict", "raw_st", "run_search", "run_raw", "run_jobs", "run_provider"))]
 
 
 @pytest.fixture(scope="module")
