@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import html, primitives, urls
+from .functions import html, keys, primitives, urls
 from .operators import constraints, evaluate, integrity, ranking, resolve, runs, telemetry
 from .plans import planner
 from .session import load
@@ -234,6 +234,13 @@ def aware_timestamps(spark, d):
     return load(spark, d, "events").select("event_id", F.to_timestamp_ntz(F.date_format(primitives.aware_timestamp(text), "yyyy-MM-dd HH:mm:ss")).alias("at"))
 
 
+@query("""SELECT page_id, sha256(unhex('0104') || unhex(printf('%08x', strlen(url))) || url::BLOB)[1:16] AS url_key,
+    sha256(unhex('0105') || unhex('00000001') || 'p'::BLOB || unhex('00000001') || 's'::BLOB || unhex('00000001') || 't'::BLOB || unhex(printf('%08x', length(page_id::VARCHAR))) || (page_id::VARCHAR)::BLOB)[1:16] AS requisition_key FROM pages""")
+def lock_keys(spark, d):
+    shown = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    return load(spark, d, "pages").select("page_id", shown(keys.url_hash(c("url"))).alias("url_key"), shown(keys.requisition_hash(F.lit("p"), F.lit("s"), F.lit("t"), c("page_id").cast("string"))).alias("requisition_key"))
+
+
 @query("SELECT c_custkey, lower(c_name) || '@x.example' AS email, c_custkey || '|' || lower(c_mktsegment) || '.name' AS path FROM customer")
 def emails_and_paths(spark, d):
     return load(spark, d, "customer").select("c_custkey", primitives.email(F.concat(F.lit(" \t"), c("c_name"), F.lit("@X.example\n"))).alias("email"), primitives.label_path(c("c_custkey").cast("string"), F.lower("c_mktsegment"), F.lit("name")).alias("path"))
@@ -300,6 +307,22 @@ def label_corpus(spark, d):
 
 
 # ---- acquisition
+@query("SELECT page_id::VARCHAR AS source_job_id, 'Cook [REDACTED_EMAIL]' AS title, 'Line ' || page_id || chr(10) || 'Call [REDACTED_PHONE] & more' AS description FROM pages WHERE page_id % 3 <> 0")
+def sanitized_postings(spark, d):
+    k = c("page_id")
+    text = F.concat(F.lit("<p>Line  "), k.cast("string"), F.lit("</p><style>p{}</style><div>Call +1 (555) 010-9999 &amp; more</div>"))
+    rows = load(spark, d, "pages").select(F.lit("s").alias("source"), k.cast("string").alias("source_job_id"), F.when(k % 3 == 0, " ").otherwise("Cook a.b@c.org").alias("title"), F.lit(None).cast("string").alias("location"), text.alias("description"), F.lit(None).cast("string").alias("compensation_text"))
+    return postings.sanitized(rows).select("source_job_id", "title", "description")
+
+
+@query("SELECT page_id AS seq, 'fetched' AS status FROM pages WHERE page_id % 2 = 0")
+def landed_rows(spark, d):
+    """Raw rows of one run, from a table that another run writes to as well."""
+    at, rows = scratch(spark, "raw"), load(spark, d, "pages").select(c("page_id").alias("seq"), "url")
+    postings.land_raw(rows.filter("seq % 2 = 1"), at, "other", _START)
+    return postings.land_raw(rows.filter("seq % 2 = 0"), at, "own", _START).select("seq", "status")
+
+
 @query("SELECT 'b' || (o_custkey % 5) AS board, o_orderkey::VARCHAR AS source_job_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey::VARCHAR) AS n FROM orders WHERE o_orderkey % 3 <> 0) WHERE n <= 10")
 def acquired_postings(spark, d):
     k = c("o_orderkey")

@@ -195,3 +195,39 @@ def test_skills_and_taxonomy():
     for bad in ([("a", "A", ["x"]), ("b", "B", ["x"])], [("a", "A", ["a"])], [("A", "A", [])], [("a", "B", [])], [("a", "A", []), ("a", "A", [])]):
         with pytest.raises(taxonomy.TaxonomyError):
             taxonomy.index(bad)
+
+
+def wide(text):
+    """Full-width forms of ASCII."""
+    return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
+
+
+def swapped(text):
+    return text.swapcase()
+
+
+def spaced(text):
+    return f"\t {text} \n"
+
+
+def broken(text):
+    """A zero-width space within."""
+    return text[:3] + "​" + text[3:]
+
+
+def test_titles_under_transforms(spark):
+    """Width, case and outer white space change nothing; a character without a place in a title makes it unsupported."""
+    plain = [t for t in TITLES if t and t.isascii() and t.strip(" \t-")]
+    rows = [(t, f.__name__, f(t)) for t in plain for f in (wide, swapped, str.upper, spaced, broken)]
+    df = spark.createDataFrame(rows, "t string, how string, x string")
+    for r in df.select("t", "how", titles.classify_title(F.col("x")).alias("r")).collect():
+        want = (None, "unsupported") if r.how == "broken" else TITLES[r.t]
+        assert (r.r.canonical_title.value, r.r.outcome) == want, r
+
+
+@pytest.mark.parametrize("change", [wide, str.upper, spaced])
+def test_classifiers_under_transforms(change):
+    for title, text in (("Engineer (5+ years)", None), (None, "This role requires 3 to 5 years of experience."), ("Engineer, 3-5 years, preferred", None), (None, "No experience required.")):
+        assert experience.experience_of(title and change(title), text and change(text)) == experience.experience_of(title, text), (title, text)
+    for fn, title in ((A.remote_type_of, "Engineer (Remote)"), (A.employment_type_of, "Contract, Full Time"), (A.seniority_of, "Sr. Staff Engineer")):
+        assert fn(change(title), None) == fn(title, None), title
