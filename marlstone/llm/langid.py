@@ -194,41 +194,43 @@ def fit(docs: DataFrame, *, docs_per_language: int = 400, windows_per_doc: int =
 
 
 class Reader:
-    """Reads documents with a model; weights are kept in the form that reading needs (gates of half the argument, biases added)."""
+    """Reads documents with a model; weights are kept in the form that reading needs: gates of half the argument, biases added, and one
+    column a sequence, so that every step works on whole rows of memory."""
 
     def __init__(self, model: Model):
         p, self.n = model.params, len(model.languages)
         h = p["uf"].shape[0]
         half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        turned = lambda x: np.ascontiguousarray(x.T.astype(np.float32))
         self.h = h
-        self.x = {d: ((p["x" + d] + p["c" + d]) * half).astype(np.float32) for d in "fb"}
-        self.u = {d: (p["u" + d] * half).astype(np.float32) for d in "fb"}
-        self.o = {d: p["o" + d].astype(np.float32) for d in "fb"}
+        self.x = {d: turned((p["x" + d] + p["c" + d]) * half) for d in "fb"}
+        self.u = {d: turned(p["u" + d] * half) for d in "fb"}
+        self.o = {d: turned(p["o" + d]) for d in "fb"}
         self.bias = p["bias"]
         self.together = max(32, min(512, 4096 // self.n))
 
     def _logits(self, d: str, codes: np.ndarray) -> np.ndarray:
-        """[languages, T, B] of sequences that start at 0; what follows the end of one is of no meaning."""
+        """[T, languages, B] of sequences that start at 0; what follows the end of one is of no meaning."""
         t_max, n = codes.shape
         h, x_of, u_of = self.h, self.x[d], self.u[d]
-        states, now = np.empty((t_max, n, h), np.float32), np.zeros((n, h), np.float32)
-        x, u, gates, c = np.empty((n, 3 * h), np.float32), np.empty((n, 3 * h), np.float32), np.empty((n, 2 * h), np.float32), np.empty((n, h), np.float32)
+        states, now = np.empty((t_max, h, n), np.float32), np.zeros((h, n), np.float32)
+        x, u, gates, c = np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
         for t in range(t_max):
-            np.take(x_of, codes[t], axis=0, out=x, mode="clip")
-            np.matmul(now, u_of, out=u)
-            np.add(x[:, : 2 * h], u[:, : 2 * h], out=gates)
+            np.take(x_of, codes[t], axis=1, out=x, mode="clip")
+            np.matmul(u_of, now, out=u)
+            np.add(x[: 2 * h], u[: 2 * h], out=gates)
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            np.multiply(gates[:, h:], u[:, 2 * h :], out=c)
-            c += x[:, 2 * h :]
+            np.multiply(gates[h:], u[2 * h :], out=c)
+            c += x[2 * h :]
             np.tanh(c, out=c)
             new = states[t]
             np.subtract(now, c, out=new)
-            new *= gates[:, :h]
+            new *= gates[:h]
             new += c
             now = new
-        return np.ascontiguousarray((states.reshape(-1, h) @ self.o[d]).T).reshape(self.n, t_max, n)
+        return np.matmul(self.o[d], states)
 
     def _stretches(self, raw: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Sums [stretches, languages + 1] over the letters at [first, last), read from start to end."""
@@ -241,13 +243,13 @@ class Reader:
         use = (place >= first) & (start + steps < last) & _LETTERS[codes]
         ahead = self._logits("f", codes)
         back = self._logits("b", raw[np.clip(end - 1 - steps, 0, top)])
-        turn = np.clip(size - 1 - steps, 0, t_max - 1)
-        ahead += np.take_along_axis(back, np.broadcast_to(turn, (self.n, *turn.shape)), axis=1)
-        ahead += self.bias[:, None, None]
-        ahead -= ahead.max(0)
+        turn = np.clip(size - 1 - steps, 0, t_max - 1)[:, None]
+        ahead += np.take_along_axis(back, np.broadcast_to(turn, back.shape), axis=0)
+        ahead += self.bias[:, None]
+        ahead -= ahead.max(1, keepdims=True)
         np.exp(ahead, out=ahead)
-        ahead *= use / ahead.sum(0)
-        return np.concatenate([ahead.sum(1), use.sum(0)[None]]).T
+        ahead *= (use / ahead.sum(1))[:, None]
+        return np.concatenate([ahead.sum(0), use.sum(0)[None]]).T
 
     def pool(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[documents, languages + 1]: sums of probabilities over letter positions, and the number of these."""
