@@ -118,27 +118,22 @@ def gentle(spark: SparkSession) -> SparkSession:
 def _may_hold(need: DataFrame, key: str, most_bits: int):
     """A condition on a long column: true for all keys of need, and for few others.
 
-    A Bloom filter of at most 2**most_bits bits (8 MB), made by an aggregation and broadcast.  With many more keys than bits it is true for
-    more, at worst for all.
+    A Bloom filter of at most 2**most_bits bits (8 MB), made by an aggregation; it goes to tasks as the value of a subquery of one row and
+    is read in the JVM.  With many more keys than bits it is true for more, at worst for all.
     """
     spark = need.sparkSession
     bits = max(10, min(most_bits, (16 * need.count()).bit_length()))
     places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << bits)) for i in range(4)]
     at = need.select(F.explode(F.array(*places)).alias("at"))
     got = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.int64)
+    words = np.zeros(1 << (bits - 6), "<i8")
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(words)
-
-    @F.arrow_udf("boolean")
-    def may_hold(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        out = np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            x = x.to_numpy(zero_copy_only=False)
-            out &= (shared.value[x >> 6] >> (x & 63) & 1).astype(bool)
-        return pa.array(out)
-
-    return may_hold(*places)
+    data = spark.createDataFrame([(words.tobytes(),)], "data binary").scalar()
+    holds = F.lit(True)
+    for p in places:
+        byte = F.conv(F.hex(F.substring(data, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        holds = holds & (F.getbit(byte, (p % 8).cast("int")) == 1)
+    return holds
 
 
 def likely(df: DataFrame, need: DataFrame, key: str, most_bits: int = 26) -> DataFrame:
