@@ -131,7 +131,7 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return x, h[x], sound[edge], sound[last]
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK // 2) -> tuple[np.ndarray, ...]:
     """Anchors of documents: (place, hash, first window, last window, two hashes of the context), in order of first window.
 
     Documents are taken in blocks, and long ones in stretches that begin with the first window of an anchor.
@@ -169,10 +169,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BL
     return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
-def _read(path: str, text: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+def _read(path: str, text: str, whole: bool = False) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The table of a file (its texts alone, or all columns), and the bytes and offsets of the texts."""
     fs, at = C.filesystem(path)
     with fs.open_input_file(at) as f:
-        t = pq.read_table(f)
+        t = pq.read_table(f, columns=None if whole else [text], use_threads=False, pre_buffer=False)
     return t, *C.text_buffer(t.column(text))
 
 
@@ -425,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                     windows.append(np.frombuffer(f, "<i8").reshape(2, -1))
                 elif s >= 0:
                     rows[s] = f
-        table, raw, offs = _read(paths[part], text_name)
+        table, raw, offs = _read(paths[part], text_name, True)
         if rows:
             lo, k, _, flag = load(paths[part], rows)
             windows.append(np.stack([lo[flag == 1], k[flag == 1]]))
