@@ -32,6 +32,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes handled at once by the vectorised code; a longer word makes its block longer.
 BLOCK = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -53,10 +54,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back: lineage is cut, any executor can read the files."""
+def store(df: DataFrame, tag: str, tidy_shuffles: bool = False) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it back: lineage is cut, any executor can read the files.
+
+    With tidy_shuffles, Spark deletes the shuffle files of the write as it ends: nothing reads them again, and release() often finds their plan
+    still held somewhere in the JVM.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    if tidy_shuffles:
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

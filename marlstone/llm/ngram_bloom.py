@@ -199,7 +199,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), C.packed([keys]), C.packed([counts.astype("<i8")]), C.packed([levels_n]), pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())], ["slot", "keys", "counts", "levels", "total", "n"])
 
     dealt = slim.mapInArrow(count, "slot long, keys binary, small binary, over binary")
-    table, table_path = C.store(dealt.groupBy("slot").applyInArrow(add, "slot long, keys binary, counts binary, levels binary, total long, n long"), "counts")
+    table, table_path = C.store(dealt.groupBy("slot").applyInArrow(add, "slot long, keys binary, counts binary, levels binary, total long, n long"), "counts", tidy_shuffles=True)
     tokens = vocabulary = 0
     shares = np.zeros(64, np.int64)
     for r in table.filter("slot % 2 = 0").select("levels", "total", "n").toLocalIterator():
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, *, head: int = 1_000_000, max_bits: int = 1 << 28, bits
     counts = np.concatenate([*(np.frombuffer(bytes(r.counts), "<i8") for r in heads), np.zeros(0, np.int64)])
     order = np.argsort(keys)
     segs = table.select("slot", "keys", "counts").withColumn("seg", F.shiftrightunsigned("slot", 1)).groupBy("seg").applyInArrow(fill, "seg long, bits binary, keys binary, counts binary")
-    segments, _ = C.store(segs, "segments")
+    segments, _ = C.store(segs, "segments", tidy_shuffles=True)
     C.discard(spark, table_path)
     C.release(spark)
     keys, counts = keys[order], counts[order]
@@ -352,7 +352,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks, _ = C.store(slim.mapInArrow(gather, "block long, ids binary, nulls binary, sizes binary, text binary"), "blocks")
     asks = blocks.select("block", "sizes", "text").mapInArrow(ask, "seg long, kind long, block long, keys binary")
-    answers, _ = C.store(asks.groupBy("seg").cogroup(model.segments.groupBy("seg")).applyInArrow(answer, "block long, kind long, seg long, levels binary, counts binary"), "answers")
+    answers, _ = C.store(asks.groupBy("seg").cogroup(model.segments.groupBy("seg")).applyInArrow(answer, "block long, kind long, seg long, levels binary, counts binary"), "answers", tidy_shuffles=True)
     del asks
     C.release(spark)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sum_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -213,6 +215,19 @@ def test_no_bigram_is_dropped_from_a_full_filter(spark, odd):
         assert any(abs(r.score - x) < 1e-6 * abs(x) for x in want[r.doc_id]), r
 
 
+def test_language_model_leaves_no_shuffle_files(spark, odd):
+    """Shuffles whose rows are stored are deleted by then: beside those of the next step they would count as disk."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    known, setting, docs = files(), spark.conf.get(C._CLEANUP, None), frame(spark, odd)
+    out = ngram_bloom.score(docs, ngram_bloom.fit(docs, tokens_per_segment=500))
+    until = time.time() + 20
+    while files() - known and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - known and spark.conf.get(C._CLEANUP, None) == setting
+    assert out.count() == len(odd)
+
+
 def test_bloom_levels():
     keys = C.mix(np.arange(4000, dtype=np.uint64))
     level = ngram_bloom.levels(np.random.default_rng(1).zipf(1.6, 4000).clip(max=10**6))
