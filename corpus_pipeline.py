@@ -13,6 +13,9 @@ Null ids are kept as they are.  All stages but the last return the columns they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("packing", pack)]
+
+def _sparing(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with Arrow batches of 2 MB and after a collection of garbage: buffers, and a heap once filled, stay from stage to stage otherwise."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.shrink(spark)
+        return stage(common.gentle(spark, "2m"), docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _sparing(f)) for name, f in (("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("packing", pack))]
 #: Language ID, suffix sorting, SimHash and packing are not for SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 

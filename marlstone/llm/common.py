@@ -86,6 +86,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Has executors collect their garbage, so that a heap that the steps before have filled goes back to the system.
+
+    A task a core: an idle cluster deals them to all executors; one that gets none keeps its memory, nothing else depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def trim() -> None:
     """Gives freed memory back to the system: large arrays otherwise stay with a long-lived worker."""
     pa.default_memory_pool().release_unused()
@@ -120,11 +129,11 @@ def tidy(fn):
     return run
 
 
-def gentle(spark: SparkSession) -> SparkSession:
-    """Arrow batches of 8 MB instead of Spark's default of 64 MB (another value that was set stays): long texts make large batches."""
+def gentle(spark: SparkSession, size: str = "8m") -> SparkSession:
+    """Arrow batches of 8 MB, or of size, instead of Spark's default of 64 MB (another value that was set stays): long texts make large batches."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("64MB", "67108864", "67108864b"):
-        spark.conf.set(name, "8m")
+    if spark.conf.get(name) in ("64MB", "67108864", "67108864b") or size != "8m" and spark.conf.get(name) == "8m":
+        spark.conf.set(name, size)
     return spark
 
 
@@ -226,7 +235,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i modulo 2**64 for i < n; kept for the usual block, made anew beyond it."""
     if _powers and len(_powers[0]) >= n:
         return _powers[0], _powers[1]
-    size = max(n, BLOCK + (1 << 16))
+    size = max(1 << (n - 1).bit_length(), BLOCK // 4) if n <= 2 * BLOCK else n
     made = []
     for b in (BASE, INVERSE):
         p = np.full(size, b, np.uint64)
@@ -247,6 +256,17 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def spans_hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = BLOCK // 8) -> np.ndarray:
+    """The same hashes for ascending spans that do not overlap, stretch by stretch: in memory that long texts do not raise."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + size, "right")))
+        out[i:j] = span_hashes(raw[a : int(ends[j - 1])], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the number of words before each document (one more than documents)."""
     space = SPACE[raw]

@@ -170,7 +170,7 @@ def benchmark_passes(items: DataFrame, shingle: int, items_per_pass: int, id_col
 
 
 def _found(bench: Benchmark, raw: np.ndarray, offsets: np.ndarray, shingle: int, least: float) -> Iterator[tuple[int, tuple]]:
-    for i, j in C.blocks(offsets):
+    for i, j in C.blocks(offsets, C.BLOCK // 4):
         words, before = C.words_of(*folded(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
         whole = C.shingle_hashes(words, shingle)
         upto = np.concatenate([[0], np.cumsum(bench.hits(whole))])

@@ -54,17 +54,19 @@ def difference_cover(codes: np.ndarray) -> np.ndarray:
         order = np.lexsort((t[n12 + 2], t[n12 + 1], t[n12]))
         a = n12[order]
         fresh = np.concatenate([[True], (t[a[1:]] != t[a[:-1]]) | (t[a[1:] + 1] != t[a[:-1] + 1]) | (t[a[1:] + 2] != t[a[:-1] + 2])])
-    names = np.empty(len(n12), np.int64)
-    names[order] = np.cumsum(fresh)
-    rank = np.zeros(n + 5, np.int64)
+    key = sorted_key = a = None  # memory is given back early, above all before the recursion
     if fresh.all():
         sa12 = n12[order]
     else:  # recurse on the names, class 1 before class 2
-        one, two = n12[n12 % 3 == 1], n12[n12 % 3 == 2]
-        rank[n12] = names
-        place = np.concatenate([one, two])
-        sa12 = place[difference_cover(rank[place])]
-    rank[:] = 0
+        rank = np.zeros(n + 5, np.int64)
+        rank[n12[order]] = np.cumsum(fresh)
+        place = np.concatenate([n12[n12 % 3 == 1], n12[n12 % 3 == 2]])
+        names = rank[place]
+        n12 = order = fresh = rank = None
+        sa12 = place[difference_cover(names)]
+        names = place = None
+    n12 = order = fresh = None
+    rank = np.zeros(n + 5, np.int64)
     rank[sa12] = np.arange(1, len(sa12) + 1)
     sa12 = sa12[sa12 < n]
     # the remaining suffixes, by first symbol and the rank of what follows
@@ -75,6 +77,7 @@ def difference_cover(codes: np.ndarray) -> np.ndarray:
     zero, key0 = zero[order], key0[order]
     one, two = sa12[sa12 % 3 == 1], sa12[sa12 % 3 == 2]
     below = np.searchsorted((t[one] << bits) | rank[one + 1], key0)
+    one = order = key0 = None
     pair0, pair2 = (t[zero] << 32 | t[zero + 1]), (t[two] << 32 | t[two + 1])
     if int(t.max()) < 2**16 and bits <= 31:
         k0, k2 = (t[zero] << 16 | t[zero + 1]) << bits | rank[zero + 2], (t[two] << 16 | t[two + 1]) << bits | rank[two + 2]
@@ -82,6 +85,7 @@ def difference_cover(codes: np.ndarray) -> np.ndarray:
         pairs = np.unique(np.concatenate([pair0, pair2]))
         k0, k2 = np.searchsorted(pairs, pair0) << bits | rank[zero + 2], np.searchsorted(pairs, pair2) << bits | rank[two + 2]
     below = below + np.searchsorted(k2, k0)
+    k0 = k2 = pair0 = pair2 = pairs = two = t = rank = None
     out = np.empty(n, np.int64)
     at = below + np.arange(len(zero))
     out[at] = zero
@@ -131,7 +135,7 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return x, h[x], sound[edge], sound[last]
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK // 2) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BLOCK // 4) -> tuple[np.ndarray, ...]:
     """Anchors of documents: (place, hash, first window, last window, two hashes of the context), in order of first window.
 
     Documents are taken in blocks, and long ones in stretches that begin with the first window of an anchor.
@@ -169,12 +173,24 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, block: int = C.BL
     return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
-def _read(path: str, text: str, whole: bool = False) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The table of a file (its texts alone, or all columns), and the bytes and offsets of the texts."""
+def _groups(path: str, columns: list[str] | None = None) -> Iterator[pa.Table]:
+    """The row groups of a file (these columns of them), one after another."""
     fs, at = C.filesystem(path)
     with fs.open_input_file(at) as f:
-        t = pq.read_table(f, columns=None if whole else [text], use_threads=False, pre_buffer=False)
-    return t, *C.text_buffer(t.column(text))
+        file = pq.ParquetFile(f, pre_buffer=False)
+        for i in range(file.num_row_groups):
+            yield file.read_row_group(i, columns=columns, use_threads=False)
+
+
+def _texts(path: str, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of a file, of size bytes; but for these only one row group is held at a time."""
+    raw, offsets, at = np.empty(size, np.uint8), [np.zeros(1, np.int64)], 0
+    for t in _groups(path, [text]):
+        data, offs = C.text_buffer(t.column(text))
+        raw[at : at + len(data)] = data
+        offsets.append(offs[1:] + at)
+        at += len(data)
+    return raw, np.concatenate(offsets)
 
 
 def _differs(v: np.ndarray) -> np.ndarray:
@@ -216,6 +232,7 @@ def bucket_repeats(texts: list[np.ndarray], place: np.ndarray, length: int) -> n
     joined = np.concatenate(texts).astype(np.int64) + 2
     codes[:] = 1  # what stands between two texts
     codes[_spread(at[:-1], sizes)] = joined
+    del joined
     order = difference_cover(codes)
     n = sizes - length + 1
     starts = _spread(at[:-1], n)
@@ -290,14 +307,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     if not files:
         return slim if texts else spark.createDataFrame([], schema)
     segments = max(parts, sum(f[2] for f in files) // (35 * 500_000))  # a segment and a file share a row, if they share an anchor
-    listed = spark.createDataFrame([f[:2] for f in files], "part long, path string").repartition(len(files), "part")
+    listed = spark.createDataFrame(files, "part long, path string, size long").repartition(len(files), "part")
 
     @C.tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, raw, offs = _read(path, text_name)
-                x, h, lo, hi, ctx, ctx2 = anchors(raw, offs, length)
+            for part, path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, h, lo, hi, ctx, ctx2 = anchors(*_texts(path, text_name, size), length)
                 seg = (h >> np.uint64(40)) % np.uint64(segments)
                 order = np.lexsort((np.arange(len(h)), ctx2, ctx, h))
                 first = _differs(h[order]) | _differs(ctx[order]) | _differs(ctx2[order])
@@ -311,8 +327,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                 low = h[leads][order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
                 c, c2 = ctx[leads][order], ctx2[leads][order]
                 own = [s for s in range(segments) if cut[s + 1] > cut[s]]
-                for k in range(0, len(own), 256):
-                    some = own[k : k + 256]
+                step = max(1, min(256, 100_000 * len(own) // max(1, len(c))))  # rows of a batch: some 100,000 anchors
+                for k in range(0, len(own), step):
+                    some = own[k : k + step]
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([part] * len(some), pa.int64()), C.packed([low[cut[s] : cut[s + 1]].ravel() for s in some]), C.packed([c[cut[s] : cut[s + 1]] for s in some]), C.packed([c2[cut[s] : cut[s + 1]] for s in some])], ["seg", "part", "grams", "contexts", "more"])
 
     @C.tidy
@@ -336,7 +353,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
 
     dealt = listed.mapInArrow(find, "seg long, part long, grams binary, contexts binary, more binary")
     flags, _ = C.store(dealt.groupBy("seg").applyInArrow(judge, "part long, seg long, flags binary, n long"), "flags")
-    paths = {p: path for p, path, _ in files}  # a path a file, as in the plan of any scan
+    paths = {p: (path, size) for p, path, size in files}  # a path a file, as in the plan of any scan
     sorting = flags.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts, sorting * (length + 30) // BUCKET)
 
@@ -360,16 +377,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     def contexts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
         rows = {s: f for b in group for s, f in zip(b.column("seg").to_pylist(), b.column("flags").to_pylist(), strict=True)}
-        lo, k, x, flag = load(paths[part], rows)
+        lo, k, x, flag = load(paths[part][0], rows)
         todo = np.flatnonzero(flag >= 2)
         if not len(todo):
             return
-        _, raw, _ = _read(paths[part], text_name)
+        raw, _ = _texts(paths[part][0], text_name, paths[part][1])
         schema = ["bucket", "part", "places", "sizes", "data"]
         for some in np.array_split(todo, -(-len(todo) // 20000)):
             own = some[flag[some] == 2]
-            grams = C.mix(C.span_hashes(raw, x[own], x[own] + GRAM)) if len(raw) <= 4 * C.BLOCK else _gram_keys(raw, x[own])
-            bucket = (grams % np.uint64(buckets)).astype(np.int64)
+            bucket = (_gram_keys(raw, x[own]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             own, bucket = own[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
@@ -426,11 +442,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
                     windows.append(np.frombuffer(f, "<i8").reshape(2, -1))
                 elif s >= 0:
                     rows[s] = f
-        table, raw, offs = _read(paths[part], text_name, True)
         if rows:
-            lo, k, _, flag = load(paths[part], rows)
+            lo, k, _, flag = load(paths[part][0], rows)
             windows.append(np.stack([lo[flag == 1], k[flag == 1]]))
+            del lo, k, flag
         first, last = _covered(windows, length)
+        rows.clear()
+        windows.clear()
+        base = 0  # bytes of the row groups before
+        for table in _groups(paths[part][0]):
+            raw, offs = C.text_buffer(table.column(text_name))
+            yield from without(table, raw, offs, first - base, last - base)
+            base += len(raw)
+
+    def without(table: pa.Table, raw: np.ndarray, offs: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What finish returns of a row group; the runs of its file that go are [first, last), counted from its first byte."""
         a, b = np.searchsorted(last, offs[:-1], "right"), np.searchsorted(first, offs[1:], "left")  # runs that a document meets
         kept, removed, data = [], np.zeros(len(offs) - 1, np.int64), memoryview(raw)
         for i, (at, end) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
@@ -450,7 +476,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
             new = pa.array([None if z else t.decode("utf-8", "ignore") for t, z in zip(kept, null, strict=True)], table.schema.field(text_at).type)
             table = table.set_column(text_at, names[text_at], new)
             emptied = np.array([not t for t in kept], bool) & (np.diff(offs) > 0)
-            yield from table.filter(pa.array(~emptied)).combine_chunks().to_batches(max_chunksize=5000)
+            yield from table.filter(pa.array(~emptied)).combine_chunks().to_batches(max_chunksize=1000)
             return
         yield pa.RecordBatch.from_arrays(
             [table.column(id_at).combine_chunks(), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
@@ -465,11 +491,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
 
 
 def _gram_keys(raw: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The same keys for the grams of a long text, stretch by stretch."""
+    """Keys of the grams of a file, at ascending places, stretch by stretch."""
     out = np.empty(len(x), np.uint64)
     at = 0
     while at < len(x):
-        j = int(np.searchsorted(x, x[at] + 2 * C.BLOCK, "right"))
+        j = int(np.searchsorted(x, x[at] + C.BLOCK // 4, "right"))
         a = int(x[at])
         out[at:j] = C.mix(C.span_hashes(raw[a : int(x[j - 1]) + GRAM], x[at:j] - a, x[at:j] - a + GRAM))
         at = j

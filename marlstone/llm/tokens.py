@@ -38,6 +38,7 @@ class MemoEncoder:
     """
 
     LIMIT = 1_500_000
+    AT_ONCE = 2048  # texts that go to the library together: what it returns is many times their size
 
     def __init__(self, path: str, leading: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,7 +55,7 @@ class MemoEncoder:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for k in range(0, len(texts), self.AT_ONCE) for x in self.lib.encode_batch_fast(texts[k : k + self.AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         got = self._library(texts)
@@ -66,7 +67,9 @@ class MemoEncoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         where = np.searchsorted(self.keys, hashes)
-        self.keys, self.at, self.n = np.insert(self.keys, where, hashes), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.keys = np.insert(self.keys, where, hashes)
+        self.at = np.insert(self.at, where, at)
+        self.n = np.insert(self.n, where, n)
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, before = C.word_spans(raw, offsets)
@@ -108,7 +111,7 @@ class MemoEncoder:
         starts, ends, before = self._pieces(raw, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        keys, first, back = np.unique(C.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(C.spans_hashed(raw, starts, ends), return_index=True, return_inverse=True)
         text = raw.tobytes()
 
         def missing() -> np.ndarray:

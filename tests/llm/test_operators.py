@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -499,6 +500,38 @@ def test_repeats(spark, odd, empty, monkeypatch):
     assert suffix.remove_repeats(empty).count() == 0 and suffix.remove_repeats(empty, texts=True).count() == 0
 
 
+def test_memory_of_a_bucket():
+    """Sorting a bucket of the usual size holds some 70 bytes for each of its own; 180 before."""
+    rng = np.random.default_rng(3)
+    pool = [rng.integers(97, 105, 160).astype(np.uint8) for _ in range(200)]
+    texts = [pool[i][a : a + 130] for i, a in zip(rng.integers(0, 200, 4000).tolist(), rng.integers(0, 30, 4000).tolist(), strict=True)]
+    tracemalloc.start()
+    try:
+        suffix.bucket_repeats(texts, np.arange(4000) * 1000, 100)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashes_do_not_depend_on_stretches():
+    raw = np.frombuffer(b"ab cde " * 50 + b"x" * 400 + b" end", np.uint8)
+    starts, ends, _ = C.word_spans(raw, np.array([0, len(raw)]))
+    for size in (1, 16, 300, 10_000):
+        assert (C.spans_hashed(raw, starts, ends, size) == C.span_hashes(raw, starts, ends)).all()
+
+
+def test_files_are_read_by_row_groups(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts, path = ["a" * i + "é" if i % 3 else None for i in range(90)], str(tmp_path / "f.parquet")
+    pq.write_table(pa.table({"id": range(90), "text": texts}), path, row_group_size=7)
+    assert [t.num_rows for t in suffix._groups(path)] == [7] * 12 + [6]
+    data = "".join(t or "" for t in texts).encode()
+    raw, offsets = suffix._texts(path, "text", len(data))
+    assert raw.tobytes() == data and np.diff(offsets).tolist() == [len((t or "").encode()) for t in texts]
+
+
 def test_anchors_do_not_depend_on_blocks():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 100, 20_000).astype(np.uint8)
@@ -702,6 +735,30 @@ def test_pipeline_stages(spark):
             assert {i for i, t in rows if not grams(t) & known} <= set(got)
 
 
+def test_stages_begin_with_a_small_heap(spark):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()  # executors are in the driver here
+    count = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = count()
+    corpus_pipeline.STAGES[-1][1](spark, frame(spark, [(1, "a b")]), DATA)
+    assert count() > before
+
+
+def test_pipeline_has_small_arrow_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value, want in (("8m", "2m"), ("64MB", "2m"), ("3m", "3m")):
+            spark.conf.set(name, value)
+            corpus_pipeline.STAGES[-1][1](spark, frame(spark, [(1, "a b")]), DATA)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_on_odd_tables(spark):
     """Nulls, repeated rows and names equal but for case; no labels; nothing at all."""
     import corpus_pipeline
