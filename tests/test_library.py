@@ -247,6 +247,51 @@ def test_runs(spark, tmp_path):
             postings.replay(discovery(spark, n).postings, fields)
 
 
+def stages_of(spark, work):
+    """What work() returns, and the stages that ran in it."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        all_of = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x for x in map(all_of.apply, range(all_of.length()))}
+
+    old = set(stages())
+    out = work()
+    return out, [x for k, x in stages().items() if k not in old]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_shuffle_few_rows(spark, duck, no_broadcast):
+    got, stages = stages_of(spark, lambda: catalog.QUERIES["run_jobs"](spark, DATA).toPandas())
+    assert rows_of(got) == rows_of(duck.sql(catalog.SQL["run_jobs"]).df())
+    postings = duck.sql("select count(*) from orders where o_orderpriority[1] <> '4'").fetchall()[0][0]
+    assert sum(x.shuffleWriteRecords() for x in stages) < 7 * postings
+
+
+def test_batches_of_providers(spark):
+    """Stored keys and occurrences of other providers play no part, their jobs do."""
+    at = dt.datetime(2024, 1, 1)
+    row = lambda seq, provider, job, url, hours: (seq, provider, "s", None, job, None, None, url, at + dt.timedelta(hours=hours))
+    batches = [("p", [row(1, "p", "a", None, 3), row(2, "p", "a", "https://h.x/1", 5), row(3, "p", "b", "https://h.x/2", 1), row(4, "p", "b", "https://h.x/3", 0)]), ("q", [row(1, "q", "a", "https://h.x/2", 9)]), ("p", [row(1, "p", "b", None, 7)])]
+    for named in (False, True):
+        stored, outcomes = spark.createDataFrame([], resolve.OCCURRENCE), []
+        for n, (provider, rows) in enumerate(batches):
+            r = resolve.resolve(spark.createDataFrame(rows, POSTING), stored, f"run{n}", provider if named else None)
+            outcomes.append([x.outcome for x in r.orderBy("seq").collect()])
+            stored = resolve.next_occurrences(r, stored, provider if named else None)
+        assert outcomes == [["INSERTED", "UPDATED", "INSERTED", "QUARANTINED"], ["ATTACHED"], ["UPDATED"]]
+        seen = {(x.provider, x.canonical_url): ((x.first_seen_at - at).seconds // 3600, (x.last_seen_at - at).seconds // 3600) for x in stored.collect()}
+        assert seen == {("p", None): (3, 5), ("p", "https://h.x/2"): (1, 7), ("q", "https://h.x/2"): (9, 9)}
+        assert stored.select("job_id").distinct().count() == 2
+
+
 def test_label_corpus_errors(spark):
     packet = spark.createDataFrame([("r1", "a", "t"), ("r2", "b", "u")], "record_id string, employer string, text string")
     label = "record_id string, label_path string, outcome string, value string"
