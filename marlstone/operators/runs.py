@@ -108,14 +108,17 @@ def execute(store: Store, run_id: str, provider: str, plan: planner.Plan, found:
     """
     part, c = f"run={run_id}/provider={provider}", F.col
     named = f"{run_id}/{provider}"
-    postings = found.postings
-    raw = postings.select("seq", derived_id(F.lit(named), c("seq"), F.lit("raw")).alias("raw_id"), "provider", "source", c("source_job_id").alias("source_identifier"), c("discovered_at").cast("timestamp").alias("fetched_at"), "raw", canonical_json_hash(c("raw")).alias("hash"))
+    postings, raw_id = found.postings, derived_id(F.lit(named), c("seq"), F.lit("raw"))
+    raw = postings.select("seq", raw_id.alias("raw_id"), "provider", "source", c("source_job_id").alias("source_identifier"), c("discovered_at").cast("timestamp").alias("fetched_at"), "raw", canonical_json_hash(c("raw")).alias("hash"))
     raw = store.put(raw.select("seq", "raw_id", "provider", "source", "source_identifier", "fetched_at", "raw", c("hash.hash").alias("content_hash"), F.lit("fetched").alias("status")), "landed", part)
     rows = postings.select("seq", "provider", "source", "source_tenant_id", "source_job_id", c("requisition_id_raw").alias("requisition_id"), "source_url", "canonical_url", F.lit(observed_at).cast("timestamp").alias("observed_at"))
     resolved = store.put(R.resolve(rows, store.snapshot("occurrences", R.OCCURRENCE), named, provider), "outcomes", part)
-    status = resolved.select("seq", "occurrence_id", R.raw_status(c("outcome")).alias("new_status"))
-    done = raw.drop("status").join(status, "seq").withColumnRenamed("new_status", "status").withColumn("error_message", F.when(c("status") == "parse_error", PARSE_MESSAGE))
-    store.put(done, "raw", part)
+    # hashes are shuffled as bytes, and ids that follow from seq not at all
+    made = c("outcome").isin(*R.MADE)
+    status = resolved.select("seq", made.alias("made"), F.when(~made, c("occurrence_id")).alias("occurrence_id"), R.raw_status(c("outcome")).alias("status"))
+    done = raw.drop("raw_id", "status").withColumn("content_hash", F.unhex("content_hash")).join(status, "seq")
+    done = done.withColumns({"raw_id": raw_id, "content_hash": F.lower(F.hex("content_hash")), "occurrence_id": F.when(c("made"), R.new_id(named, c("seq"), "occurrence")).otherwise(c("occurrence_id")), "error_message": F.when(c("status") == "parse_error", PARSE_MESSAGE)})
+    store.put(done.select(*(n for n in raw.columns if n != "status"), "occurrence_id", "status", "error_message"), "raw", part)
     store.put(R.conflicts(resolved), "conflicts", part)
     occurrences, jobs = R.next_occurrences(resolved, store.snapshot("occurrences", R.OCCURRENCE), provider, at_once=True), next_jobs(resolved, store.snapshot("jobs", JOB))
     store.put(occurrences, "occurrences", f"v{store.version + 1}")

@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from marlstone import catalog
+from marlstone import catalog, catalog_more
 from marlstone.functions import keys
 from marlstone.operators import evaluate, integrity, ranking, resolve, runs, telemetry
 from marlstone.plans import planner
@@ -275,6 +275,19 @@ def test_runs_shuffle_few_rows(spark, duck, no_broadcast):
     assert sum(x.shuffleWriteRecords() for x in stages) < 7 * postings
 
 
+def test_raw_rows_shuffle_few_bytes(spark, no_broadcast):
+    """Raw postings after a run have the ids and hashes of the landed ones and of their outcomes; the shuffles before are small."""
+    store, stages = stages_of(spark, lambda: catalog_more._search(spark, DATA))
+    read = lambda name: spark.read.parquet(f"{store.root}/{name}").drop("run")
+    raw, landed, outcomes = read("raw"), read("landed"), read("outcomes")
+    assert raw.columns == ["seq", "raw_id", "provider", "source", "source_identifier", "fetched_at", "raw", "content_hash", "occurrence_id", "status", "error_message"]
+    same = [n for n in landed.columns if n != "status"]
+    assert sorted(map(str, raw.select(same).collect())) == sorted(map(str, landed.select(same).collect()))
+    ids = outcomes.select("provider", "seq", "occurrence_id", resolve.raw_status(F.col("outcome")).alias("status"))
+    assert sorted(map(str, raw.select(ids.columns).collect())) == sorted(map(str, ids.collect()))
+    assert sum(x.shuffleWriteBytes() for x in stages) < 250 * raw.count()
+
+
 def test_batches_of_providers(spark):
     """Stored keys and occurrences of other providers play no part, their jobs do."""
     at = dt.datetime(2024, 1, 1)
