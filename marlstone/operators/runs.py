@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_json_hash, derived_id
 from ..plans import planner
+from ..staging import PACKED
 from . import resolve as R
 from . import telemetry as T
 
@@ -78,7 +79,7 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{self.version}") if self.version else self.spark.createDataFrame([], schema)
 
     def put(self, df: DataFrame, name: str, part: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}")
+        df.write.mode("overwrite").option("compression", PACKED).parquet(f"{self.root}/{name}/{part}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{part}")
 
 

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKED = "zstd"  #: hashes and ids as hexadecimal digits take half of what Parquet's default leaves of them
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name.  Where no shared folder is set (tests on one machine), it is a temporary one."""
@@ -27,5 +29,5 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def cut(df: DataFrame, tag: str = "stage") -> DataFrame:
     """df, worked out once: written as Parquet and read back, with its statistics and for as few columns as are asked for."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", PACKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from marlstone.functions import keys
 from marlstone.operators import evaluate, integrity, ranking, resolve, runs, telemetry
 from marlstone.plans import planner
 from marlstone.sources import postings
+from marlstone.staging import cut
 from marlstone.streaming import ingest
 
 POSTING = "seq long, provider string, source string, source_tenant_id string, source_job_id string, requisition_id string, source_url string, canonical_url string, observed_at timestamp"
@@ -288,6 +289,14 @@ def test_raw_rows_shuffle_few_bytes(spark, no_broadcast):
     assert sum(x.shuffleWriteBytes() for x in stages) < 250 * raw.count()
 
 
+def test_tables_are_packed(spark, tmp_path):
+    df = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    for work in (lambda: cut(df), lambda: runs.Store(spark, str(tmp_path)).put(df, "t", "a")):
+        out, stages = stages_of(spark, work)
+        assert out.exceptAll(df).isEmpty() and out.count() == 20000
+        assert sum(x.outputBytes() for x in stages) < 40 * 20000  # of 64 digits each
+
+
 def test_batches_of_providers(spark):
     """Stored keys and occurrences of other providers play no part, their jobs do."""
     at = dt.datetime(2024, 1, 1)
