@@ -15,7 +15,7 @@ from . import catalog_more
 from .functions import arrangements, experience, html, keys, location, primitives, reconcile, salary, skills, taxonomy, titles, urls
 from .operators import evaluate, integrity, ranking, resolve, telemetry
 from .plans import planner
-from .session import load
+from .session import gentle, load
 from .staging import cut
 from .streaming import ingest
 
@@ -119,7 +119,7 @@ def redact_contacts(spark, d):
 @query()
 def html_to_text(spark, d):
     t = html.html_to_text(c("html"))
-    return load(spark, d, "pages").select("page_id", t["text"].alias("text"), t["error"].alias("error"))
+    return load(gentle(spark), d, "pages").select("page_id", t["text"].alias("text"), t["error"].alias("error"))
 
 
 @query("SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS lookup, lower(regexp_replace(trim(p_brand), '[\\t\\n\\r ]+', ' ', 'g')) AS company FROM part")

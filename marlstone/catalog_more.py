@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import html, keys, primitives, urls
 from .operators import constraints, evaluate, integrity, ranking, resolve, runs, telemetry
 from .plans import planner
-from .session import load
+from .session import gentle, load
 from .sources import postings
 from .staging import cut, scratch
 
@@ -252,7 +252,7 @@ def html_headings(spark, d):
     heading = F.regexp_extract("html", "<h1>([^<&]*)</h1>", 0)
     page = F.concat(F.lit("<div><script>x<p>1</script>"), heading, F.lit("<!-- <p>none</p> --><p>&amp;</div>"))
     text = html.html_to_text(page)["text"]
-    return load(spark, d, "pages").filter(c("html").rlike("<h1>[^<&]*</h1>")).select("page_id", F.substring_index(text, "\n", 1).alias("title"))
+    return load(gentle(spark), d, "pages").filter(c("html").rlike("<h1>[^<&]*</h1>")).select("page_id", F.substring_index(text, "\n", 1).alias("title"))
 
 
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'latitude_in_range' END, CASE WHEN k % 5 = 0 THEN 'latitude_with_longitude' END, CASE WHEN k % 3 = 0 THEN 'salary_min_up_to_salary_max' END, CASE WHEN k % 2 = 0 THEN 'title_trimmed' END], lambda x: x IS NOT NULL), ',') AS broken FROM (SELECT o_orderkey, o_orderkey AS k FROM orders) WHERE k % 7 = 0 OR k % 5 = 0 OR k % 3 = 0 OR k % 2 = 0""")

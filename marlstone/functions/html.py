@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +62,10 @@ def _marked(html: Column) -> Column:
 def _resolved(x: Column) -> Column:
     """Character references as characters."""
 
-    @F.pandas_udf("string")
-    def in_python(s: pd.Series) -> pd.Series:
-        return s.map(unescape, na_action="ignore")
+    @F.arrow_udf("string")
+    def in_python(x: pa.Array) -> pa.Array:
+        few = [x.slice(i, 64) for i in range(0, max(1, len(x)), 64)]  # texts that are Python objects at one time
+        return pa.concat_arrays([pa.array([None if t is None else unescape(t) for t in part.to_pylist()], x.type) for part in few])
 
     plain = x
     for name, char in PLAIN.items():

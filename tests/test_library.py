@@ -7,12 +7,13 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from marlstone import catalog, catalog_more
-from marlstone.functions import keys
+from marlstone.functions import html, keys
 from marlstone.operators import evaluate, integrity, ranking, resolve, runs, telemetry
 from marlstone.plans import planner
 from marlstone.sources import postings
@@ -297,6 +298,21 @@ def test_tables_are_packed(spark, tmp_path):
         assert sum(x.outputBytes() for x in stages) < 40 * 20000  # of 64 digits each
 
 
+def test_html_goes_to_python_in_small_batches(spark):
+    """After the query is made, no Arrow batch holds more than 8 MB; references in long and many texts are resolved as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = F.arrow_udf(lambda x: pa.array([x.nbytes] * len(x), pa.int64()), "long")
+    spark.conf.unset(name)
+    try:
+        catalog.QUERIES["html_to_text"](spark, DATA)
+        long = spark.range(0, 9000, 1, 1).select("id", F.concat(F.repeat(F.lit("x"), 4000), F.lit("&eacute;"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "&#8212;")).alias("x"))
+        assert long.select(sizes(F.coalesce("x", F.lit(""))).alias("n")).agg(F.max("n")).first()[0] < 9e6
+        got = long.select("id", "x", html.html_to_text(F.col("x"))["text"].alias("t")).filter(~F.col("t").eqNullSafe(F.when(F.col("x").isNotNull(), F.concat(F.repeat(F.lit("x"), 4000), F.lit("\u00e9"), F.col("id").cast("string"), F.lit("\u2014")))))
+        assert got.isEmpty()
+    finally:
+        spark.conf.unset(name)
+
+
 def test_batches_of_providers(spark):
     """Stored keys and occurrences of other providers play no part, their jobs do."""
     at = dt.datetime(2024, 1, 1)
